@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import chat_format, exact_dedup, mixing, pieces, top_k, url_filter
+
+PIECE_MODEL = "piece_bpe_32k.model"
+#: Of the URL query: host, path, verdict.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+#: Of the chat query: a conversation of control strings.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +23,33 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(_read(spark, sf_dir, "pages"), rules)
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = spark.createDataFrame([(-1, k, role, CONTROL_TEXT) for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    chats = _read(spark, sf_dir, "conversations").unionByName(added, allowMissingColumns=True)
+    return chat_format.digests(chat_format.format_chats(chat_format.canonical(chats)))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_mixing)}
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.Vocabulary.load(public_tokenizers.path(PIECE_MODEL))
+    coded = pieces.decode(pieces.encode(_read(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.search(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_chat_format, op4_mixing, op6_pieces, op7_top_k)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
@@ -27,6 +57,27 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
+    "op2_url_filter": r"""
+        WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut),
+        parts AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts),
+        rules(rhost, rpath, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
+                                                ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+        best AS (SELECT page_id, host, path, arg_max(rhost || rpath, 1000 * length(rhost || rpath) + length(rhost)) AS rule,
+                        arg_max(verdict, 1000 * length(rhost || rpath) + length(rhost)) AS verdict
+                 FROM parts LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL)
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM best""",
+    "op3_chat_format": r"""
+        WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS x FROM conversations
+                      UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        sized AS (SELECT *, length(x) + len(regexp_extract_all(x, '[<\[]\\*(/?s>|/?(INST|SYS|ROLE|TURN)\])'))
+                            + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 WHEN 'system' THEN 11
+                                        ELSE 26 + length(role) + len(regexp_extract_all(role, '[<\[]\\*(/?s>|/?(INST|SYS|ROLE|TURN)\])')) END AS chars FROM rows)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || x || chr(10), '' ORDER BY turn, role, x)) AS turns_sha256,
+               sum(CASE WHEN role = 'assistant' THEN length(x) ELSE 0 END)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(x, '' ORDER BY turn, role, x) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+        FROM sized GROUP BY conv_id""",
     "op4_mixing": r"""
         WITH sized AS (
           SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS ticket,
@@ -47,4 +98,11 @@ ORACLES = {
         SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
                (any_value(size) * count(*) FILTER (so_far <= budget))::BIGINT AS taken
         FROM merged GROUP BY doc_id""",
+    "op7_top_k": r"""
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS terms FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.terms, c.terms)::BIGINT AS score
+                   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
 }

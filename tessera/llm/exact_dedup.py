@@ -70,8 +70,7 @@ def _key(text: Column, hash_bits: int) -> Column:
 
 
 def _prefix(h: Column, bits: int) -> Column:
-    """The first bits of a hash; 0 bits of it are 0."""
-    return (F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0)).cast("int")
+    return F.shiftrightunsigned(h, 64 - bits).cast("int")
 
 
 def build_index(docs: DataFrame, *, capacity: int = 1 << 18, max_depth: int = 16, hash_bits: int = 64) -> DataFrame:
@@ -88,15 +87,13 @@ def build_index(docs: DataFrame, *, capacity: int = 1 << 18, max_depth: int = 16
     )
     cells = entries.groupBy(_prefix(F.col("h"), max_depth).alias("prefix")).count().collect()
     directory = grow_directory({r["prefix"]: r["count"] for r in cells}, max_depth, capacity)
-    slots = spark.createDataFrame(list(enumerate(directory.slots)), "prefix int, bucket int")
+    if directory.depth:
+        slots = spark.createDataFrame(list(enumerate(directory.slots)), "prefix int, bucket int")  # 2**max_depth rows at most
+        placed = entries.withColumn("prefix", _prefix(F.col("h"), directory.depth)).join(F.broadcast(slots), "prefix").drop("prefix")
+    else:
+        placed = entries.withColumn("bucket", F.lit(0))
     chain = Window.partitionBy("h").orderBy("keep_id", "text_sha256")
-    owned = (
-        entries.withColumn("prefix", _prefix(F.col("h"), directory.depth))
-        .join(F.broadcast(slots), "prefix")  # 2**max_depth rows at most
-        .repartitionByRange(F.col("h"))
-        .withColumn("link", F.row_number().over(chain))
-        .drop("prefix")
-    )
+    owned = placed.repartitionByRange(F.col("h")).withColumn("link", F.row_number().over(chain))
     path = shared.scratch(spark, "dedup-index")
     owned.write.partitionBy("bucket").parquet(path)
     return spark.read.schema(owned.schema).parquet(path)
