@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, pieces, top_k, url_filter
+from . import chat_format, exact_dedup, mixing, pieces, simhash, top_k, url_filter
 
 PIECE_MODEL = "piece_bpe_32k.model"
 #: Of the URL query: host, path, verdict.
@@ -49,7 +49,12 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.search(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_chat_format, op4_mixing, op6_pieces, op7_top_k)}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(_read(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_chat_format, op4_mixing, op6_pieces, op7_top_k, op9_simhash)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
