@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, pieces, simhash, top_k, url_filter
+from . import chat_format, exact_dedup, mixing, pieces, simhash, top_k, toxicity, url_filter
 
 PIECE_MODEL = "piece_bpe_32k.model"
 #: Of the URL query: host, path, verdict.
@@ -54,7 +54,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_chat_format, op4_mixing, op6_pieces, op7_top_k, op9_simhash)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.judge(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_chat_format, op4_mixing, op6_pieces, op7_top_k, op9_simhash, op10_toxicity)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
