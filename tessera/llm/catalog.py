@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, pieces, simhash, top_k, toxicity, url_filter
+from . import chat_format, exact_dedup, licences, mixing, pieces, pii, simhash, top_k, toxicity, url_filter
 
 PIECE_MODEL = "piece_bpe_32k.model"
 #: Of the URL query: host, path, verdict.
@@ -38,6 +38,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(_read(spark, sf_dir, "documents"))
+    spans = F.transform("spans", lambda p: F.concat_ws(":", p["licence"], p["start"].cast("string"), p["end"].cast("string")))
+    return found.select("doc_id", "n_sentences", F.array_join("licences", ",").alias("licences"), F.array_join(spans, ",").alias("spans"))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = pieces.Vocabulary.load(public_tokenizers.path(PIECE_MODEL))
     coded = pieces.decode(pieces.encode(_read(spark, sf_dir, "documents"), vocabulary), vocabulary)
@@ -49,6 +55,14 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.search(_read(spark, sf_dir, "embeddings"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+    counts = [F.size(F.filter("spans", lambda p, k=k: p["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    base = F.filter("spans", lambda p: p["kind"].isin(*pii.KINDS))
+    return found.select("doc_id", *counts, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(_read(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -59,7 +73,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_chat_format, op4_mixing, op6_pieces, op7_top_k, op9_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_chat_format, op4_mixing, op5_licences, op6_pieces, op7_top_k, op8_pii, op9_simhash, op10_toxicity)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
