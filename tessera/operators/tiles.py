@@ -44,7 +44,7 @@ def pack(matrix: Matrix, tile: tuple[int, int] | None = None) -> DataFrame:
     fmt = matrix.meta.fmt
     cells = matrix.cells().select(F.expr(f"cast(i div {tr} as int)").alias("bi"), F.expr(f"cast(j div {tc} as int)").alias("bj"), F.expr(f"cast(i % {tr} as int)").alias("r"), F.expr(f"cast(j % {tc} as int)").alias("c"), F.col("v").cast("double").alias("v"))
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         bi, bj = int(key[0]), int(key[1])
         nr, nc = min(tr, rows - bi * tr), min(tc, cols - bj * tc)
         r, c, v = pdf["r"].to_numpy(), pdf["c"].to_numpy(), pdf["v"].to_numpy()
@@ -122,7 +122,7 @@ def multiply(a: DataFrame, b: DataFrame, transpose_a: bool = False, transpose_b:
                     yield flush()
         yield flush()
 
-    def total(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         data = np.sum([np.asarray(x) for x in pdf["data"]], axis=0)
         first = pdf.iloc[0]
         return pd.DataFrame({"bi": [key[0]], "bj": [key[1]], "nr": [first["nr"]], "nc": [first["nc"]], "fmt": ["dense"], "data": [data], "indptr": [None], "indices": [None]})

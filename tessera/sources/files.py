@@ -113,3 +113,14 @@ def write_matrix_market(matrix: Matrix, path: str) -> None:
     head = spark.createDataFrame([(-2, 0, "%%MatrixMarket matrix coordinate real general"), (-1, 0, f"{matrix.meta.rows} {matrix.meta.cols} {n}")], "i long, j long, value string")
     lines = cells.select("i", "j", F.concat_ws(" ", (F.col("i") + 1).cast("string"), (F.col("j") + 1).cast("string"), F.col("v").cast("string")).alias("value"))
     head.unionAll(lines).coalesce(1).sortWithinPartitions("i", "j").select("value").write.text(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; in a session that names none, one of our own."""
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file:///tmp/checkpoints/tessera"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"

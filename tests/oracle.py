@@ -8,6 +8,8 @@ import duckdb
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+KINDS = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+
 
 def sql_rows(sql, sf_dir):
     con = duckdb.connect()
@@ -16,19 +18,20 @@ def sql_rows(sql, sf_dir):
         path = f"{sf_dir}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet({sorted(glob.glob(path + '/*.parquet')) if os.path.isdir(path) else [path]})")
     cur = con.execute(sql)
-    return [d[0] for d in cur.description], cur.fetchall()
+    return {d[0]: str(d[1]) for d in cur.description}, cur.fetchall()
 
 
 def same_value(a, b):
     if isinstance(a, float) and isinstance(b, float):
-        return a == b or (math.isnan(a) and math.isnan(b))
-    return a == b and isinstance(a, bool) == isinstance(b, bool)
+        return (a == b and math.copysign(1, a) == math.copysign(1, b)) or (math.isnan(a) and math.isnan(b))
+    return a == b and type(a) is type(b)
 
 
 def assert_same(df, sql, sf_dir):
-    names, expected = sql_rows(sql, sf_dir)
-    assert sorted(names) == sorted(df.columns)
-    order = sorted(names)
+    kinds, expected = sql_rows(sql, sf_dir)
+    names, order = list(kinds), sorted(kinds)
+    assert order == sorted(df.columns)
+    assert {c: KINDS.get(k, k) for c, k in kinds.items()} == dict(df.dtypes)
     got = [tuple(r[c] for c in order) for r in df.select(*order).collect()]
     want = [tuple(r[names.index(c)] for c in order) for r in expected]
     assert len(got) == len(want)
