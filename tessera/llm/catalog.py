@@ -58,7 +58,7 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     found = pii.find(docs, pii.train(docs))
-    counts = [F.size(F.filter("spans", lambda p, k=k: p["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    counts = [F.size(F.filter(F.transform("spans", lambda p: p["kind"]), F.lit(kind).eqNullSafe)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
     base = F.filter("spans", lambda p: p["kind"].isin(*pii.KINDS))
     return found.select("doc_id", *counts, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
