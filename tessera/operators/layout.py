@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from tessera.plans.meta import SQL_TYPES, Meta
 
 
-def subarray(df: DataFrame, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
-    inside = F.col("i").between(*rows) & F.col("j").between(*cols)
-    return df.where(inside).select((F.col("i") - rows[0]).alias("i"), (F.col("j") - cols[0]).alias("j"), "v")
+def subarray(df: DataFrame, rows: tuple[int, int], cols: tuple[int, int], meta: Meta) -> DataFrame:
+    """Filters on the bounds that aren't the matrix's own, which Spark pushes down to the scan."""
+    if rows != (0, meta.rows - 1):
+        df = df.where(F.col("i").between(*rows))
+    if cols != (0, meta.cols - 1):
+        df = df.where(F.col("j").between(*cols))
+    return df.select((F.col("i") - rows[0]).alias("i"), (F.col("j") - cols[0]).alias("j"), "v")
 
 
 def grid(df: DataFrame, rows: int, cols: int) -> DataFrame:

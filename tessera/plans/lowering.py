@@ -36,7 +36,7 @@ def _lower(x: Matrix, of) -> DataFrame:
         case "transpose":
             return of(x.operands[0]).select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
         case "subarray":
-            return layout.subarray(of(x.operands[0]), p["rows"], p["cols"])
+            return layout.subarray(of(x.operands[0]), p["rows"], p["cols"], x.operands[0].meta)
         case "densify":
             return layout.densify(of(x.operands[0]), meta)
         case "sparsify":
