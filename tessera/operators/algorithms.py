@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import rowvec
 from tessera.plans.matrix import Matrix
+from tessera.sources import files
 
 
 def _sigma(z: np.ndarray) -> np.ndarray:
@@ -87,7 +88,7 @@ def nmf(x: DataFrame, w: DataFrame, h: np.ndarray, turns: int = 3) -> tuple[Data
 def pagerank(graph: Matrix, turns: int = 3, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
     """i, v: v <- d·M·v + (1-d)/N from v = 1/N, for a column-stochastic M; nodes that nothing points to keep (1-d)/N.
 
-    Lineage is cut by a reliable checkpoint every few turns, where a folder for it is set.
+    Lineage is cut by a reliable checkpoint, in the shared folder, every few turns.
     """
     n = graph.meta.rows
     edges, spark = graph.cells(), graph.cells().sparkSession
@@ -97,7 +98,8 @@ def pagerank(graph: Matrix, turns: int = 3, damping: float = 0.85, cut_every: in
         moved = edges.join(rank.select(F.col("i").alias("j"), F.col("v").alias("r")), "j").select("i", (F.col("v") * F.col("r")).alias("m"))
         received = moved.unionAll(nodes.select("i", F.lit(0.0).alias("m"))).groupBy("i").agg(F.sum("m").alias("m"))
         rank = received.select("i", (F.lit(damping) * F.col("m") + F.lit((1 - damping) / n)).alias("v"))
-        if turn % cut_every == 0 and turn < turns and spark.conf.get("spark.checkpoint.dir", None):
+        if turn % cut_every == 0 and turn < turns:
+            files.shared_folder(spark)
             rank = rank.checkpoint()
     return rank
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -115,12 +116,16 @@ def write_matrix_market(matrix: Matrix, path: str) -> None:
     head.unionAll(lines).coalesce(1).sortWithinPartitions("i", "j").select("value").write.text(path)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; in a session that names none, one of our own."""
-    import uuid
-
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; in a session that names none, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = "file:///tmp/checkpoints/tessera"
         spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
