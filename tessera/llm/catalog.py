@@ -46,7 +46,7 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = pieces.Vocabulary.load(public_tokenizers.path(PIECE_MODEL))
-    coded = pieces.decode(pieces.encode(_read(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    coded = pieces.encode(_read(spark, sf_dir, "documents"), vocabulary, and_decode=True)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

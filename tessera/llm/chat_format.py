@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import tidy
+
 TURNS = "array<struct<role:string,text:string>>"
 
 _TAIL = r"(/?s>|/?(?:INST|SYS|ROLE|TURN)\])"
@@ -197,6 +199,7 @@ def canonical(df: DataFrame, id_column: str = "conv_id") -> DataFrame:
 def canonical_json(df: DataFrame, id_column: str, json_column: str) -> DataFrame:
     """As ``canonical``, of a column of JSON records whose layouts differ from row to row."""
 
+    @tidy
     def convert(batches):
         for batch in batches:
             turns = [[{"role": r, "text": t} for r, t in record_turns(json.loads(x))] if x else [] for x in batch.column(1).to_pylist()]
@@ -209,6 +212,7 @@ def canonical_json(df: DataFrame, id_column: str, json_column: str) -> DataFrame
 def format_chats(chats: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans (start and end in code points) of canonical turns."""
 
+    @tidy
     def convert(batches):
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         for batch in batches:
@@ -223,6 +227,7 @@ def format_chats(chats: DataFrame) -> DataFrame:
 def digests(formatted: DataFrame) -> DataFrame:
     """What reading the formatted strings back gives: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
 
+    @tidy
     def convert(batches):
         for batch in batches:
             rows = []

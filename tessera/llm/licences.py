@@ -18,6 +18,8 @@ from bisect import bisect_left
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import tidy
+
 GAP = 2
 
 #: Sentences of public licence texts and notices, by identifier.
@@ -142,6 +144,7 @@ def licences(text: str) -> tuple[int, list[tuple[str, int, int]]]:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, licences (distinct, in order of appearance), spans (licence, start, end) for each row."""
 
+    @tidy
     def convert(batches):
         span = pa.list_(pa.struct([("licence", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:

@@ -124,4 +124,4 @@ def mix_rows(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa:
     """The rows of ``docs`` with all their columns, each as often as the mix serves it."""
     plan = mix(docs, policy).where("servings > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("servings").alias("mixed_times"))
     times = F.explode(F.sequence(F.lit(1), plan["mixed_times"])).alias("mixed_time")
-    return docs.join(plan, docs["doc_id"].eqNullSafe(plan["mixed_id"])).select(*(docs[c] for c in docs.columns), times).drop("mixed_time")
+    return docs.join(plan, docs["doc_id"].eqNullSafe(plan["mixed_id"])).select(*(docs[f"`{c}`"] for c in docs.columns), times).drop("mixed_time")

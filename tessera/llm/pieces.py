@@ -22,16 +22,20 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .shared import tidy
+
 MARK = "▁"
-#: Cached words and merges a worker process holds at most, and the longest word that is cached.
-CACHED, CACHED_CHARS = 1 << 19, 64
-#: Characters, and ids, that go into one output batch.
-BATCH_CHARS = 4 << 20
+#: Words, and pairs of pieces, that a worker process remembers at most in each of two generations; the longest such word.
+CACHED, CACHED_CHARS = 1 << 18, 64
+#: Bytes of text, or ids, that go into one output batch.
+BATCH_SIZE = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -57,7 +61,7 @@ class Vocabulary:
         return cls(tuple(map(model.id_to_piece, ids)), tuple(map(model.get_score, ids)), tuple(sorted(byte_ids, key=lambda k: int(model.id_to_piece(k)[3:-1], 16))), control, model.unk_id())
 
 
-class Codec:
+class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         import ahocorasick
 
@@ -75,16 +79,8 @@ class Codec:
         self.automaton.make_automaton()
         #: The longest piece that a piece starts with, other than itself.
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.ids), None) for p in self.ids}
-        self.whole: dict[str, bool] = {}
-        self.apart: dict[tuple[str, str], bool] = {}
-        self.words = _Words(self)
-        table = [p.replace(MARK, " ").encode() for p in v.pieces]
-        for k in v.control:
-            table[k] = b""
-        for byte, k in enumerate(v.byte_ids):
-            table[k] = bytes([byte])
-        table[v.unknown] = " ⁇ ".encode()
-        self.bytes = table
+        self.apart = _Recent(lambda pair: self.merged("".join(pair)) == [p for p in pair if p])
+        self.words = _Recent(lambda word: self.unit(MARK + word))
 
     def merged(self, text: str) -> list[str]:
         """Pieces by merging: always the pair of neighbours with the highest score, of those the leftmost."""
@@ -100,35 +96,23 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _fits(self, left: str | None, right: str) -> bool:
-        if left is None:
-            known, key = self.whole, right
-        else:
-            known, key = self.apart, (left, right)
-        found = known.get(key)
-        if found is None:
-            if len(known) >= CACHED:
-                known.clear()
-            found = known[key] = self.merged((left or "") + right) == ([right] if left is None else [left, right])
-        return found
-
     def _longest(self, text: str, at: int) -> str:
         return next(self.automaton.iter_long(text, at))[1]
 
     def _search(self, text: str) -> list[str]:
         """The pieces of a text of which each character has a piece."""
+        greedy = [piece for _, piece in self.automaton.iter_long(text)]
+        if all(map(self.apart.__getitem__, pairwise(["", *greedy]))):
+            return greedy
         n = len(text)
-        longest, at = {}, 0  # by position, along the path of longest matches
-        for _, piece in self.automaton.iter_long(text):
-            longest[at] = piece
-            at += len(piece)
+        longest = dict(zip(accumulate(map(len, greedy), initial=0), greedy, strict=False))
         alive = bytearray(b"\x01") * (n + 1)
         taken: list[str] = []
-        last, at, piece = None, 0, longest[0]
+        last, at, piece = "", 0, longest[0]
         while True:
             while piece is not None:
                 end = at + len(piece)
-                if alive[end] and self._fits(last, piece):
+                if alive[end] and self.apart[last, piece]:
                     break
                 piece = self.shorter[piece]
             if piece is not None:
@@ -141,7 +125,7 @@ class Codec:
                 alive[at] = 0
                 taken.pop()
                 at -= len(last)
-                piece, last = self.shorter[last], taken[-1] if taken else None
+                piece, last = self.shorter[last], taken[-1] if taken else ""
 
     def unit(self, text: str) -> bytes:
         """The ids of a unit, as the bytes of 32-bit integers."""
@@ -172,35 +156,59 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
 
+
+class Decoder:
+    def __init__(self, vocabulary: Vocabulary):
+        v = self.vocabulary = vocabulary
+        self.bytes = [p.replace(MARK, " ").encode() for p in v.pieces]
+        for k in v.control:
+            self.bytes[k] = b""
+        for byte, k in enumerate(v.byte_ids):
+            self.bytes[k] = bytes([byte])
+        self.bytes[v.unknown] = " ⁇ ".encode()
+
     def decode(self, ids: list[int]) -> str:
-        ids = [k for k in ids if k not in self.vocabulary.control]
         text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "one-mark-a-byte")
-        return text[1:] if ids and self.vocabulary.pieces[ids[0]].startswith(MARK) else text
+        first = next((k for k in ids if k not in self.vocabulary.control), None)
+        return text[1:] if first is not None and self.vocabulary.pieces[first].startswith(MARK) else text
 
 
-class _Words(dict):
-    """Ids of words by the word without its first mark."""
+class _Recent(dict):
+    """Results by key, of at least the last ``CACHED`` keys and at most twice as many."""
 
-    def __init__(self, codec: Codec):
+    def __init__(self, compute):
         super().__init__()
-        self.codec = codec
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.codec.unit(MARK + word)
-        if len(word) <= CACHED_CHARS:
-            if len(self) >= CACHED:
-                self.clear()
-            self[word] = found
+        self.compute, self.older = compute, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.compute(key)
+            if len(key) > CACHED_CHARS:
+                return found
+        if len(self) >= CACHED:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
 
-codecs.register_error("one-mark-a-byte", lambda e: ("�", e.start + 1))
 
+codecs.register_error("one-mark-a-byte", lambda e: ("\ufffd", e.start + 1))
 
-@lru_cache(maxsize=2)
-def _codec(vocabulary: Vocabulary) -> Codec:
+
+@lru_cache(maxsize=1)
+def _encoder(vocabulary: Vocabulary) -> Encoder:
     """Kept in a worker process from task to task."""
-    return Codec(vocabulary)
+    return Encoder(vocabulary)
+
+
+@lru_cache(maxsize=1)
+def _decoder(vocabulary: Vocabulary) -> Decoder:
+    return Decoder(vocabulary)
 
 
 def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -214,35 +222,40 @@ def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The id column and ``ids``, without begin or end ids."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id", text_column: str = "text", and_decode: bool = False) -> DataFrame:
+    """The id column and ``ids``, without begin or end ids; with ``and_decode`` also what the ids decode to, ``decoded``."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the vocabulary
 
+    @tidy
     def convert(batches):
-        codec = _codec(shared.value)
+        encoder, decoder = _encoder(shared.value), _decoder(shared.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in _slices([len(t or "") for t in texts], BATCH_CHARS):
-                coded = [codec.encode_bytes(t or "") for t in texts[a:b]]
+            for a, b in _slices(pc.binary_length(batch.column(1)).fill_null(0).to_pylist(), BATCH_SIZE):
+                coded = [encoder.encode_bytes(t or "") for t in batch.column(1).slice(a, b - a).to_pylist()]
                 ends = np.cumsum([0] + [len(x) // 4 for x in coded], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids], [id_column, "ids"])
-
+                columns = [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))]
+                if and_decode:
+                    columns.append(pa.array([decoder.decode(np.frombuffer(x, np.int32).tolist()) for x in coded], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names)
+        encoder.words.forget()  # an idle worker process keeps its memory
+        encoder.apart.forget()
+
+    names = [id_column, "ids", "decoded"][: 2 + and_decode]
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(docs[id_column], docs[text_column]).mapInArrow(convert, f"`{id_column}` {kind}, ids array<int>")
+    return docs.select(docs[id_column], docs[text_column]).mapInArrow(convert, f"`{id_column}` {kind}, ids array<int>" + ", decoded string" * and_decode)
 
 
 def decode(coded: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id") -> DataFrame:
     """The id column, ``ids`` and the text that they decode to, ``decoded``."""
     shared = coded.sparkSession.sparkContext.broadcast(vocabulary)
 
+    @tidy
     def convert(batches):
-        codec = _codec(shared.value)
+        decoder = _decoder(shared.value)
         for batch in batches:
-            column = batch.column(1)
-            for a, b in _slices(column.value_lengths().fill_null(0).to_pylist(), BATCH_CHARS):
-                part = column.slice(a, b - a)
-                texts = [codec.decode(x.values.to_numpy().tolist()) if x.is_valid else "" for x in part]
+            for a, b in _slices(batch.column(1).value_lengths().fill_null(0).to_pylist(), BATCH_SIZE):
+                part = batch.column(1).slice(a, b - a)
+                texts = [decoder.decode(x.values.to_numpy().tolist()) if x.is_valid else "" for x in part]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), part, pa.array(texts, pa.string())], [id_column, "ids", "decoded"])
 
     kind = coded.schema[id_column].dataType.simpleString()

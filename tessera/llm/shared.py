@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = "file:///tmp/checkpoints/tessera"
         spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
@@ -44,3 +49,17 @@ def text_or_empty(text: Column) -> Column:
 def single_spaced(text: Column) -> Column:
     """Null as empty; each run of white space as one space."""
     return F.regexp_replace(text_or_empty(text), f"[{SPACE}]+", " ")
+
+
+def tidy(convert: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function for ``mapInArrow`` that gives Arrow's spare memory back when its task ends: worker processes live on
+    between tasks, and would hold it through stages that need no Python."""
+
+    @functools.wraps(convert)
+    def run(batches):
+        try:
+            yield from convert(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run

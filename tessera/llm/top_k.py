@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import shared
+from .shared import tidy
 
 QUERY_BLOCK, SHARD_ROWS, PROBE_TERMS = 1 << 15, 8192, 8
 LIMIT = 1 << 28
@@ -107,6 +108,7 @@ def _block(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     width = max(1, int(column.value_lengths().to_numpy().max()))
     block = rows.sparkSession.sparkContext.broadcast((asked.column("vec_id").to_numpy(), matrix(column, width).astype(np.int32)))
 
+    @tidy
     def search(batches):
         ids, queries = block.value
         shards = Shards(ids, queries.astype(np.int64), k)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tidy
+
 #: Identity terms by kind, in the languages of the corpus; terms of a line can stand for each other.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
@@ -48,7 +50,7 @@ _KIND = {term: kind for kind in IDENTITY_TERMS for term in kind}
 
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = (4, 5)
-_CACHED = 1 << 18
+_CACHED = 1 << 16
 
 
 def words(text: str) -> set[str]:
@@ -75,7 +77,7 @@ class Settings:
     """max_rows: labelled rows fitted to, at most. max_features: features kept, at most. z: what a feature must reach
     in the two-proportion test. ridge, fairness: the strength of the penalties."""
 
-    max_rows: int = 8000
+    max_rows: int = 6000
     max_features: int = 600
     z: float = 3.5
     ridge: float = 0.0003
@@ -125,17 +127,25 @@ def fit(texts: list[list[str]], toxic: np.ndarray, settings: Settings = Settings
     if not n0 or not n1:
         return Model(500.0 if n1 else -500.0, ())
 
-    numbers: dict[str, int] = {}
-    by_word: dict[str, list[int]] = {}
-    for w in {w for t in texts for w in t}:
-        by_word[w] = [numbers.setdefault(f, len(numbers)) for f in word_features(w)]
-    sets = [np.unique(np.fromiter((k for w in t for k in by_word[w]), np.int32)) for t in texts]
-    seen = [sum((np.bincount(s, minlength=len(numbers)) for s, y in zip(sets, toxic, strict=True) if y == of), np.zeros(len(numbers), np.int64)) for of in (0, 1)]
+    index_of: dict[str, int] = {}
+    coded = [np.fromiter((index_of.setdefault(w, len(index_of)) for w in t), np.int32, len(t)) for t in texts]
+    names = list(index_of)
+    by_word = np.full((len(names), 1 + len(_PREFIXES)), -1, np.int32)
+    prefixes: dict[str, int] = {}
+    for k, w in enumerate(names):
+        starts = word_features(w)[1:]
+        by_word[k, : 1 + len(starts)] = [k, *(prefixes.setdefault(f, len(names) + len(prefixes)) for f in starts)]
+    size = len(names) + len(prefixes)
+    sets = [(u := np.unique(by_word[c]))[u >= 0] for c in coded]
+    seen = np.zeros((2, size), np.int64)
+    for s, y in zip(sets, toxic, strict=True):
+        seen[int(y), s] += 1
+    names += prefixes
     p1, p0, p = (seen[1] + 0.5) / (n1 + 1), (seen[0] + 0.5) / (n0 + 1), (seen[0] + seen[1] + 1) / (n + 2)
     strength = np.where(seen[0] + seen[1] >= 2, abs(p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)), 0)
-    names = list(numbers)
-    ranked = sorted(np.argsort(-strength, kind="stable")[: 4 * settings.max_features].tolist(), key=lambda k: (-strength[k], names[k]))[: settings.max_features]
-    kept = [names[k] for k in ranked if strength[k] >= settings.z] or [names[k] for k in ranked[:20]]
+    name = lambda k: names[k] + "$" if k < len(index_of) else names[k]
+    ranked = sorted(np.argsort(-strength, kind="stable")[: 4 * settings.max_features].tolist(), key=lambda k: (-strength[k], name(k)))[: settings.max_features]
+    kept = [name(k) for k in ranked if strength[k] >= settings.z] or [name(k) for k in ranked[:20]]
     index = {f: k for k, f in enumerate(kept + sorted(features(set(_KIND)) - set(kept)))}
 
     def rows(many: list[set[str]]) -> np.ndarray:
@@ -145,10 +155,11 @@ def fit(texts: list[list[str]], toxic: np.ndarray, settings: Settings = Settings
             out[k, [index[f] for f in s if f in index]] = 1
         return out
 
-    places = np.full(len(numbers) + 1, -1)
+    places = np.full(size, -1)
     for f, k in index.items():
-        places[numbers.get(f, len(numbers))] = k
-    places[-1] = -1
+        number = index_of.get(f[:-1]) if f.endswith("$") else prefixes.get(f)
+        if number is not None:
+            places[number] = k
     x = np.zeros((n, len(index) + 1))
     x[:, -1] = 1
     for k, s in enumerate(sets):
@@ -183,6 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     chosen = known.orderBy(F.md5(F.col("labelled").cast("string"))).limit(settings.max_rows)
     found = docs.select(docs["doc_id"], docs["text"]).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))  # max_rows rows
 
+    @tidy
     def to_words(batches):
         for batch in batches:
             sets = [sorted(words(t or "")) for t in batch.column(1).to_pylist()]
