@@ -11,7 +11,8 @@ Probe: each row meets its entry by (hash, digest of the text). The digest picks
 compared in the build. Only narrow rows are joined; adaptive execution splits a hot key.
 
 Defined results: a null text counts as empty; empty texts form a group of their own; a null doc_id never wins against
-another id; rows that repeat a doc_id and a text stay or go together; an empty table gives an empty result; further
+another id; rows that repeat a doc_id and a text stay or go together, and so do rows without an id where only rows are
+dropped (``drop_copies``): they all stay if one of them must; an empty table gives an empty result; further
 columns are neither read nor touched.
 """
 

@@ -7,7 +7,7 @@ written into passages of that sample by a seeded generator, beside numbers that
 into overlapping windows; every window with a digit or an ``@``, without which no labelled span exists, is decoded.
 Spans of all windows of a document are reconciled together: fragments of a kind that meet are joined, pieces cut by a
 window's edge give way to whole ones, and where spans overlap the surest stays. Base spans stay as they are; an added
-span never overlaps one, nor what has the form of one but failed its check, and its kind is ``model_`` and the base kind.
+span never overlaps one, nor what has the form of one but failed its check, nor cuts a word, and its kind is ``model_`` and the base kind.
 
 Defined results: a null or empty text has no spans; without a digit or ``@`` anywhere in the sample the model is trained
 on the generator's spans alone; repeated rows get equal spans; an empty table gives an empty result; positions are code
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tidy
+
 KINDS = ("email", "ip", "card", "phone")
 TRIGGER = re.compile(r"[0-9@]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -302,7 +304,8 @@ def all_spans(text: str, network: Network, s: Settings) -> list[Span]:
         for a, tags, margin in zip(some, *network.decode(x), strict=True):
             pieces += _tagged(tags, margin, a, len(text) - a)
     taken = sorted([*good, *failed])
-    added = [(a, b, f"model_{k}") for a, b, k in reconcile(pieces) if all(b <= x or a >= y for x, y, _ in taken) and plausible(text[a:b], k)]
+    apart = lambda a, b: not (a and text[a - 1].isalnum()) and not text[b : b + 1].isalnum()  # noqa: E731  not a part of a longer word
+    added = [(a, b, f"model_{k}") for a, b, k in reconcile(pieces) if apart(a, b) and all(b <= x or a >= y for x, y, _ in taken) and plausible(text[a:b], k)]
     order = (*KINDS, *(f"model_{k}" for k in KINDS))
     return sorted([*good, *added], key=lambda p: (p[0], order.index(p[2])))
 
@@ -400,6 +403,7 @@ def find(docs: DataFrame, network: Network, s: Settings = Settings()) -> DataFra
     """doc_id, spans (kind, start, end) for each row."""
     shared = docs.sparkSession.sparkContext.broadcast((network.p, network.window))  # some thousand numbers
 
+    @tidy
     def convert(batches):
         own = Network(*shared.value)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
