@@ -1,10 +1,15 @@
 """Near-duplicate detection by SimHash and multi-index hashing.
 
 A document's fingerprint has a bit set where more than half of its shingles' hashes have it. Two fingerprints link at
-``distance`` (4) or fewer differing bits. One of the two 32-bit segments of such a pair then differs in 2 bits or fewer,
-so it is enough to look up each segment's Hamming ball: the ball of radius 2 is met from both sides, each fingerprint
-being filed in, and looked up in, the ball of radius 1 around its segment (33 values). All fingerprints in one table
-cell are verified on all 64 bits.
+``distance`` or fewer differing bits. The fingerprint is cut into segments; of a pair that links, one segment differs in
+2 bits at most (5 bits over 2 segments, 11 over 4), so it is enough to look up each segment's Hamming ball: the ball of
+radius 2 is met from both sides, each fingerprint being filed in, and looked up in, the ball of radius 1 around its
+segment. All that a table cell holds is verified on the complete distance.
+
+``LINKS`` is the plain rule: shingles of 4 words, 4 bits. ``NEAR`` is the rule for a similarity of 0.8 of five-word
+shingles: such pairs lie up to 16 bits apart in the fingerprint of those shingles, too far for any index of 64 bits, but
+within 11 bits in that of word pairs, which so finds the candidates; a second fingerprint, of 256 bits over five-word
+shingles, then verifies them: 50 differing bits are what a similarity of about 0.75 to 0.8 leaves.
 
 Only distinct fingerprints go into the tables, so copies cost one row. A cell is worked off as a stream, by one task and
 without emitting pairs: a search takes one fingerprint after another, finds all that it links to among those not yet
@@ -12,13 +17,16 @@ reached, and emits for each group one link to its smallest member. A dense group
 What the cells emit goes through distributed connected components; no link is lost, and nothing is capped.
 
 Defined results: a null text counts as empty; documents without words have fingerprint 0 and link like any other; fewer
-words than a shingle has are one shingle; a null doc_id is larger than every other; repeated rows are copies of each
-other; an empty table gives an empty result; further columns are neither read nor touched.
+words than a shingle has are one shingle; a null doc_id is larger than every other; under a rule with a second
+fingerprint, documents of which no copy has an id link with nothing but copies; rows without an id all stay where only
+rows are dropped, if one of them must; repeated rows are copies of each other;
+an empty table gives an empty result; further columns are neither read nor touched.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,127 +34,224 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import components, shared
+from .shared import tidy
 
-SHINGLE_WORDS, DISTANCE, SEED = 4, 4, 42
+SEED, WIDE = 42, 4
 _CAPITALS = bytes(range(65, 91))
 _TO_SMALL = bytes.maketrans(_CAPITALS, _CAPITALS.lower())
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-#: Shingles whose bits are counted at a time, and documents of an output batch.
-_BLOCK, _ROWS = 1 << 16, 2000
+#: Shingles whose bits are counted at a time, documents of an output batch, and members of a cell that are compared at once.
+_BLOCK, _ROWS, _AT_ONCE = 255 * 64, 2000, 512
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Shingle length, differing bits and segments; if ``check_words``, the same of the second fingerprint."""
+
+    words: int
+    distance: int
+    segments: int
+    check_words: int = 0
+    check_distance: int = 0
+
+    def __post_init__(self):
+        if self.segments not in (1, 2, 4) or not 0 <= self.distance < 3 * self.segments:
+            raise ValueError("a segment may differ in 2 bits at most: 5 bits for 2 segments, 11 for 4")
+
+
+LINKS = Rule(4, 4, 2)
+NEAR = Rule(2, 11, 4, 5, 50)
+
+
+def _set_bits(hashes: np.ndarray) -> np.ndarray:
+    """How many of the rows have each bit, from the highest of the first column on."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(len(hashes), -1), axis=1)
+    even = len(bits) // 255 * 255  # sums of 255 bits fit a byte
+    return bits[:even].reshape(-1, 255, bits.shape[1]).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[even:].sum(0, dtype=np.uint8)
+
+
+def _stirred(h: np.ndarray) -> np.ndarray:
+    """Further 64 bits from each hash: fixed shifts and odd multipliers of a public finaliser."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class Words:
+    """The words of a text, joined by single spaces, and where each starts and ends."""
+
+    def __init__(self, text: str):
+        found = _WORD.findall(text.encode().translate(_TO_SMALL))
+        self.n, self.joined = len(found), b" ".join(found)
+        self.ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+        self.starts = np.concatenate([np.zeros(1, np.int64), self.ends[:-1] + 1])
 
+    def fingerprint(self, words: int, wide: int = 1) -> np.ndarray:
+        """``wide`` unsigned 64-bit numbers."""
+        from xxhash import xxh64_intdigest
 
-def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
-    from xxhash import xxh64_intdigest
+        if not self.n:
+            return np.zeros(wide, np.uint64)
+        n, joined = max(1, self.n - words + 1), self.joined
+        last = self.ends[self.n - n :]
+        counts = np.zeros(64 * wide, np.int64)
+        for at in range(0, n, _BLOCK):
+            spans = zip(self.starts[at : min(n, at + _BLOCK)].tolist(), last[at : at + _BLOCK].tolist(), strict=True)
+            columns = [np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64)]
+            for _ in range(wide - 1):
+                columns.append(_stirred(columns[-1]))
+            counts += _set_bits(np.stack(columns, axis=1))
+        return np.packbits(2 * counts > n).view(">u8").astype(np.uint64)
 
-    found = _WORD.findall(text.encode().translate(_TO_SMALL))
-    if not found:
-        return 0
-    joined = b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(found) - words + 1)
-    last = ends[len(found) - n :]
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, _BLOCK):
-        pieces = map(slice, starts[at : min(n, at + _BLOCK)].tolist(), last[at : at + _BLOCK].tolist())
-        hashes = np.array([xxh64_intdigest(joined[p], SEED) for p in pieces], dtype=">u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
+def fingerprint(text: str, words: int = LINKS.words) -> int:
+    return int(Words(text).fingerprint(words)[0])
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) for each row."""
 
+def signatures(docs: DataFrame, rule: Rule = LINKS) -> DataFrame:
+    """doc_id, fp (as a signed long) and, if the rule has one, check (the second fingerprint, as signed longs)."""
+
+    @tidy
     def convert(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
-                found = np.array([fingerprint(t or "", words) for t in part.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
-
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(convert, "doc_id long, fp long")
-
-
-def _linked(members: np.ndarray, distance: int) -> np.ndarray:
-    """For each of the sorted distinct fingerprints, the smallest one (as sorted) that it is connected with."""
-    root = np.empty(len(members), np.int64)
-    waiting = np.arange(len(members))
-    while len(waiting):
-        first, waiting = waiting[0], waiting[1:]
-        root[first] = first
-        frontier = [first]
-        while frontier and len(waiting):
-            near = np.bitwise_count(members[waiting] ^ members[frontier.pop()]) <= distance
-            if near.any():
-                root[waiting[near]] = first
-                frontier += waiting[near].tolist()
-                waiting = waiting[~near]
-    return root
-
-
-def _pairs(keys: np.ndarray, members: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside each run of equal keys; members: unsigned."""
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    sizes = np.diff(np.append(starts, len(keys)))
+                columns, prints, checks = [part.column(0)], [], []
+                for text in part.column(1):
+                    w = Words(text.as_py() or "")
+                    prints.append(w.fingerprint(rule.words))
+                    if rule.check_words:
+                        checks.append(w.fingerprint(rule.check_words, WIDE))
+                columns.append(pa.array(np.concatenate(prints).view(np.int64)))
+                if rule.check_words:
+                    offsets = np.arange(0, WIDE * part.num_rows + 1, WIDE, dtype=np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(checks).view(np.int64))))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "check"][: len(columns)])
+
+    kind = "doc_id long, fp long" + ", check array<long>" * bool(rule.check_words)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(convert, kind)
+
+
+@dataclass
+class Members:
+    """Rows of cells: the node that is linked, its fingerprint, and its second one, if any, as rows of numbers."""
+
+    nodes: np.ndarray
+    prints: np.ndarray
+    checks: np.ndarray | None
+
+    def take(self, which) -> Members:
+        return Members(self.nodes[which], self.prints[which], None if self.checks is None else self.checks[which])
+
+    def close(self, a, b, rule: Rule) -> np.ndarray:
+        """Whether the members at the places a and b link; b may be many."""
+        near = np.bitwise_count(self.prints[a] ^ self.prints[b]) <= rule.distance
+        if self.checks is not None and (at := np.flatnonzero(near)).size:
+            one = self.checks[a] if np.ndim(a) == 0 else self.checks[a[at]]
+            near[at] = np.bitwise_count(one ^ self.checks[b[at]]).sum(-1) <= rule.check_distance
+        return near
+
+    def roots(self, rule: Rule) -> np.ndarray:
+        """For each member, the place of the first one that it is connected with."""
+        n = len(self.nodes)
+        if n <= _AT_ONCE:
+            near = np.bitwise_count(self.prints[:, None] ^ self.prints) <= rule.distance
+            if np.count_nonzero(near) == n:
+                return np.arange(n)
+        root, waiting = np.empty(n, np.int64), np.arange(n)
+        while len(waiting):
+            first, waiting = waiting[0], waiting[1:]
+            root[first], frontier = first, [first]
+            while frontier and len(waiting):
+                near = self.close(frontier.pop(), waiting, rule)
+                if near.any():
+                    root[waiting[near]] = first
+                    frontier += waiting[near].tolist()
+                    waiting = waiting[~near]
+        return root
+
+
+def _cell_links(cells: np.ndarray, members: Members, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside each run of equal cells, by node."""
+    starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+    sizes = np.diff(np.append(starts, len(cells)))
     two = starts[sizes == 2]
-    close = two[np.bitwise_count(members[two] ^ members[two + 1]) <= distance]
-    left, right = [members[close]], [members[close + 1]]
+    two = two[members.close(two, two + 1, rule)]
+    left, right = [members.nodes[two]], [members.nodes[two + 1]]
     for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-        run = np.sort(members[start : start + size])
-        root = _linked(run, distance)
+        run = members.take(slice(start, start + size))
+        root = run.roots(rule)
         other = np.flatnonzero(root != np.arange(size))
-        left.append(run[root[other]])
-        right.append(run[other])
+        if len(other):
+            left.append(run.nodes[root[other]])
+            right.append(run.nodes[other])
     return np.concatenate(left), np.concatenate(right)
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """a, b: links that connect exactly what links of ``distance`` or fewer bits among the distinct ``fp`` connect."""
-    if not 0 <= distance <= 5:
-        raise ValueError("two segments, met at radius 1 from both sides, cover 5 differing bits at most")
-    flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << k).cast("long") for k in range(32)))
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    high = F.shiftrightunsigned("fp", 32)
-    cells = F.concat(F.transform(flips, lambda x: low.bitwiseXOR(x)), F.transform(flips, lambda x: high.bitwiseXOR(x).bitwiseOR(F.lit(1 << 32).cast("long"))))
-    filed = distinct.select(F.explode(cells).alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell")
+def links(distinct: DataFrame, rule: Rule = LINKS) -> DataFrame:
+    """a, b: links by node that connect exactly what the rule's links among the distinct (node, fp, check) connect."""
+    width = 64 // rule.segments
+    flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(width)))
+    tables = []
+    for s in range(rule.segments):
+        part = F.shiftrightunsigned("fp", s * width) if s else F.col("fp")
+        if width < 64:
+            part = part.bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+        number = F.lit(s << width if width < 64 else 0).cast("long")
+        tables.append(_filed(flips, part, number))
+    columns = ["node", "fp"] + ["check"] * bool(rule.check_words)
+    filed = distinct.select(F.explode(F.concat(*tables)).alias("cell"), *columns).repartition("cell").sortWithinPartitions("cell")
 
-    def search(batches):
-        rest = np.empty(0, np.int64), np.empty(0, np.uint64)
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        found = [batch.column(k).to_numpy() for k in range(3)]
+        if rule.check_words:
+            found.append(batch.column(3).flatten().to_numpy().reshape(-1, WIDE).view(np.uint64))
+        return tuple(found)
 
-        def emit(keys, members):
-            a, b = _pairs(keys, members, distance)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+    def emit(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        cells, nodes, prints, *checks = columns
+        a, b = _cell_links(cells, Members(nodes, prints.view(np.uint64), checks[0] if checks else None), rule)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
+    @tidy
+    def search(batches):
+        waiting: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            keys, members = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            if not len(keys):
+            if not batch.num_rows:
                 continue
-            waiting.append((keys, members))
-            if keys[0] == keys[-1]:
+            waiting.append(read(batch))
+            if waiting[-1][0][0] == waiting[-1][0][-1]:
                 continue  # one cell may fill many batches
-            rest = tuple(map(np.concatenate, zip(*waiting, strict=True)))
+            rest = [np.concatenate(x) for x in zip(*waiting, strict=True)]
             cut = int(np.searchsorted(rest[0], rest[0][-1]))
-            yield emit(rest[0][:cut], rest[1][:cut])
-            waiting = [(rest[0][cut:], rest[1][cut:])]
+            if cut:
+                yield emit(tuple(x[:cut] for x in rest))
+            waiting = [tuple(x[cut:] for x in rest)]
         if waiting:
-            yield emit(*map(np.concatenate, zip(*waiting, strict=True)))
+            yield emit(tuple(np.concatenate(x) for x in zip(*waiting, strict=True)))
 
     return filed.mapInArrow(search, "a long, b long")
 
 
-def near_groups(docs: DataFrame, *, words: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
+def _filed(flips, part, number):
+    """The cells of a segment's table: its value, and its value with each bit flipped."""
+    return F.transform(flips, lambda flip: part.bitwiseXOR(flip).bitwiseOR(number))
+
+
+def near_groups(docs: DataFrame, rule: Rule = LINKS) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id that can be reached) for each row."""
-    prints = shared.table(fingerprints(docs, words), "fingerprints")
-    distinct = shared.table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = components.label(links(distinct.select("fp"), distance))
-    rooted = shared.table(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    prints = shared.table(signatures(docs, rule), "fingerprints")
+    keys = ["fp"] + ["check"] * bool(rule.check_words)
+    node = F.col("least" if rule.check_words else "fp")
+    distinct = shared.table(prints.groupBy(*keys).agg(F.min("doc_id").alias("least")).withColumn("node", node), "distinct-fingerprints")
+    roots = components.label(links(distinct.where("node is not null"), rule))
+    rooted = shared.table(distinct.join(roots, "node", "left").select(*keys, "least", F.coalesce("root", "node").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    grouped = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(grouped, "fp").select("doc_id", "fp", "component_id")
+    grouped = rooted.join(named, "root", "left").select(*keys, "component_id")
+    return prints.join(grouped, keys).select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
+def drop_near_copies(docs: DataFrame, rule: Rule = NEAR) -> DataFrame:
     """The rows of ``docs``, with all their columns, that have the smallest doc_id of their group."""
-    keepers = near_groups(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    keepers = near_groups(docs, rule).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(keepers, docs["doc_id"].eqNullSafe(keepers["kept_id"]), "left_semi")

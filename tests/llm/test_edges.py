@@ -396,7 +396,7 @@ def test_cells_of_many_fingerprints(spark):
     rng = random.Random(4)
     centre = rng.getrandbits(64)
     prints = sorted({centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for _ in range(700)} | {rng.getrandbits(64) for _ in range(300)})
-    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long").withColumn("node", F.col("fp"))
     roots = {r["node"]: r["root"] for r in components.label(simhash.links(df)).collect()}
     mine = defaultdict(set)
     for p in prints:
@@ -408,6 +408,24 @@ def test_cells_of_many_fingerprints(spark):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
 
 
+def test_near_rule(spark):
+    """Copies with a similarity of 0.9 or so of five-word shingles are found; unrelated texts of the same words aren't."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    base = [[rng.choice(words) for _ in range(250)] for _ in range(40)]
+    rows = [(k, " ".join(t), "a") for k, t in enumerate(base)]
+    for k in range(40):
+        copy = list(base[k % 10])
+        copy[rng.randrange(250)] = "changed"
+        copy[rng.randrange(250)] = "anew"
+        rows.append((100 + k, " ".join(copy), "a"))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs(spark, rows), simhash.NEAR).collect()}
+    assert got == {k: k if k < 100 else (k - 100) % 10 for k in got}
+    assert sorted(r["doc_id"] for r in simhash.drop_near_copies(docs(spark, rows)).collect()) == list(range(40))
+    with pytest.raises(ValueError):
+        simhash.Rule(4, 6, 2)
+
+
 # toxicity
 
 
