@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +51,12 @@ def with_constant(a: DataFrame, am: Meta, op: str, constant: float, side: str, m
     v, c = F.col("v").cast(kind), F.lit(constant).cast(kind)
     cells = a.select("i", "j", apply(op, *((v, c) if side == "right" else (c, v)), meta.dtype).alias("v"))
     return cells.where("v <> 0") if meta.fmt == SPARSE else cells
+
+
+def map_numpy(df: DataFrame, f) -> DataFrame:
+    def convert(batches):
+        for batch in batches:
+            values = np.asarray(f(batch.column(2).to_numpy(zero_copy_only=False).astype(float)), float)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values)], ["i", "j", "v"])
+
+    return df.select("i", "j", "v").mapInArrow(convert, "i long, j long, v double")

@@ -99,3 +99,14 @@ def from_matrix(matrix: Matrix) -> DataFrame:
 
 def to_matrix(df: DataFrame, rows_: int, cols: int, vec: str = "vec") -> Matrix:
     return Matrix.from_cells(df.select("i", F.posexplode(vec).alias("j", "v")), rows_, cols)
+
+
+def join(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of two matrices side by side, by row number."""
+    return a.select("i", F.col("vec").alias("left")).join(b.select("i", F.col("vec").alias("right")), "i").select("i", F.concat("left", "right").alias("vec"))
+
+
+def split_label(df: DataFrame, at: int = 0) -> DataFrame:
+    """(i, vec, y): the component at a place becomes the label, the others the vector."""
+    rest = F.concat(F.slice("vec", 1, at), F.slice("vec", at + 2, F.size("vec"))) if at else F.slice("vec", 2, F.size("vec"))
+    return df.select("i", rest.alias("vec"), F.element_at("vec", at + 1).alias("y"))

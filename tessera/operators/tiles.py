@@ -38,6 +38,15 @@ def dense(tile: pd.Series | dict) -> np.ndarray:
     return out
 
 
+def _at(structs: pa.StructArray, n: int) -> dict:
+    """One tile of a column of tiles, its arrays without copies."""
+    tile = {name: structs.field(name)[n].as_py() for name in ("nr", "nc", "fmt")}
+    for name in ("data", "indptr", "indices"):
+        values = structs.field(name)[n].values
+        tile[name] = None if values is None else values.to_numpy(zero_copy_only=False)
+    return tile
+
+
 def pack(matrix: Matrix, tile: tuple[int, int] | None = None) -> DataFrame:
     """Cells gathered into tiles by one shuffle on the tile's place; a tile without cells is absent."""
     (tr, tc), (rows, cols) = tile or matrix.meta.tile, matrix.meta.shape
@@ -113,11 +122,13 @@ def multiply(a: DataFrame, b: DataFrame, transpose_a: bool = False, transpose_b:
 
         for batch in batches:
             for n in range(batch.num_rows):
-                row = batch.slice(n, 1).to_pylist()[0]
-                x, y = dense(row["x"]), dense(row["y"])
+                x, y = dense(_at(batch.column(2), n)), dense(_at(batch.column(3), n))
                 product = (x.T if transpose_a else x) @ (y.T if transpose_b else y)
-                key = row["oi"], row["oj"]
-                held[key] = held[key] + product if key in held else product
+                key = batch.column(0)[n].as_py(), batch.column(1)[n].as_py()
+                if key in held:
+                    held[key] += product
+                    continue
+                held[key] = product
                 if sum(v.size for v in held.values()) > HELD_CELLS:
                     yield flush()
         yield flush()
@@ -128,3 +139,10 @@ def multiply(a: DataFrame, b: DataFrame, transpose_a: bool = False, transpose_b:
         return pd.DataFrame({"bi": [key[0]], "bj": [key[1]], "nr": [first["nr"]], "nc": [first["nc"]], "fmt": ["dense"], "data": [data], "indptr": [None], "indices": [None]})
 
     return pairs.mapInArrow(products, partial).groupBy("bi", "bj").applyInPandas(total, SCHEMA)
+
+
+def describe(tiles: DataFrame) -> DataFrame:
+    """What is known of each tile: its place, size, format, stored values and bytes."""
+    sizes = [F.size("data").cast("long"), F.coalesce(F.size("indptr"), F.lit(0)).cast("long"), F.coalesce(F.size("indices"), F.lit(0)).cast("long")]
+    data, indptr, indices = (F.when(n >= 0, n).otherwise(F.lit(0)) for n in sizes)
+    return tiles.select("bi", "bj", "nr", "nc", "fmt", data.alias("stored"), (8 * data + 4 * indptr + 4 * indices).alias("bytes"))

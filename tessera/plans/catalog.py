@@ -113,6 +113,11 @@ def identity(spark, sf_dir):
     return Matrix.identity(spark, 50).cells()
 
 
+@_query("SELECT range AS i, 0::BIGINT AS j, 5 + range * 0.5::DOUBLE AS v FROM range(100)")
+def sequence(spark, sf_dir):
+    return Matrix.sequence(spark, 5, 54.5, 0.5).cells()
+
+
 @_query(_sql("SELECT j AS i, i AS j, v FROM p", p=P))
 def transpose_sparse(spark, sf_dir):
     return Tables(spark, sf_dir).p().T.cells()
@@ -164,6 +169,15 @@ def tile_round_trip(spark, sf_dir):
     return tiles.unpack(tiles.transpose(tiles.pack(p, (100, 7))), p.meta.cols, p.meta.rows, (7, 100), SPARSE).T.cells()
 
 
+@_query(_sql("SELECT (i // 100)::INTEGER AS bi, (j // 5)::INTEGER AS bj, count(*) AS n FROM p WHERE i // 100 = 1 AND j // 5 BETWEEN 0 AND 1 GROUP BY ALL", p=P))
+def tile_lookup(spark, sf_dir):
+    """Tiles stored and found by place."""
+    p, path = Tables(spark, sf_dir).p(), files.scratch(spark, "tiles")
+    files.write_tiles(tiles.pack(p, (100, 5)), p.meta, path)
+    found, _ = files.read_tiles(spark, path, rows=(1, 1), cols=(0, 1))
+    return found.select("bi", "bj", F.size(F.filter("data", lambda x: x != 0)).cast("long").alias("n"))
+
+
 @_query(_sql("SELECT i, j, v FROM u UNION ALL SELECT i, j + 5, 2 * v FROM u", u=U))
 def cbind(spark, sf_dir):
     u = Tables(spark, sf_dir).u()
@@ -339,6 +353,11 @@ _constant("abs_sqrt_log", "SELECT i, j, round(ln(1 + sqrt(abs(v))), 6) AS v FROM
 _constant("pow_least", "SELECT i, j, least(pow(v, 2), 100) AS v FROM e", lambda m: m.map(lambda c: F.least(F.pow(c, F.lit(2.0)), F.lit(100.0))))
 
 
+@_query(_sql("SELECT i, j, floor(v / 3) AS v FROM e", e=E))
+def map_numpy(spark, sf_dir):
+    return Tables(spark, sf_dir).e().map_numpy(lambda v: np.floor(v / 3)).cells()
+
+
 # products
 
 _PTP = "SELECT x.j AS i, y.j AS j, sum(x.v * y.v) AS v FROM {a} x JOIN {a} y USING (i) GROUP BY ALL"
@@ -691,6 +710,13 @@ def multinomial_logistic(spark, sf_dir):
     return _vector(spark, algorithms.multinomial(df, 10, ridge=0.01, turns=8)).withColumn("v", F.round("v", 5))
 
 
+@_query(_sql("SELECT x.i AS i, x.v AS y, sum(z.v) AS total FROM (SELECT i, v FROM e WHERE j = 0) x JOIN (SELECT i, v FROM e WHERE j > 0 UNION ALL SELECT i, v FROM e) z USING (i) GROUP BY ALL", e=E))
+def row_join_and_label(spark, sf_dir):
+    """Rows joined by number; the first component split off as a label."""
+    x = Tables(spark, sf_dir).vectors()
+    return rowvec.split_label(rowvec.join(x, x)).select("i", "y", F.aggregate("vec", F.lit(0.0), lambda s, v: s + v).alias("total"))
+
+
 # features
 
 

@@ -33,6 +33,8 @@ def _lower(x: Matrix, of) -> DataFrame:
             return elementwise.with_constant(of(x.operands[0]), x.operands[0].meta, p["op"], p["constant"], p["side"], meta)
         case "map":
             return of(x.operands[0]).select("i", "j", p["f"](F.col("v").cast("double")).cast(SQL_TYPES[meta.dtype]).alias("v"))
+        case "map_numpy":
+            return elementwise.map_numpy(of(x.operands[0]), p["f"])
         case "transpose":
             return of(x.operands[0]).select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
         case "subarray":

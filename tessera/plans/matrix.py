@@ -38,10 +38,26 @@ class Matrix:
         return cls("cells", Meta(rows, cols, fmt, dtype, tile), params={"df": typed})
 
     @classmethod
-    def full(cls, spark, rows: int, cols: int, value: float, tile: tuple[int, int] = (1000, 1000)) -> Matrix:
+    def full(cls, spark, rows: int, cols: int, value: float, tile: tuple[int, int] = (1000, 1000), density: float = 1.0, seed: int = 0) -> Matrix:
+        """One value everywhere; under a density of 1, in that share of the cells of a sparse matrix."""
         grid = spark.range(rows * cols).select(F.expr(f"id div {max(cols, 1)}").alias("i"), (F.col("id") % max(cols, 1)).alias("j"), F.lit(float(value)).alias("v"))
+        if density < 1:
+            return cls.from_cells(grid.where(F.rand(seed) < density).where("v <> 0"), rows, cols, SPARSE, tile=tile)
         return cls.from_cells(grid, rows, cols, tile=tile)
 
+    @classmethod
+    def sequence(cls, spark, start: float, stop: float, step: float = 1.0) -> Matrix:
+        """A column vector of start, start + step, ... up to stop, inclusive."""
+        n = max(0, int((stop - start) / step + 1e-9) + 1)
+        return cls.from_cells(spark.range(n).select(F.col("id").alias("i"), F.lit(0).alias("j"), (F.lit(float(start)) + F.col("id") * F.lit(float(step))).alias("v")), n, 1)
+
+    @classmethod
+    def random_triples(cls, spark, rows: int, cols: int, entries: int, seed: int) -> Matrix:
+        """A sparse matrix of uniform values at random places, those that meet added up, and its first and last cell set."""
+        drawn = spark.range(entries).select(F.floor(F.rand(seed) * rows).alias("i"), F.floor(F.rand(seed + 1) * cols).alias("j"), F.rand(seed + 2).alias("v"))
+        corners = spark.createDataFrame([(0, 0, 1.0), (rows - 1, cols - 1, 1.0)], "i long, j long, v double")
+        return cls.from_cells(drawn.unionAll(corners).groupBy("i", "j").agg(F.sum("v").alias("v")), rows, cols, SPARSE)
+
     @classmethod
     def identity(cls, spark, n: int) -> Matrix:
         return cls.from_cells(spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v")), n, n, SPARSE)
@@ -103,6 +119,10 @@ class Matrix:
         """``f``, which must keep 0 at 0, of the cells that are there; the format stays."""
         return Matrix("map", self.meta.but(dtype=DOUBLE), (self,), {"f": f})
 
+    def map_numpy(self, f: Callable) -> Matrix:
+        """As ``map``, for what Spark's expressions can't say: ``f`` of NumPy arrays, in Arrow batches; NaN stays NaN."""
+        return Matrix("map_numpy", self.meta.but(fmt=DENSE, dtype=DOUBLE), (self.densify(),), {"f": f})
+
     def exp(self) -> Matrix:
         return self.map(F.exp)
 
@@ -202,6 +222,17 @@ class Matrix:
         dense = self.densify()
         return window.table(lowering.lower(rules.rewrite(dense)), size, tuple(funcs))
 
+    def persist(self) -> Matrix:
+        """The result held by Spark once it is first computed, for expressions that use it several times."""
+        return Matrix("cells", self.meta, params={"df": self.cells().persist()})
+
+    def checkpoint(self) -> Matrix:
+        """The result written to the shared folder: cuts the lineage of a loop, and survives lost executors."""
+        from tessera.sources import files
+
+        files.shared_folder(self.cells().sparkSession)
+        return Matrix("cells", self.meta, params={"df": self.cells().checkpoint()})
+
     def scalar(self) -> float:
         row = self.cells().first()
         return 0.0 if row is None else row["v"]

@@ -56,6 +56,31 @@ def compact(spark: SparkSession, path: str, files: int) -> None:
     fs.rename(_path(spark, new)[0], old)
 
 
+def write_tiles(packed: DataFrame, meta: Meta, path: str) -> None:
+    """Store tiles sorted by place, so that the files' minima and maxima find one; shape and tile size go to a sidecar."""
+    packed.repartitionByRange("bi", "bj").sortWithinPartitions("bi", "bj").write.parquet(f"{path}/tiles")
+    packed.sparkSession.createDataFrame([(json.dumps(asdict(meta)),)], "value string").coalesce(1).write.text(f"{path}/{_SIDECAR}")
+
+
+def read_tiles(spark: SparkSession, path: str, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None) -> tuple[DataFrame, Meta]:
+    """Stored tiles, all or those between places (inclusive), and what is known of the matrix."""
+    known = json.loads(spark.read.text(f"{path}/{_SIDECAR}").first()[0])
+    df = spark.read.parquet(f"{path}/tiles")
+    for name, bounds in (("bi", rows), ("bj", cols)):
+        if bounds:
+            df = df.where(F.col(name).between(*bounds))
+    return df, Meta(**{**known, "tile": tuple(known["tile"])})
+
+
+def read_described(spark: SparkSession, path: str) -> Matrix:
+    """A CSV, dense or of triples (0-based), by the JSON description in ``path``.mtd: rows, cols, nnz, sep."""
+    known = json.loads("".join(r[0] for r in spark.read.text(f"{path}.mtd").collect()))
+    rows, cols, sep = int(known["rows"]), int(known["cols"]), known.get("sep", ",")
+    if int(known.get("nnz", rows * cols)) == rows * cols:
+        return read_dense_csv(spark, path, rows, cols, sep)
+    return read_triples(spark, path, rows, cols, sep)
+
+
 def read_triples(spark: SparkSession, path: str, rows: int, cols: int, sep: str = ",", base: int = 0) -> Matrix:
     """Lines row, column, value in any order; places counted from ``base``."""
     df = spark.read.schema("i long, j long, v double").csv(path, sep=sep)

@@ -369,3 +369,43 @@ def test_random(spark):
     assert (a >= 0).all() and (a < 1).all() and len(np.unique(a)) > 190
     s = Matrix.random(spark, 100, 10, seed=3, density=0.2)
     assert 100 < s.cells().count() < 300 and s.meta.fmt == SPARSE
+
+
+def test_more_sources(spark, tmp_path, data, made):
+    a, b = data[:2]
+    x, y = made[:2]
+    path = f"file://{tmp_path}"
+    same(Matrix.sequence(spark, 1, 2, 0.25), np.arange(1, 2.01, 0.25)[:, None])
+    thin = Matrix.full(spark, 50, 10, 2.0, density=0.3, seed=1)
+    assert thin.meta.fmt == SPARSE and 80 < thin.cells().count() < 220 and set(np.unique(thin.to_numpy())) == {0, 2}
+    drawn = Matrix.random_triples(spark, 30, 20, 100, 4)
+    assert drawn.to_numpy()[0, 0] >= 1 and drawn.to_numpy()[-1, -1] >= 1 and drawn.cells().groupBy("i", "j").count().where("count > 1").count() == 0
+    files.write_tiles(tiles.pack(y), y.meta, f"{path}/t")
+    read, meta = files.read_tiles(spark, f"{path}/t")
+    same(tiles.unpack(read, *meta.shape, meta.tile, SPARSE), b)
+    one, _ = files.read_tiles(spark, f"{path}/t", rows=(0, 0), cols=(1, 1))
+    assert {(r["bi"], r["bj"]) for r in one.collect()} <= {(0, 1)}
+    known = {(r["bi"], r["bj"]): r for r in tiles.describe(read).collect()}
+    assert all(r["stored"] == (r["nr"] * r["nc"] if r["fmt"] == "dense" else np.count_nonzero(b[4 * i : 4 * i + 4, 3 * j : 3 * j + 3])) for (i, j), r in known.items())
+    files.write_triples(y, f"{path}/d.csv")
+    (tmp_path / "d.csv.mtd").write_text('{"rows": 7, "cols": 5, "nnz": 3, "sep": ","}')
+    same(files.read_described(spark, f"{path}/d.csv"), b)
+
+
+def test_more_maps(data, made):
+    (a, b, _), (x, y, _) = data, made
+    same(y.map_numpy(np.cos), np.cos(b))
+    with np.errstate(all="ignore"):
+        same((x / x).map_numpy(lambda v: v), a / a)
+    same(x.persist() + x.checkpoint(), 2 * a)
+
+
+def test_row_vectors(spark, data):
+    a, x = data[0], rowvec.from_matrix(make(spark, data[0]))
+    same(rowvec.to_matrix(rowvec.join(x, x), 7, 10), np.hstack([a, a]))
+    for at in (0, 2, 4):
+        got = rowvec.split_label(x, at).orderBy("i").collect()
+        assert [r["y"] for r in got] == a[:, at].tolist() and [r["vec"] for r in got] == np.delete(a, at, 1).tolist()
+    same(Matrix.from_cells(rowvec.gram_frame(x), 5, 5), a.T @ a)
+    same(Matrix.from_cells(rowvec.times_vector(x, [1, 2, 3, 4, 5]), 7, 1), (a @ np.arange(1, 6))[:, None])
+    assert rowvec.gram_frame(x.limit(0)).count() == 0
