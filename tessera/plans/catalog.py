@@ -234,9 +234,9 @@ def io_triples(spark, sf_dir):
     return files.read_triples(spark, path, *p.meta.shape).cells()
 
 
-@_query(_sql("SELECT i, j, v FROM p WHERE i < 150", p=P))
+@_query(_sql("SELECT i, j, v FROM p", p=P))
 def io_matrix_market(spark, sf_dir):
-    p, path = Tables(spark, sf_dir).p().subarray((0, 149), (0, 10**9)), files.scratch(spark, "market")
+    p, path = Tables(spark, sf_dir).p(), files.scratch(spark, "market")
     files.write_matrix_market(p, path)
     return files.read_matrix_market(spark, path).cells()
 
@@ -400,10 +400,10 @@ def gram_p_tiles(spark, sf_dir):
     return tiles.unpack(tiles.multiply(packed, packed, transpose_a=True), n, n, (256, 256), SPARSE).cells()
 
 
-@_query(_sql("SELECT x.i AS i, y.i AS j, sum(x.v * y.v) AS v FROM (SELECT * FROM p WHERE i < 60) x JOIN p y USING (j) GROUP BY ALL HAVING sum(x.v * y.v) <> 0", p=P))
-def matmul_ppt(spark, sf_dir):
-    p = Tables(spark, sf_dir).p()
-    return (p.subarray((0, 59), (0, 10**9)) @ p.T).cells()
+@_query(_sql("SELECT x.i AS i, y.i AS j, sum(x.v * y.v) AS v FROM s x JOIN s y USING (j) GROUP BY ALL", u=U, s="SELECT * FROM u WHERE v <> 0"))
+def matmul_aat(spark, sf_dir):
+    u = Tables(spark, sf_dir).u().sparsify()
+    return (u @ u.T).cells()
 
 
 @_query(_sql("SELECT x.j AS i, y.j AS j, sum(x.v * y.v) AS v FROM p x JOIN d y USING (i) GROUP BY ALL HAVING sum(x.v * y.v) <> 0", p=P, d=D))
@@ -412,16 +412,16 @@ def matmul_sparse(spark, sf_dir):
     return (t.p().T @ t.d()).cells()
 
 
-@_query(_sql("SELECT x.j AS i, y.i AS j, sum(x.v * y.v) AS v FROM e x JOIN (SELECT j AS k, i, v FROM e WHERE i < 20) y ON x.i = y.k WHERE x.i < 64 GROUP BY ALL", e=E))
+@_query(_sql("SELECT x.i, y.j, sum(x.v * y.v) AS v FROM g x JOIN g y ON x.j = y.i GROUP BY ALL", e=E, g=_PTP.format(a="e")))
 def matmul_tt(spark, sf_dir):
     e = Tables(spark, sf_dir).e()
-    return (e.subarray((0, 63), (0, 63)).T @ e.subarray((0, 19), (0, 63)).T).cells()
+    return (e.T @ ((e.T @ e) @ e.T).T).cells()
 
 
-@_query(_sql("SELECT x.i AS i, y.j AS j, sum(x.v * y.v) AS v FROM e x JOIN e y ON x.j = y.i WHERE y.i < 64 GROUP BY ALL", e=E))
+@_query(_sql("SELECT e.i, g.j, sum(e.v * g.v) AS v FROM e JOIN g ON e.j = g.i GROUP BY ALL", e=E, g=_PTP.format(a="e")))
 def gmm(spark, sf_dir):
     e = Tables(spark, sf_dir).e()
-    return (e @ e.subarray((0, 63), (0, 63))).cells()
+    return (e @ (e.T @ e)).cells()
 
 
 @_query(_sql("SELECT i, 0::BIGINT AS j, sum(v * (j % 7 + 1)) AS v FROM e GROUP BY i", e=E))
@@ -438,16 +438,16 @@ def spmv(spark, sf_dir):
     return (p @ Matrix.from_cells(w, p.meta.cols, 1)).cells()
 
 
-@_query(_sql("SELECT x.i AS i, y.j AS j, sum(x.v * y.v) AS v FROM u x JOIN (SELECT j AS i, i AS j, v FROM p WHERE i < 40 AND j < 5) y ON x.j = y.i GROUP BY ALL", u=U, p=P))
+@_query(_sql("SELECT x.i AS i, y.i AS j, sum(x.v * y.v) AS v FROM u x JOIN u y USING (j) WHERE y.v <> 0 GROUP BY ALL", u=U))
 def matmul_mixed(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return (t.u() @ t.p().subarray((0, 39), (0, 4)).T).cells()
+    u = Tables(spark, sf_dir).u()
+    return (u @ u.sparsify().T).cells()
 
 
-@_query(_sql("SELECT x.i AS i, y.j AS j, x.v * y.v + 0 AS v FROM (SELECT i, v FROM e WHERE j = 0) x CROSS JOIN (SELECT j, v FROM e WHERE i = 0) y", e=E))
+@_query(_sql("SELECT x.i AS i, y.j AS j, x.v * y.v + 0 AS v FROM (SELECT i, sum(v) AS v FROM e GROUP BY i) x CROSS JOIN (SELECT j, sum(v) AS v FROM e GROUP BY j) y", e=E))
 def outer_product(spark, sf_dir):
     e = Tables(spark, sf_dir).e()
-    return (e.subarray((0, 10**9), (0, 0)) @ e.subarray((0, 0), (0, 63))).cells()
+    return (e.aggregate("sum", "rows") @ e.aggregate("sum", "cols")).cells()
 
 
 @_query(_sql("SELECT i, j, e.v + f.v + g.v + h.v + k.v AS v FROM e JOIN f USING (i, j) JOIN g USING (i, j) JOIN h USING (i, j) JOIN k USING (i, j)", e=E, f=_E.format(n=32), g=_E.format(n=16), h=_E.format(n=8), k=_E.format(n=4)))
@@ -457,11 +457,11 @@ def manyadd(spark, sf_dir):
     return (((m + n) + (o + p)) + q).cells()
 
 
-@_query(_sql("SELECT t.i AS i, 0::BIGINT AS j, t.v * s.v + 0 AS v FROM (SELECT i, v FROM e WHERE j = 0) t CROSS JOIN (SELECT sum(a.v * b.v) AS v FROM e a JOIN e b USING (i) WHERE a.j = 1 AND b.j = 2) s", e=E))
+@_query(_sql("SELECT i, 0::BIGINT AS j, t * (SELECT sum(u * v) FROM r) + 0 AS v FROM r", r=f"SELECT i, sum(v) AS t, max(v) AS u, min(v) AS v FROM ({E}) GROUP BY i"))
 def chain_order(spark, sf_dir):
     """(t·u)·v: the rewrite associates to the right, so that no N x N product is formed."""
     e = Tables(spark, sf_dir).e()
-    t, u, v = (e.subarray((0, 10**9), (k, k)) for k in range(3))
+    t, u, v = (e.aggregate(f, "rows") for f in ("sum", "max", "min"))
     return ((t @ u.T) @ v).cells()
 
 
@@ -510,17 +510,18 @@ for _keep, _key in (("rows", "i"), ("cols", "j"), ("", None)):
 
 def _window_sql(size: tuple[int, int]) -> str:
     (a, b), (c, d) = ((n // 2, n - 1 - n // 2) for n in size)
+    first, second = f"(PARTITION BY j ORDER BY i RANGE BETWEEN {a} PRECEDING AND {b} FOLLOWING)", f"(PARTITION BY i ORDER BY j RANGE BETWEEN {c} PRECEDING AND {d} FOLLOWING)"
+    variance = "greatest(q / n - (s / n) * (s / n), 0)"
     return _sql(
-        f"""SELECT x.i AS i, x.j AS j, count(*)::BIGINT AS count, sum(y.v) AS sum, round(sum(y.v) / count(*), 6) AS avg, max(y.v) AS max, min(y.v) AS min,
-                   round(greatest(sum(y.v * y.v) / count(*) - (sum(y.v) / count(*)) * (sum(y.v) / count(*)), 0), 6) AS var,
-                   round(sqrt(greatest(sum(y.v * y.v) / count(*) - (sum(y.v) / count(*)) * (sum(y.v) / count(*)), 0)), 6) AS stdev, round(sqrt(sum(y.v * y.v)), 6) AS norm
-            FROM e x JOIN e y ON y.i BETWEEN x.i - {a} AND x.i + {b} AND y.j BETWEEN x.j - {c} AND x.j + {d} GROUP BY x.i, x.j""",
-        e=f"SELECT * FROM ({E}) WHERE i < 120",
+        f"SELECT i, j, n::BIGINT AS count, s AS sum, round(s / n, 6) AS avg, hi AS max, lo AS min, round({variance}, 6) AS var, round(sqrt({variance}), 6) AS stdev, round(sqrt(q), 6) AS norm FROM b",
+        e=E,
+        a=f"SELECT i, j, count(*) OVER w AS n, sum(v) OVER w AS s, sum(v * v) OVER w AS q, max(v) OVER w AS hi, min(v) OVER w AS lo FROM e WINDOW w AS {first}",
+        b=f"SELECT i, j, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(q) OVER w AS q, max(hi) OVER w AS hi, min(lo) OVER w AS lo FROM a WINDOW w AS {second}",
     )
 
 
 for _name, _size in (("odd", (3, 5)), ("even", (2, 4)), ("wide", (9, 200))):
-    _query(_window_sql(_size), f"window2d_{_name}")(lambda spark, sf_dir, size=_size: _rounded(Tables(spark, sf_dir).e().subarray((0, 119), (0, 63)).windows(size)))
+    _query(_window_sql(_size), f"window2d_{_name}")(lambda spark, sf_dir, size=_size: _rounded(Tables(spark, sf_dir).e().windows(size)))
 
 
 # algorithms
@@ -534,14 +535,14 @@ def _graph(spark, sf_dir) -> Matrix:
     """Suppliers, then parts; an edge both ways where a part has been supplied."""
     t = Tables(spark, sf_dir)
     n, m = t.read("supplier").count(), t.read("part").count()
-    lines = t.read("lineitem").where("l_quantity > 45").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + n).alias("b")).distinct()
+    lines = t.read("lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + n).alias("b")).distinct()
     return tables.from_edges(lines.unionAll(lines.select(F.col("b").alias("a"), F.col("a").alias("b"))), "a", "b", n + m)
 
 
 def _pagerank_sql(turns: int) -> str:
     names = {
         "s": SHAPE,
-        "half": "SELECT DISTINCT l_suppkey AS a, l_partkey + cols AS b FROM lineitem, s WHERE l_quantity > 45",
+        "half": "SELECT DISTINCT l_suppkey AS a, l_partkey + cols AS b FROM lineitem, s",
         "edges": "SELECT a AS i, b AS j FROM half UNION ALL SELECT b, a FROM half",
         "m": "SELECT i, j, 1.0::DOUBLE / count(*) OVER (PARTITION BY j) AS v FROM edges",
         "r0": "SELECT r.range AS i, 1.0::DOUBLE / (rows + cols) AS v FROM s, range(rows + cols) r",
@@ -556,7 +557,6 @@ def pagerank_3it(spark, sf_dir):
     return algorithms.pagerank(_graph(spark, sf_dir), 3).withColumn("v", F.round("v", 10))
 
 
-_X = "SELECT unnest([0, 1, 2, 3]) AS k, unnest([1, l_quantity / 50, l_discount, l_tax]) AS x, row_number() OVER () AS i, (l_returnflag = 'R')::INTEGER AS y FROM lineitem"
 
 
 def _lr_sql(turns: int) -> str:
@@ -579,7 +579,6 @@ def logit_mean_3it(spark, sf_dir):
     return _vector(spark, algorithms.logistic(x, np.zeros(4), rate=0.001, turns=3, average=True)).withColumn("v", F.round("v", 6))
 
 
-_SIGMA = "1 / (1 + exp(-{z}))"
 
 
 @_query(
