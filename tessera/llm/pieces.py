@@ -2,8 +2,8 @@
 
 Encoding doesn't merge: it searches for the one sequence of pieces in which every two neighbours stay apart when they
 are merged again. An Aho-Corasick automaton finds the longest piece at a position, tried first; then come the pieces
-that it starts with. A piece is taken if it is compatible with the one before it (their concatenation, merged by score,
-gives back the two) and its end isn't marked as failed in the bitfield; where none fits, the position is marked and the
+that it starts with. A piece is taken if it is compatible with the one before it (the two, merged again, come out as
+they are) and its end isn't marked as failed in the bitfield; where none fits, the position is marked and the
 search steps back. No position is tried twice, so the work is linear.
 
 No piece of the vocabulary holds a character other than the word mark before a word mark (checked on loading; else the
@@ -33,7 +33,7 @@ from .shared import tidy
 
 MARK = "▁"
 #: Words, and pairs of pieces, that a worker process remembers at most in each of two generations; the longest such word.
-CACHED, CACHED_CHARS = 1 << 18, 64
+CACHED_WORDS, CACHED_PAIRS, CACHED_CHARS = 1 << 18, 1 << 17, 64
 #: Bytes of text, or ids, that go into one output batch.
 BATCH_SIZE = 4 << 20
 
@@ -79,22 +79,48 @@ class Encoder:
         self.automaton.make_automaton()
         #: The longest piece that a piece starts with, other than itself.
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.ids), None) for p in self.ids}
-        self.apart = _Recent(lambda pair: self.merged("".join(pair)) == [p for p in pair if p])
-        self.words = _Recent(lambda word: self.unit(MARK + word))
-
-    def merged(self, text: str) -> list[str]:
-        """Pieces by merging: always the pair of neighbours with the highest score, of those the leftmost."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, 0
-            for k, pair in enumerate(zip(parts, parts[1:], strict=False)):
-                score = self.scores.get(pair[0] + pair[1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, k
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        #: When a piece is made, by score; characters are there before. And the two pieces that make it; none for a
+        #: character, and False for a piece that merging doesn't arrive at.
+        self.turn = {p: -1.0 if len(p) == 1 else -score for p, score in self.scores.items()}
+        self.halves = {p: None if len(p) == 1 else self._last_merge(p) for p in self.ids}
+        self.apart = _Recent(lambda pair: self._stay_apart(*pair), CACHED_PAIRS)
+        self.words = _Recent(lambda word: self.unit(MARK + word), CACHED_WORDS)
+
+    def _best_merge(self, parts: list[str]) -> int | None:
+        """Where the pair of neighbours with the highest score is, of those the leftmost."""
+        best, at = None, None
+        for k, pair in enumerate(pairwise(parts)):
+            score = self.scores.get(pair[0] + pair[1])
+            if score is not None and (best is None or score > best):
+                best, at = score, k
+        return at
+
+    def _last_merge(self, piece: str) -> tuple[str, str] | bool:
+        parts, last = list(piece), None
+        while (at := self._best_merge(parts)) is not None:
+            last = (parts[at], parts[at + 1])
+            parts[at : at + 2] = ["".join(last)]
+        return last if len(parts) == 1 else False
+
+    def _stay_apart(self, left: str, right: str) -> bool:
+        """Whether two neighbours, merged again from their characters, come out as they are; left may be empty.
+
+        The merges on both sides are undone from the last one back. As long as the pieces that face each other at the
+        border can't merge before what stands there was used up, no merge crosses the border.
+        """
+        if self.halves[right] is False or not left:
+            return self.halves[right] is not False
+        before = float("inf")
+        while True:
+            made = self.turn.get(left + right)
+            if made is not None and made < before:
+                return False
+            if self.turn[left] > self.turn[right]:
+                before, left = self.turn[left], self.halves[left][1]
+            elif self.halves[right] is None:
+                return True
+            else:  # of equal merges the left one comes first
+                before, right = self.turn[right] + 0.5, self.halves[right][0]
 
     def _longest(self, text: str, at: int) -> str:
         return next(self.automaton.iter_long(text, at))[1]
@@ -102,17 +128,22 @@ class Encoder:
     def _search(self, text: str) -> list[str]:
         """The pieces of a text of which each character has a piece."""
         greedy = [piece for _, piece in self.automaton.iter_long(text)]
-        if all(map(self.apart.__getitem__, pairwise(["", *greedy]))):
+        apart, last, right = self.apart, "", 0
+        for piece in greedy:
+            if not apart[last, piece]:
+                break
+            last, right = piece, right + 1
+        else:
             return greedy
-        n = len(text)
+        # up to here the search would have taken the longest pieces, too
+        n, taken = len(text), greedy[:right]
         longest = dict(zip(accumulate(map(len, greedy), initial=0), greedy, strict=False))
         alive = bytearray(b"\x01") * (n + 1)
-        taken: list[str] = []
-        last, at, piece = "", 0, longest[0]
+        at, piece = sum(map(len, taken)), self.shorter[piece]
         while True:
             while piece is not None:
                 end = at + len(piece)
-                if alive[end] and self.apart[last, piece]:
+                if alive[end] and apart[last, piece]:
                     break
                 piece = self.shorter[piece]
             if piece is not None:
@@ -131,16 +162,16 @@ class Encoder:
         """The ids of a unit, as the bytes of 32-bit integers."""
         if self.characters.issuperset(text):
             return array("i", map(self.ids.__getitem__, self._search(text))).tobytes()
-        ids: list[int] = []
-        start = 0
-        for k in range(len(text) + 1):
-            if k == len(text) or text[k] not in self.characters:
-                if start < k:
-                    ids += map(self.ids.__getitem__, self._search(text[start:k]))
-                if k < len(text):
-                    ids += map(self.vocabulary.byte_ids.__getitem__, text[k].encode())
-                start = k + 1
-        return array("i", ids).tobytes()
+        # a character without a piece merges with nothing: what stands between such characters is encoded by itself
+        out = []
+        for part in re.split(f"([{re.escape(''.join(sorted(set(text) - self.characters)))}])", text):
+            if part[:1] == MARK and len(part) > 1:
+                out.append(self.words[part[1:]])
+            elif part and part[0] not in self.characters:
+                out.append(array("i", map(self.vocabulary.byte_ids.__getitem__, part.encode())).tobytes())
+            elif part:
+                out.append(array("i", map(self.ids.__getitem__, self._search(part))).tobytes())
+        return b"".join(out)
 
     def encode_bytes(self, text: str) -> bytes:
         if not text:
@@ -174,11 +205,11 @@ class Decoder:
 
 
 class _Recent(dict):
-    """Results by key, of at least the last ``CACHED`` keys and at most twice as many."""
+    """Results by key, of at least the last ``most`` keys and at most twice as many."""
 
-    def __init__(self, compute):
+    def __init__(self, compute, most: int):
         super().__init__()
-        self.compute, self.older = compute, {}
+        self.compute, self.most, self.older = compute, most, {}
 
     def __missing__(self, key):
         found = self.older.get(key)
@@ -186,16 +217,12 @@ class _Recent(dict):
             found = self.compute(key)
             if len(key) > CACHED_CHARS:
                 return found
-        if len(self) >= CACHED:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[key] = found
         return found
 
-    def forget(self) -> None:
-        self.clear()
-        self.older = {}
-
 
 codecs.register_error("one-mark-a-byte", lambda e: ("\ufffd", e.start + 1))
 
@@ -237,8 +264,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id", t
                 if and_decode:
                     columns.append(pa.array([decoder.decode(np.frombuffer(x, np.int32).tolist()) for x in coded], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names)
-        encoder.words.forget()  # an idle worker process keeps its memory
-        encoder.apart.forget()
+        encoder.words.older, encoder.apart.older = {}, {}  # an idle worker process keeps its memory
 
     names = [id_column, "ids", "decoded"][: 2 + and_decode]
     kind = docs.schema[id_column].dataType.simpleString()

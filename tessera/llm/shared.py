@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import functools
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that every operator here splits and joins on, as a class for Java's, RE2's and Python's regular expressions.
 SPACE = r"\x20\x09-\x0D"
+_cleaned: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,14 +22,17 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = "file:///tmp/checkpoints/tessera"
-        spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    app = spark.sparkContext.applicationId
+    if app not in _cleaned:
+        _cleaned.add(app)
+        atexit.register(clean, spark)
+    return f"{shared_folder(spark)}/{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -37,9 +42,11 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_table(spark: SparkSession, path: str) -> None:
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+def clean(spark: SparkSession) -> None:
+    """Delete what this application has written with ``table``; runs by itself when Python ends in good order."""
+    with contextlib.suppress(Exception):  # the session may be gone by then
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(text: Column) -> Column:
