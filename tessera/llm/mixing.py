@@ -50,7 +50,8 @@ def water_fill(sizes: list[int], weights: list[int], total: float, cap: int) ->
     for at, k in enumerate(by_fill):
         level = (total - full) / weight
         if level <= tops[k] / weights[k]:
-            return [float(tops[j]) if j in set(by_fill[:at]) else weights[j] * level for j in range(len(sizes))]
+            topped = set(by_fill[:at])
+            return [float(tops[j]) if j in topped else weights[j] * level for j in range(len(sizes))]
         full, weight = full + tops[k], weight - weights[k]
     return [float(x) for x in tops]
 

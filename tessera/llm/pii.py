@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -263,21 +264,55 @@ def _tagged(tags: np.ndarray, margin: np.ndarray, start: int, size: int) -> list
     return found
 
 
+class Cover:
+    """Spans without overlaps, in order; each question takes a binary search."""
+
+    def __init__(self, spans=()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.starts and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect_left(self.ends, a + 1)
+        return k < len(self.starts) and self.starts[k] < b
+
+    def add(self, a: int, b: int) -> None:
+        """A span that meets none."""
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+
+
 def reconcile(pieces: list[tuple[int, int, str, float, bool, bool]]) -> list[Span]:
     """One set of spans without overlaps from the spans of all windows."""
     pieces = sorted(set(pieces))
     whole = [p for p in pieces if not (p[4] or p[5])]
-    cut = [p for p in pieces if (p[4] or p[5]) and not any(w[0] <= p[0] and p[1] <= w[1] and w[2] == p[2] for w in whole)]
+    reach: dict[str, tuple[list[int], list[int]]] = {k: ([], []) for k in KINDS}  # starts, and how far any span up to there goes
+    for a, b, kind, *_ in whole:
+        starts, ends = reach[kind]
+        starts.append(a)
+        ends.append(max(b, ends[-1]) if ends else b)
+
+    def held(a: int, b: int, kind: str) -> bool:
+        k = bisect_right(reach[kind][0], a)
+        return k > 0 and reach[kind][1][k - 1] >= b
+
     joined: list[tuple[int, int, str, float]] = []
-    for a, b, kind, sure, *_ in cut:
+    for a, b, kind, sure, *_ in (p for p in pieces if (p[4] or p[5]) and not held(*p[:3])):
         if joined and joined[-1][2] == kind and a <= joined[-1][1]:
             x = joined[-1]
             joined[-1] = (x[0], max(b, x[1]), kind, max(sure, x[3]))
         else:
             joined.append((a, b, kind, sure))
-    taken: list[Span] = []
+    cover, taken = Cover(), []
     for a, b, kind, _ in sorted([*((*p[:4],) for p in whole), *joined], key=lambda p: (-p[3], p)):
-        if all(b <= x or a >= y for x, y, _ in taken):
+        if not cover.meets(a, b):
+            cover.add(a, b)
             taken.append((a, b, kind))
     return sorted(taken)
 
@@ -303,9 +338,9 @@ def all_spans(text: str, network: Network, s: Settings) -> list[Span]:
             row[: len(part)] = part
         for a, tags, margin in zip(some, *network.decode(x), strict=True):
             pieces += _tagged(tags, margin, a, len(text) - a)
-    taken = sorted([*good, *failed])
+    taken = Cover((a, b) for a, b, _ in [*good, *failed])
     apart = lambda a, b: not (a and text[a - 1].isalnum()) and not text[b : b + 1].isalnum()  # noqa: E731  not a part of a longer word
-    added = [(a, b, f"model_{k}") for a, b, k in reconcile(pieces) if apart(a, b) and all(b <= x or a >= y for x, y, _ in taken) and plausible(text[a:b], k)]
+    added = [(a, b, f"model_{k}") for a, b, k in reconcile(pieces) if apart(a, b) and not taken.meets(a, b) and plausible(text[a:b], k)]
     order = (*KINDS, *(f"model_{k}" for k in KINDS))
     return sorted([*good, *added], key=lambda p: (p[0], order.index(p[2])))
 

@@ -288,6 +288,25 @@ def test_base_spans_of_long_texts():
         pii.base_matches(text)
 
 
+def test_cover():
+    rng = random.Random(9)
+    for _ in range(300):
+        spans = [(a, a + rng.randint(1, 5)) for a in (rng.randrange(40) for _ in range(rng.randint(0, 6)))]
+        cover = pii.Cover(spans)
+        for a in range(40):
+            b = a + rng.randint(1, 4)
+            assert cover.meets(a, b) == any(x < b and a < y for x, y in spans)
+
+
+def test_reconcile():
+    whole, cut = (5, 15, "phone", 2.0, False, False), (8, 15, "phone", 3.0, True, False)
+    assert pii.reconcile([whole, cut]) == [(5, 15, "phone")]
+    assert pii.reconcile([(5, 20, "card", 1.0, False, True), (18, 30, "card", 1.5, True, False)]) == [(5, 30, "card")]
+    assert pii.reconcile([(0, 4, "ip", 1.0, False, False), (2, 6, "phone", 5.0, False, False), (6, 9, "ip", 1.0, False, False)]) == [(2, 6, "phone"), (6, 9, "ip")]
+    many = [(20 * k, 20 * k + 12, "phone", 1.0, False, False) for k in range(20_000)]
+    assert len(pii.reconcile(many)) == 20_000
+
+
 def test_network_gradients():
     s = pii.Settings(hidden=3, window=6)
     net = pii.Network.new(s)
