@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -65,5 +67,6 @@ def judge(pages: DataFrame, rules: DataFrame, *, default: str = "allow", prefix_
         "host", "start", _digest(F.col("expression")).alias("asked")
     )
     fits = asked.withColumn("short", F.substring("asked", 1, prefix_chars)).join(stored, "short").where("asked = digest")
-    best = fits.groupBy("host", "start").agg(F.max(F.struct("rank", "rule", "verdict")).alias("best"))
+    # as a table of its own, so that both sides of the last join are dealt anew and a frequent start can be split
+    best = shared.table(fits.groupBy("host", "start").agg(F.max(F.struct("rank", "rule", "verdict")).alias("best")), "verdicts")
     return judged.join(best, ["host", "start"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
