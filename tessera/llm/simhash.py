@@ -246,7 +246,8 @@ def near_groups(docs: DataFrame, rule: Rule = LINKS) -> DataFrame:
     distinct = shared.table(prints.groupBy(*keys).agg(F.min("doc_id").alias("least")).withColumn("node", node), "distinct-fingerprints")
     roots = components.label(links(distinct.where("node is not null"), rule))
     rooted = shared.table(distinct.join(roots, "node", "left").select(*keys, "least", F.coalesce("root", "node").alias("root")), "rooted")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # as a table of its own, so that both sides of the next join are dealt anew and a large group can be split
+    named = shared.table(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
     grouped = rooted.join(named, "root", "left").select(*keys, "component_id")
     return prints.join(grouped, keys).select("doc_id", "fp", "component_id")
 
