@@ -50,3 +50,19 @@ def reduce(df: DataFrame, keep: tuple[int, ...], func: str = "sum") -> DataFrame
 
     grouped = df.groupBy(*(f"d{d}" for d in keep)).agg(COLUMNS[func](F.col("v").cast("double")).alias("v"))
     return grouped.select(*(F.col(f"d{d}").alias(f"d{n}") for n, d in enumerate(keep)), "v")
+
+
+def combine(a: DataFrame, b: DataFrame, dimensions: int, op: str) -> DataFrame:
+    """``a op b`` of two sparse N-dimensional arrays, place by place; absent cells count as 0, and results of 0 are absent."""
+    from tessera.operators.elementwise import apply
+
+    places = [f"d{d}" for d in range(dimensions)]
+    v = F.col("v").cast("double")
+    if op in ("add", "sub"):
+        signed = b.select(*places, (-v if op == "sub" else v).alias("v"))
+        cells = a.select(*places, v.alias("v")).unionAll(signed).groupBy(*places).agg(F.sum("v").alias("v"))
+    else:
+        pairs = a.select(*places, v.alias("x")).join(b.select(*places, v.alias("y")), places, "inner" if op == "mul" else "full")
+        zero = F.lit(0.0)
+        cells = pairs.select(*places, apply(op, F.coalesce("x", zero), F.coalesce("y", zero), "double").alias("v"))
+    return cells.where("v <> 0")

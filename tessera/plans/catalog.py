@@ -214,6 +214,13 @@ def reduce_3d(spark, sf_dir):
     return layout.reduce(_cube(spark, sf_dir), (2, 1))
 
 
+@_query(_sql("SELECT d0, d1, d2, coalesce(x.v, 0) - coalesce(y.v, 0) AS v FROM c x FULL JOIN (SELECT d0, d1, 23 - d2 AS d2, v FROM c) y USING (d0, d1, d2) WHERE coalesce(x.v, 0) <> coalesce(y.v, 0)", c=_CUBE))
+def sub_3d(spark, sf_dir):
+    """The cube of events less itself with the hours turned round."""
+    cube = _cube(spark, sf_dir)
+    return layout.combine(cube, cube.withColumn("d2", 23 - F.col("d2")), 3, "sub")
+
+
 @_query(_sql("SELECT max(i) + 1 AS rows, max(j) + 1 AS cols, count(*) AS nnz FROM p", p=P))
 def introspect(spark, sf_dir):
     return tables.introspect(Tables(spark, sf_dir).p().cells())

@@ -143,6 +143,13 @@ def test_n_dimensions(spark):
     df = spark.createDataFrame([(i, j, k, float(cube[i, j, k])) for i in range(2) for j in range(3) for k in range(4)], "d0 int, d1 int, d2 int, v double")
     turned = {(r.d0, r.d1, r.d2): r.v for r in layout.permute(df, (2, 0, 1)).collect()}
     assert all(turned[k, i, j] == cube[i, j, k] for i in range(2) for j in range(3) for k in range(4))
+    thin = df.where("v % 3 = 0")
+    other = np.where(cube % 3 == 0, cube, 0)
+    for op, want in (("add", cube + other), ("sub", cube - other), ("mul", cube * other)):
+        got = {(r.d0, r.d1, r.d2): r.v for r in layout.combine(df, thin, 3, op).collect()}
+        assert got == {p: want[p] for p in np.ndindex(2, 3, 4) if want[p]}
+    got = {(r.d0, r.d1, r.d2): r.v for r in layout.combine(df, thin, 3, "div").collect()}
+    assert got[0, 0, 1] == INF and got[0, 0, 3] == 1 and np.isnan(got[0, 0, 0]) and len(got) == 24
     assert {(r.d0,): r.v for r in layout.reduce(df, (1,)).collect()} == {(j,): cube[:, j].sum() for j in range(3)}
 
 
