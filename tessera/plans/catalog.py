@@ -564,8 +564,6 @@ def pagerank_3it(spark, sf_dir):
     return algorithms.pagerank(_graph(spark, sf_dir), 3).withColumn("v", F.round("v", 10))
 
 
-
-
 def _lr_sql(turns: int) -> str:
     names = {"r": "SELECT row_number() OVER () AS i, [1.0::DOUBLE, l_quantity, round(l_discount * 100), round(l_tax * 100)] AS x, (l_returnflag = 'R')::INTEGER AS y FROM lineitem", "w0": "SELECT [0.0::DOUBLE, 0, 0, 0] AS w"}
     for k in range(turns):
@@ -586,8 +584,6 @@ def logit_mean_3it(spark, sf_dir):
     return _vector(spark, algorithms.logistic(x, np.zeros(4), rate=0.001, turns=3, average=True)).withColumn("v", F.round("v", 6))
 
 
-
-
 @_query(
     _sql(
         """SELECT x.j AS i, 0::BIGINT AS j, round(-1e-4::DOUBLE * sum(x.v * (0.5 - coalesce(y.v, 0))), 6) AS v FROM p x LEFT JOIN (SELECT p_partkey AS i, 1.0 AS v FROM part WHERE p_size > 25) y USING (i) GROUP BY x.j""",
@@ -600,7 +596,7 @@ def sparse_lr_1it(spark, sf_dir):
     y = t.read("part").where("p_size > 25").select(F.col("p_partkey").alias("i"), F.lit(0).alias("j"), F.lit(1.0).alias("v"))
     w = Matrix.from_cells(spark.range(p.meta.cols).select(F.col("id").alias("i"), F.lit(0).alias("j"), F.lit(0.0).alias("v")), p.meta.cols, 1)
     step = algorithms.sparse_logistic(p, Matrix.from_cells(y, p.meta.rows, 1, SPARSE), w, 1e-4, 1)
-    return step.cells().withColumn("v", F.round("v", 6)).where(F.col("i").isin([]) | (F.col("v").isNotNull()))
+    return step.cells().withColumn("v", F.round("v", 6))
 
 
 def _nmf(spark, sf_dir, turns: int):
