@@ -1,15 +1,18 @@
-"""Near-duplicate detection by SimHash and multi-index hashing.
-
-A document's fingerprint has a bit set where more than half of its shingles' hashes have it. Two fingerprints link at
-``distance`` or fewer differing bits. The fingerprint is cut into segments; of a pair that links, one segment differs in
-2 bits at most (5 bits over 2 segments, 11 over 4), so it is enough to look up each segment's Hamming ball: the ball of
-radius 2 is met from both sides, each fingerprint being filed in, and looked up in, the ball of radius 1 around its
-segment. All that a table cell holds is verified on the complete distance.
-
-``LINKS`` is the plain rule: shingles of 4 words, 4 bits. ``NEAR`` is the rule for a similarity of 0.8 of five-word
-shingles: such pairs lie up to 16 bits apart in the fingerprint of those shingles, too far for any index of 64 bits, but
-within 11 bits in that of word pairs, which so finds the candidates; a second fingerprint, of 256 bits over five-word
-shingles, then verifies them: 50 differing bits are what a similarity of about 0.75 to 0.8 leaves.
+"""Near-duplicate detection by SimHash and multi-index hashing, and by verified similarity of shingle sets.
+
+``LINKS`` is the plain rule: shingles of 4 words, 4 bits. A document's fingerprint has a bit set where more than half of
+its shingles' hashes have it. Two fingerprints link at ``distance`` or fewer differing bits. The fingerprint is cut into
+segments; of a pair that links, one segment differs in 2 bits at most (5 bits over 2 segments, 11 over 4), so it is
+enough to look up each segment's Hamming ball: the ball of radius 2 is met from both sides, each fingerprint being filed
+in, and looked up in, the ball of radius 1 around its segment. All that a table cell holds is verified on the complete
+distance. A rule may have a second, wider fingerprint of longer shingles, which must then be near as well.
+
+``NEAR`` is the rule for a Jaccard similarity of 0.8 of the sets of five-word shingles. Such pairs lie too far apart in
+a fingerprint of 64 bits for any index of it, so bands of minima of the hashed shingles propose them: a pair at
+similarity s shares one of 30 bands of 5 with probability 1 - (1 - s^5)^30, wherever its differences stand; at 0.8 that
+misses 7 in a million. Nothing links but on the similarity of its real sets. Of each band's members, the first by hash
+is compared with all others; then all those are compared that share a band and are not yet connected. So a dense group
+takes few comparisons, and none that could connect anything is left out.
 
 Only distinct fingerprints go into the tables, so copies cost one row. A cell is worked off as a stream, by one task and
 without emitting pairs: a search takes one fingerprint after another, finds all that it links to among those not yet
@@ -18,9 +21,9 @@ What the cells emit goes through distributed connected components; no link is lo
 
 Defined results: a null text counts as empty; documents without words have fingerprint 0 and link like any other; fewer
 words than a shingle has are one shingle; a null doc_id is larger than every other; under a rule with a second
-fingerprint, documents of which no copy has an id link with nothing but copies; rows without an id all stay where only
-rows are dropped, if one of them must; repeated rows are copies of each other;
-an empty table gives an empty result; further columns are neither read nor touched.
+fingerprint, documents of which no copy has an id link with nothing but copies; under a similarity, documents without
+words link with each other alone; rows without an id all stay where only rows are dropped, if one of them must; repeated
+rows are copies of each other; an empty table gives an empty result; further columns are neither read nor touched.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ _TO_SMALL = bytes.maketrans(_CAPITALS, _CAPITALS.lower())
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Shingles whose bits are counted at a time, documents of an output batch, and members of a cell that are compared at once.
 _BLOCK, _ROWS, _AT_ONCE = 255 * 64, 2000, 512
+#: Shingles of an output batch of sets.
+_SHINGLES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -59,8 +64,18 @@ class Rule:
             raise ValueError("a segment may differ in 2 bits at most: 5 bits for 2 segments, 11 for 4")
 
 
+@dataclass(frozen=True)
+class Similar:
+    """Shingle length and least Jaccard similarity in hundredths; bands, each of so many minima, that propose pairs."""
+
+    words: int
+    percent: int
+    bands: int
+    minima: int
+
+
 LINKS = Rule(4, 4, 2)
-NEAR = Rule(2, 11, 4, 5, 50)
+NEAR = Similar(5, 80, 30, 5)
 
 
 def _set_bits(hashes: np.ndarray) -> np.ndarray:
@@ -86,6 +101,14 @@ class Words:
         self.ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
         self.starts = np.concatenate([np.zeros(1, np.int64), self.ends[:-1] + 1])
 
+    def shingles(self, words: int) -> np.ndarray:
+        """The set of the shingles' hashes, sorted; empty for a text without words."""
+        from xxhash import xxh64_intdigest
+
+        n, joined = max(1, self.n - words + 1) if self.n else 0, self.joined
+        spans = zip(self.starts[:n].tolist(), self.ends[self.n - n :].tolist(), strict=True)
+        return np.unique(np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, n))
+
     def fingerprint(self, words: int, wide: int = 1) -> np.ndarray:
         """``wide`` unsigned 64-bit numbers."""
         from xxhash import xxh64_intdigest
@@ -238,13 +261,94 @@ def _filed(flips, part, number):
     return F.transform(flips, lambda flip: part.bitwiseXOR(flip).bitwiseOR(number))
 
 
-def near_groups(docs: DataFrame, rule: Rule = LINKS) -> DataFrame:
+def _bands(shingles: np.ndarray, rule: Similar) -> list[int]:
+    """A hash of each band's minima, as signed longs; none for an empty set."""
+    from xxhash import xxh64_intdigest
+
+    if not len(shingles):
+        return []
+    n = rule.bands * rule.minima
+    masks, factors = _stirred(np.arange(1, 2 * n + 1, dtype=np.uint64)).reshape(2, n)
+    least = np.full(n, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), _AT_ONCE):
+        np.minimum(least, ((shingles[at : at + _AT_ONCE, None] ^ masks) * (factors | np.uint64(1))).min(0), out=least)
+    bands = [xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(rule.bands, -1))]
+    return np.array(bands, np.uint64).view(np.int64).tolist()
+
+
+def shingle_sets(docs: DataFrame, rule: Similar = NEAR) -> DataFrame:
+    """doc_id, fp (a hash of the set, as a signed long), shingles (the set itself, as signed longs) and bands."""
+
+    def batch_of(ids, sets, bands):
+        from xxhash import xxh64_intdigest
+
+        prints = np.array([xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+        offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+        values = pa.array(np.concatenate(sets).view(np.int64))
+        columns = [pa.array(ids, pa.int64()), pa.array(prints), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(bands, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "shingles", "bands"])
+
+    @tidy
+    def convert(batches):
+        for batch in batches:
+            ids, sets, bands, held = [], [], [], 0
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                ids.append(doc_id.as_py())
+                sets.append(Words(text.as_py() or "").shingles(rule.words))
+                bands.append(_bands(sets[-1], rule))
+                held += len(sets[-1])
+                if held >= _SHINGLES or len(sets) >= _ROWS:
+                    yield batch_of(ids, sets, bands)
+                    ids, sets, bands, held = [], [], [], 0
+            if sets:
+                yield batch_of(ids, sets, bands)
+
+    kind = "doc_id long, fp long, shingles array<long>, bands array<long>"
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(convert, kind)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, rule: Similar) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar enough: with n shared shingles, n / (|A| + |B| - n) >= percent / 100."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    sets = shared.table(sets.groupBy("fp").agg(F.first("shingles").alias("shingles")).join(wanted, "fp", "left_semi"), "candidates")
+    both = pairs.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("right")), "b").join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("left")), "a")
+    alike = (100 + rule.percent) * F.size(F.array_intersect("left", "right")) >= rule.percent * (F.size("left") + F.size("right"))
+    return shared.table(both.where(alike).select("a", "b"), "similar")
+
+
+def similar_links(prints: DataFrame, rule: Similar = NEAR) -> DataFrame:
+    """a, b: links by fp that connect exactly what is similar enough among the sets that share a band."""
+
+    def fits(x, y):
+        return F.least(x, y) * 100 >= F.greatest(x, y) * rule.percent  # else even a subset isn't similar enough
+
+    filed = shared.table(prints.select(F.explode("bands").alias("band"), "fp", F.size("shingles").cast("long").alias("n")).distinct(), "filed")
+    first = filed.groupBy("band").agg(F.min(F.struct(F.xxhash64("fp").alias("at"), "fp", "n")).alias("hub"), F.count("*").alias("members"))
+    met = shared.table(first.where("members > 1").select("band", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("hub_n")), "bands")
+    cells = shared.table(filed.join(met, "band").where("fp <> hub"), "cells")
+    star = shared.table(cells.where(fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct(), "star")
+    found = _verified(star, prints, rule)
+    roots = components.label(found)
+    # members beside the first that are not connected yet: only pairs of different roots are made
+    rest = shared.table(cells.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", "n", F.coalesce("root", "fp").alias("root")), "rest")
+    kinds = rest.select("band", "root").distinct()
+    apart = kinds.withColumnRenamed("root", "ra").join(kinds.withColumnRenamed("root", "rb"), "band").where("ra < rb")
+    left = rest.select("band", F.col("root").alias("ra"), F.col("fp").alias("a"), F.col("n").alias("na"))
+    right = rest.select("band", F.col("root").alias("rb"), F.col("fp").alias("b"), F.col("n").alias("nb"))
+    cross = apart.join(left, ["band", "ra"]).join(right, ["band", "rb"]).where(fits(F.col("na"), F.col("nb")))
+    ordered = shared.table(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross")
+    return found.unionByName(_verified(ordered, prints, rule))
+
+
+def near_groups(docs: DataFrame, rule: Rule | Similar = LINKS) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id that can be reached) for each row."""
-    prints = shared.table(signatures(docs, rule), "fingerprints")
-    keys = ["fp"] + ["check"] * bool(rule.check_words)
-    node = F.col("least" if rule.check_words else "fp")
+    alike = isinstance(rule, Similar)
+    prints = shared.table(shingle_sets(docs, rule) if alike else signatures(docs, rule), "fingerprints")
+    checked = not alike and bool(rule.check_words)
+    keys = ["fp"] + ["check"] * checked
+    node = F.col("least" if checked else "fp")
     distinct = shared.table(prints.groupBy(*keys).agg(F.min("doc_id").alias("least")).withColumn("node", node), "distinct-fingerprints")
-    roots = components.label(links(distinct.where("node is not null"), rule))
+    roots = components.label(similar_links(prints, rule) if alike else links(distinct.where("node is not null"), rule))
     rooted = shared.table(distinct.join(roots, "node", "left").select(*keys, "least", F.coalesce("root", "node").alias("root")), "rooted")
     # as a table of its own, so that both sides of the next join are dealt anew and a large group can be split
     named = shared.table(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
@@ -252,7 +356,7 @@ def near_groups(docs: DataFrame, rule: Rule = LINKS) -> DataFrame:
     return prints.join(grouped, keys).select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, rule: Rule = NEAR) -> DataFrame:
+def drop_near_copies(docs: DataFrame, rule: Rule | Similar = NEAR) -> DataFrame:
     """The rows of ``docs``, with all their columns, that have the smallest doc_id of their group."""
     keepers = near_groups(docs, rule).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(keepers, docs["doc_id"].eqNullSafe(keepers["kept_id"]), "left_semi")
