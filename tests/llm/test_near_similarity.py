@@ -60,3 +60,35 @@ def passages(least, most, pairs=120):
 def test_pairs_with_changed_passages_are_found(spark):
     rows = passages(0.8, 0.83)
     assert groups(spark, rows) == {d: d - d % 2 for d, _ in rows}
+
+
+def test_pairs_below_the_similarity_stay(spark):
+    rows = passages(0.72, 0.8)
+    assert groups(spark, rows) == {d: d for d, _ in rows}
+
+
+def test_chains_and_families_equal_brute_force(spark):
+    """Families whose members are close to some, but not to all others."""
+    rng, rows = random.Random(7), []
+    for family in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for _ in range(40):
+            if family % 2:  # a random walk
+                base = list(base)
+                words = base
+            else:
+                words = list(base)
+            for _ in range(rng.randint(1, 4)):
+                words[rng.randrange(120)] = f"v{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(1000, None), (1001, ""), (1002, "one two"), (1003, " One\ttwo "), (1004, "one three")]
+    want = brute_groups(rows)
+    assert groups(spark, rows) == want and 3 < len(set(want.values())) < 200
+
+
+def test_stage_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = brute_groups([(r["doc_id"], r["text"]) for r in docs.collect()])
+    left = corpus_pipeline.stage_near_dedup(spark, docs.withColumn("more", F.lit(1)), SF)
+    assert left.columns == [*docs.columns, "more"]
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(d for d, c in want.items() if d == c)
