@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,9 +52,40 @@ SENTENCES = {
     "cc-by-nc": "Licensed under CC BY-NC 4.0.",
     "cc-by-short": "Licensed under CC BY 4.0.",
     "cc-by-sa-short": "Licensed under CC BY-SA 4.0.",
+    "reserved": "All rights reserved.",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "bsl-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "bsl-named": "Distributed under the Boost Software License, Version 1.0.",
+    "epl1": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "epl2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "cc0": "This work is marked with CC0 1.0 Universal.",
+    "cc0-named": "Licensed under CC0 1.0.",
     "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
+#: Creative Commons licences by the name of their clauses; version 4.0 is International, 3.0 is Unported.
+_COMMONS = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+#: Licences whose SPDX tag is a sentence.
+_TAGS = (
+    "MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "EPL-1.0", "EPL-2.0", "BSL-1.0", "CC0-1.0", "Unlicense",
+    *(f"CC-{clauses}-{version}" for version in ("3.0", "4.0") for clauses in _COMMONS),
+)
+
+_known = set(SENTENCES.values())
+for _clauses, _name in _COMMONS.items():
+    for _version, _kind in (("3.0", "Unported"), ("4.0", "International")):
+        for _form, _text in (("work", f"This work is licensed under a Creative Commons {_name} {_version} {_kind} License."), ("short", f"Licensed under CC {_clauses} {_version}.")):
+            if _text not in _known:
+                SENTENCES[f"cc-{_clauses}-{_version}-{_form}".lower()] = _text
+SENTENCES |= {f"spdx-{tag}".lower(): f"SPDX-License-Identifier: {tag}" for tag in _TAGS}
+
 #: In order: licence, and the identifiers that make it.
 RULES = (
     ("MIT", ("mit-grant", "mit-notice", "as-is", "no-liability")),
@@ -77,34 +109,55 @@ RULES = (
     ("CC-BY-SA-4.0", ("cc-by-sa-short",)),
     ("CC-BY-NC-4.0", ("cc-by-nc",)),
     ("MPL-2.0", ("mpl",)),
+    ("LGPL-2.1-or-later", ("lgpl21-free",)),
+    ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("AGPL-3.0-or-later", ("agpl3-free",)),
+    ("Unlicense", ("unlicense",)),
+    ("BSL-1.0", ("bsl-grant",)),
+    ("BSL-1.0", ("bsl-named",)),
+    ("EPL-1.0", ("epl1",)),
+    ("EPL-2.0", ("epl2",)),
+    ("CC0-1.0", ("cc0",)),
+    ("CC0-1.0", ("cc0-named",)),
+    *((f"CC-{c}-{v}", (key,)) for c in _COMMONS for v in ("3.0", "4.0") for form in ("work", "short") if (key := f"cc-{c}-{v}-{form}".lower()) in SENTENCES),
+    *((tag, (f"spdx-{tag}".lower(),)) for tag in _TAGS),
+    ("LicenseRef-All-Rights-Reserved", ("reserved",)),
 )
 
 _FRAGMENT = re.compile(r"[^\n]*?(?:[.!?;:](?=[\s])|\n|\Z)")
 _WORDS = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
-#: Each known sentence holds one of these; a text without any needs no cutting.
-_STEMS = ("licen", "permission", "copyright", "warrant", "redistribut")
-
-
 def normalised(sentence: str) -> str:
     return " ".join(_WORDS.findall(sentence.lower()))
 
 
-_KNOWN = {normalised(s): k for k, s in SENTENCES.items()}
-_SORTED = sorted(_KNOWN)
-if any(all(stem not in s for stem in _STEMS) for s in _KNOWN):
-    raise AssertionError("a known sentence has none of the stems")
+class Rules:
+    """Sentences by identifier, and the ordered rules over them."""
+
+    def __init__(self, sentences: dict[str, str], rules: Sequence[tuple[str, tuple[str, ...]]]):
+        if missing := {x for _, rule in rules for x in rule} - set(sentences):
+            raise ValueError(f"rules name unknown sentences: {sorted(missing)}")
+        self.rules = tuple((licence, tuple(rule)) for licence, rule in rules)
+        self.known = {normalised(s): k for k, s in sentences.items()}
+        if len(self.known) < len(sentences) or "" in self.known:
+            raise ValueError("sentences must have words and differ in them")
+        self.sorted = sorted(self.known)
+        # each sentence's longest word; a text with none of them needs no cutting
+        self.stems = tuple(sorted({max(re.findall(r"[a-z0-9]+", s), key=len) for s in self.known}))
+        self.stem = re.compile("|".join(self.stems))
+
+    def leads_on(self, words: str) -> bool:
+        """Whether a known sentence starts with these words."""
+        at = bisect_left(self.sorted, words)
+        return at < len(self.sorted) and self.sorted[at].startswith(words)
 
 
-def _leads_on(words: str) -> bool:
-    """Whether a known sentence starts with these words."""
-    at = bisect_left(_SORTED, words)
-    return at < len(_SORTED) and _SORTED[at].startswith(words)
+PUBLIC = Rules(SENTENCES, RULES)
 
 
-def identifiers(text: str) -> list[tuple[str, int, int, int, int]]:
+def identifiers(text: str, rules: Rules = PUBLIC) -> list[tuple[str, int, int, int, int]]:
     """(identifier, start, end, number of its first and of its last fragment) of each known sentence."""
     lowered = text.lower()
-    if all(stem not in lowered for stem in _STEMS):
+    if not rules.stem.search(lowered):
         return []
     cut = [(m.start(), m.end(), normalised(m[0])) for m in _FRAGMENT.finditer(text) if m[0]]
     cut = [c for c in cut if c[2]]
@@ -113,9 +166,9 @@ def identifiers(text: str) -> list[tuple[str, int, int, int, int]]:
         words, best = "", None
         for j in range(k, len(cut)):
             words = f"{words} {cut[j][2]}" if words else cut[j][2]
-            if words in _KNOWN:
+            if words in rules.known:
                 best = j
-            if not _leads_on(words + " "):
+            if not rules.leads_on(words + " "):
                 break
         if best is None:
             k += 1
@@ -123,16 +176,16 @@ def identifiers(text: str) -> list[tuple[str, int, int, int, int]]:
         words = " ".join(c[2] for c in cut[k : best + 1])
         start, end = cut[k][0], cut[best][1]
         part = text[start:end]
-        found.append((_KNOWN[words], start + len(part) - len(part.lstrip()), start + len(part.rstrip()), k, best))
+        found.append((rules.known[words], start + len(part) - len(part.lstrip()), start + len(part.rstrip()), k, best))
         k = best + 1
     return found
 
 
-def licences(text: str) -> tuple[int, list[tuple[str, int, int]]]:
+def licences(text: str, rules: Rules = PUBLIC) -> tuple[int, list[tuple[str, int, int]]]:
     """The number of known sentences, and (licence, start, end) of each rule that fits, by start."""
-    sequence = identifiers(text)
+    sequence = identifiers(text, rules)
     free, matched = [True] * len(sequence), []
-    for licence, rule in RULES:
+    for licence, rule in rules.rules:
         for k in range(len(sequence) - len(rule) + 1):
             run = sequence[k : k + len(rule)]
             if all(free[k : k + len(rule)]) and tuple(x[0] for x in run) == rule and all(b[3] - a[4] - 1 <= GAP for a, b in zip(run, run[1:], strict=False)):
@@ -141,14 +194,15 @@ def licences(text: str) -> tuple[int, list[tuple[str, int, int]]]:
     return len(sequence), sorted(matched, key=lambda m: m[1:])
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: Sequence[tuple[str, tuple[str, ...]]] = RULES) -> DataFrame:
     """doc_id, n_sentences, licences (distinct, in order of appearance), spans (licence, start, end) for each row."""
+    chosen = Rules(sentences, rules)
 
     @tidy
     def convert(batches):
         span = pa.list_(pa.struct([("licence", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            done = [licences(t or "") for t in batch.column(1).to_pylist()]
+            done = [licences(t or "", chosen) for t in batch.column(1).to_pylist()]
             spans = [[{"licence": x, "start": a, "end": b} for x, a, b in found] for _, found in done]
             names = [list(dict.fromkeys(x for x, _, _ in found)) for _, found in done]
             columns = [batch.column(0), pa.array([n for n, _ in done], pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, span)]
