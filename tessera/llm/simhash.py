@@ -11,8 +11,9 @@ distance. A rule may have a second, wider fingerprint of longer shingles, which
 a fingerprint of 64 bits for any index of it, so bands of minima of the hashed shingles propose them: a pair at
 similarity s shares one of 30 bands of 5 with probability 1 - (1 - s^5)^30, wherever its differences stand; at 0.8 that
 misses 7 in a million. Nothing links but on the similarity of its real sets. Of each band's members, the first by hash
-is compared with all others; then all those are compared that share a band and are not yet connected. So a dense group
-takes few comparisons, and none that could connect anything is left out.
+is compared with all others; then all those are compared that share a band and are not yet connected. No
+comparison that could connect anything is left out; a family whose members are mostly below the similarity costs one for
+each pair.
 
 Only distinct fingerprints go into the tables, so copies cost one row. A cell is worked off as a stream, by one task and
 without emitting pairs: a search takes one fingerprint after another, finds all that it links to among those not yet
