@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tessera.functions.ordering import numbered
 
 
 def fill(df: DataFrame, numbers: list[str], strings: list[str]) -> DataFrame:
@@ -14,7 +15,7 @@ def fill(df: DataFrame, numbers: list[str], strings: list[str]) -> DataFrame:
 def string_index(df: DataFrame, column: str) -> DataFrame:
     """value, index, n: distinct values by falling frequency, ties in order of the value."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("value", (F.row_number().over(Window.orderBy(F.desc("n"), "value")) - 1).cast("bigint").alias("index"), "n")
+    return numbered(counts, [F.desc("n"), F.col("value")], "index").select("value", "index", "n")
 
 
 def one_hot(df: DataFrame, key: str, column: str, index: DataFrame | None = None) -> DataFrame:

@@ -23,7 +23,9 @@ COLUMNS = {
 def _of_stored(func: str, v: Column, n: Column) -> Column:
     """Over n places of which only the cells that aren't 0 are there; count counts these."""
     stored, total = F.count(F.lit(1)), F.sum(v)
-    variance = ieee.ieee_div(F.sum(v * v) - total * total / n, n - 1.0)
+    # squares around the stored cells' mean, and what the absent zeros add to them: nothing large is taken from anything large
+    around = F.coalesce(F.var_pop(v), F.lit(0.0)) * stored + F.pow(F.coalesce(F.avg(v), F.lit(0.0)), F.lit(2.0)) * stored * (n - stored) / n
+    variance = ieee.ieee_div(around, n - 1.0)
     match func:
         case "avg":
             return total / n

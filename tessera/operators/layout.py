@@ -44,6 +44,15 @@ def permute(df: DataFrame, order: tuple[int, ...]) -> DataFrame:
     return df.select(*(F.col(f"d{source}").alias(f"d{d}") for d, source in enumerate(order)), "v")
 
 
+def subarray_nd(df: DataFrame, ranges: list[tuple[int, int] | None]) -> DataFrame:
+    """Of an N-dimensional array: the cells between bounds, both inclusive, a pair for each dimension (None: all of it);
+    places count from the lower bounds."""
+    for d, bounds in enumerate(ranges):
+        if bounds:
+            df = df.where(F.col(f"d{d}").between(*bounds))
+    return df.select(*((F.col(f"d{d}") - (bounds[0] if bounds else 0)).alias(f"d{d}") for d, bounds in enumerate(ranges)), "v")
+
+
 def reduce(df: DataFrame, keep: tuple[int, ...], func: str = "sum") -> DataFrame:
     """Of an N-dimensional array: an aggregate over all dimensions but ``keep``, which are counted anew from d0."""
     from tessera.operators.aggregate import COLUMNS

@@ -1,7 +1,7 @@
 """Tall and narrow matrices as one vector a row, (i, vec): sums over rows as one pass with small partial results.
 
-The number of columns is a stated bound (``MOST_COLUMNS``): what a task hands on, and the driver holds, is square in it
-at most. Rows are never shuffled.
+The number of columns is a stated bound (``MOST_COLUMNS``), checked where sums are taken: what a task hands on, and the
+driver holds, is square in it at most. Rows are never shuffled.
 """
 
 from __future__ import annotations
@@ -10,12 +10,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.matrix import Matrix
 
 MOST_COLUMNS = 2048
+#: Tasks that add up what all tasks hand on; as many sums reach the driver.
+FAN = 4
 
 
 def rows(batch: pa.RecordBatch, name: str = "vec") -> np.ndarray:
@@ -23,47 +26,78 @@ def rows(batch: pa.RecordBatch, name: str = "vec") -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0))
 
 
+def _checked(name: str, x: np.ndarray) -> np.ndarray:
+    if x.ndim > 2 or max(x.shape, default=0) > MOST_COLUMNS:
+        raise ValueError(f"{name} of {x.shape} is wider than {MOST_COLUMNS}")
+    return np.ascontiguousarray(x, float)
+
+
 def sums(df: DataFrame, of: Callable[[pa.RecordBatch], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    """``of`` each batch, added up by name: inside each task, then over the tasks by Spark, then brought to the driver."""
+    """``of`` each batch, added up by name: inside each task, then by ``FAN`` tasks over the tasks, then on the driver.
+
+    A task hands on one binary row for each name, of a size that ``MOST_COLUMNS`` bounds.
+    """
+    kind = "part int, name string, shape array<int>, data binary"
+
+    def batch_of(held: dict[str, np.ndarray]) -> pa.RecordBatch:
+        part = TaskContext.get().partitionId() % FAN  # the same when a lost task runs again
+        columns = [pa.array([part] * len(held), pa.int32()), pa.array(list(held), pa.string()), pa.array([list(x.shape) for x in held.values()], pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in held.values()], pa.binary())], ["part", "name", "shape", "data"])
+
+    def add(held: dict[str, np.ndarray], name: str, x: np.ndarray) -> None:
+        held[name] = held[name] + x if name in held else x
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             if batch.num_rows:
                 for name, x in of(batch).items():
-                    held[name] = held[name] + x if name in held else np.asarray(x, float)
-        shapes = [list(x.shape) for x in held.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(shapes, pa.list_(pa.int32())), pa.array([x.ravel() for x in held.values()], pa.list_(pa.float64()))], ["name", "shape", "data"])
+                    add(held, name, _checked(name, np.asarray(x)))
+        if held:
+            yield batch_of(held)
+
+    def read(held: dict[str, np.ndarray], batch: pa.RecordBatch | pa.Table) -> None:
+        for name, shape, data in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            add(held, name, np.frombuffer(data).reshape(shape))
 
-    cells = df.mapInArrow(partial, "name string, shape array<int>, data array<double>").select("name", "shape", F.posexplode("data").alias("at", "x"))
-    totals = cells.groupBy("name", "shape", "at").agg(F.sum("x").alias("x")).collect()
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            read(held, batch)
+        if held:
+            yield batch_of(held)
+
+    parts = df.mapInArrow(partial, kind).repartition(FAN, "part").mapInArrow(total, kind)
     out: dict[str, np.ndarray] = {}
-    for r in totals:
-        if r["name"] not in out:
-            size = int(np.prod(r["shape"], dtype=int))
-            out[r["name"]] = np.zeros(size)
-            out[r["name"] + "/shape"] = np.array(r["shape"])
-        out[r["name"]][r["at"]] = r["x"]
-    return {k: v.reshape(out[k + "/shape"]) for k, v in out.items() if not k.endswith("/shape")}
+    read(out, parts.toArrow())
+    return out
 
 
 def gram_frame(df: DataFrame, vec: str = "vec") -> DataFrame:
     """XᵀX as cells (i, j, v), without bringing it to the driver: one small square for each task, added up by place."""
+    return _products(df.select(vec), lambda batch: (x := rows(batch, vec)).T @ x)
+
 
+def cross_frame(a: DataFrame, b: DataFrame) -> DataFrame:
+    """AᵀB as cells (i, j, v): rows meet by number, then as ``gram_frame``."""
+    both = a.select("i", F.col("vec").alias("x")).join(b.select("i", F.col("vec").alias("y")), "i").select("x", "y")
+    return _products(both, lambda batch: rows(batch, "x").T @ rows(batch, "y"))
+
+
+def _products(df: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             if batch.num_rows:
-                x = rows(batch, vec)
-                held = x.T @ x if held is None else held + x.T @ x
+                x = _checked("a product", of(batch))
+                held = x if held is None else held + x
         if held is not None:
-            n = len(held)
-            if n > MOST_COLUMNS:
-                raise ValueError(f"{n} columns are more than {MOST_COLUMNS}")
-            i, j = np.divmod(np.arange(n * n), n)
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(held.ravel())], ["i", "j", "v"])
+            n, m = held.shape
+            offsets = pa.array(np.arange(0, n * m + 1, m, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.ListArray.from_arrays(offsets, pa.array(held.ravel()))], ["i", "row"])
 
-    return df.select(vec).mapInArrow(partial, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    rows_ = df.mapInArrow(partial, "i long, row array<double>").select("i", F.posexplode("row").alias("j", "v"))
+    return rows_.groupBy("i", "j").agg(F.sum("v").alias("v")).select("i", F.col("j").cast("bigint").alias("j"), "v")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -90,15 +124,18 @@ def times_matrix(df: DataFrame, m: np.ndarray, vec: str = "vec") -> DataFrame:
 
 def from_matrix(matrix: Matrix) -> DataFrame:
     """(i, vec) of a narrow matrix; absent cells are 0."""
-    n = matrix.meta.cols
-    if n > MOST_COLUMNS:
+    from tessera.plans import lowering, rules
+
+    if (n := matrix.meta.cols) > MOST_COLUMNS:
         raise ValueError(f"{n} columns are more than {MOST_COLUMNS}")
+    if (own := lowering.as_rows(rules.rewrite(matrix))) is not None:
+        return own
     ordered = matrix.densify().cells().groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", F.col("v").cast("double").alias("v")))).alias("cells"))
     return ordered.select("i", F.transform("cells", lambda c: c["v"]).alias("vec"))
 
 
 def to_matrix(df: DataFrame, rows_: int, cols: int, vec: str = "vec") -> Matrix:
-    return Matrix.from_cells(df.select("i", F.posexplode(vec).alias("j", "v")), rows_, cols)
+    return Matrix.from_rows(df.select("i", F.col(vec).alias("vec")), rows_, cols)
 
 
 def join(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -1,20 +1,47 @@
 """Moving windows over two dimensions of a dense matrix.
 
-All the functions come from five running values (number, sum, sum of squares, largest, smallest), which are taken
-along one dimension and then along the other. Along a dimension, cells are dealt into blocks of ``BLOCK`` places, each
+All the functions come from six values of a run of cells (number, sum, sum of squares, squares around the mean, largest,
+smallest), taken along one dimension and then along the other. Runs double: the values of 2n cells join those of two runs
+of n, so a window of w cells takes some log w joins a cell, and nothing is ever taken off a sum: a NaN or an infinity
+stays in its windows, and large means cost no digits. Along a dimension, cells are dealt into blocks of ``BLOCK`` places, each
 with a margin of cells from its neighbours, so that no window function sorts a whole row or column in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = 4096
+_VALUES = ("n", "s", "q", "m", "hi", "lo")
+
+
+def _joined(a: Column, b: Column) -> Column:
+    """The values of two runs together; b is null where there is no cell."""
+    n, m = a["n"] + b["n"], a["m"] + b["m"]
+    apart = b["s"] / b["n"] - a["s"] / a["n"]
+    both = F.struct(
+        n.alias("n"), (a["s"] + b["s"]).alias("s"), (a["q"] + b["q"]).alias("q"), (m + apart * apart * a["n"] * b["n"] / n).alias("m"),
+        F.greatest(a["hi"], b["hi"]).alias("hi"), F.least(a["lo"], b["lo"]).alias("lo"),
+    )
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both)
+
 
-#: By name, what joins them.
-_PARTS = {"n": F.sum, "s": F.sum, "q": F.sum, "hi": F.max, "lo": F.min}
+def _run(df: DataFrame, name: str, length: int, shift: Callable[[Column, int], Column]) -> DataFrame:
+    """A column ``name``: the values of the ``length`` cells from each cell on, in the direction of ``shift``."""
+    power, size, filled = "x", 1, False
+    while length:
+        if length & 1:
+            df = df.withColumn(name, _joined(F.col(power), shift(F.col(name), size)) if filled else F.col(power))
+            filled = True
+        if length := length >> 1:
+            wider = f"{name}{2 * size}"
+            df = df.withColumn(wider, _joined(F.col(power), shift(F.col(power), size)))
+            power, size = wider, 2 * size
+    return df
 
 
 def _along(df: DataFrame, axis: str, other: str, size: int) -> DataFrame:
@@ -23,14 +50,17 @@ def _along(df: DataFrame, axis: str, other: str, size: int) -> DataFrame:
     # the blocks whose windows the cell is in: those of the centres at - after ... at + before
     first, last = F.expr(f"greatest({axis} - {after}, 0) div {block}"), F.expr(f"({axis} + {before}) div {block}")
     dealt = df.withColumn("block", F.explode(F.sequence(first, last)))
-    frame = Window.partitionBy(other, "block").orderBy(axis).rangeBetween(-before, after)
-    run = dealt.select("i", "j", "block", *(f(c).over(frame).alias(c) for c, f in _PARTS.items()))
-    return run.where(F.expr(f"{axis} div {block}") == F.col("block")).drop("block")
+    cells = Window.partitionBy(other, "block").orderBy(axis)
+    run = _run(dealt, "ahead", after + 1, lambda c, k: F.lead(c, k).over(cells))
+    x = F.col("ahead")
+    if before:
+        run = _run(run, "behind", before, lambda c, k: F.lag(c, k).over(cells)).withColumn("left", F.lag("behind", 1).over(cells))
+        x = _joined(x, F.col("left"))
+    return run.where(F.expr(f"{axis} div {block}") == F.col("block")).select("i", "j", x.alias("x"))
 
 
 def _result(func: str) -> Column:
-    n, s, q, hi, lo = map(F.col, _PARTS)
-    variance = q / n - (s / n) * (s / n)
+    n, s, q, m, hi, lo = (F.col(f"x.{name}") for name in _VALUES)
     match func:
         case "count":
             return n.cast("bigint")
@@ -43,9 +73,9 @@ def _result(func: str) -> Column:
         case "min":
             return F.coalesce(lo, F.lit(float("inf")))
         case "var":
-            return F.greatest(variance, F.lit(0.0))
+            return m / n
         case "stdev":
-            return F.sqrt(F.greatest(variance, F.lit(0.0)))
+            return F.sqrt(m / n)
         case "norm":
             return F.sqrt(q)
     raise ValueError(f"no window function {func}")
@@ -55,6 +85,6 @@ def table(df: DataFrame, size: tuple[int, int], funcs: tuple[str, ...]) -> DataF
     """i, j and a column for each function; var and stdev are those of a population."""
     v = F.col("v").cast("double")
     real = F.when(~F.isnan(v), v)
-    cells = df.select("i", "j", F.lit(1.0).alias("n"), v.alias("s"), (v * v).alias("q"), real.alias("hi"), real.alias("lo"))
-    both = _along(_along(cells, "i", "j", size[0]), "j", "i", size[1])
+    x = F.struct(F.lit(1.0).alias("n"), v.alias("s"), (v * v).alias("q"), F.lit(0.0).alias("m"), real.alias("hi"), real.alias("lo"))
+    both = _along(_along(df.select("i", "j", x.alias("x")), "i", "j", size[0]), "j", "i", size[1])
     return both.select("i", "j", *(_result(f).alias(f) for f in funcs))

@@ -1,13 +1,21 @@
-"""From the expression graph to one DataFrame plan over cells (i, j, v)."""
+"""From the expression graph to one DataFrame plan over cells (i, j, v).
+
+A product chooses its encoding by what is known of its operands:
+
+* Xᵀ·Y of tall and narrow matrices that are there, or can be had, as one vector a row: partial sums in each task, no join
+  where both are one matrix, and one of rows, not of cells, where they are two (``rowvec``)
+* two large dense matrices: tiles and BLAS (``tiles``)
+* else a join of cells on the inner index (``matmul``)
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import aggregate, elementwise, layout, matmul, window
+from tessera.operators import aggregate, elementwise, layout, matmul, rowvec, tiles, window
 from tessera.plans.matrix import Matrix
-from tessera.plans.meta import DENSE, SQL_TYPES
+from tessera.plans.meta import DENSE, DOUBLE, SQL_TYPES
 
 
 def lower(root: Matrix) -> DataFrame:
@@ -21,9 +29,46 @@ def lower(root: Matrix) -> DataFrame:
     return of(root)
 
 
+def as_rows(x: Matrix) -> DataFrame | None:
+    """(i, vec) where the matrix has, or keeps, that encoding without a shuffle; else None."""
+    if x.meta.fmt != DENSE or x.meta.dtype != DOUBLE or x.meta.cols > rowvec.MOST_COLUMNS:
+        return None
+    if x.op == "rows":
+        return x.params["df"]
+    if x.op not in ("constant", "map", "subarray", "retile") or (own := as_rows(x.operands[0])) is None:
+        return None
+    p = x.params
+    if x.op == "constant":
+        c, right = F.lit(float(p["constant"])), p["side"] == "right"
+        return own.select("i", F.transform("vec", lambda v: elementwise.apply(p["op"], *((v, c) if right else (c, v)), DOUBLE)).alias("vec"))
+    if x.op == "map":
+        return own.select("i", F.transform("vec", lambda v: p["f"](v).cast("double")).alias("vec"))
+    if x.op == "subarray":
+        (r0, r1), (c0, _) = p["rows"], p["cols"]
+        return own.where(F.col("i").between(r0, r1)).select((F.col("i") - r0).alias("i"), F.slice("vec", c0 + 1, x.meta.cols).alias("vec"))
+    return own
+
+
+def _product(x: Matrix, of) -> DataFrame:
+    a, b = x.operands
+    if a.op == "transpose" and a.meta.cols >= max(a.meta.rows, b.meta.cols):
+        tall = a.operands[0]
+        left = as_rows(tall)
+        right = left if tall is b else as_rows(b) if left is not None else None
+        if right is not None:
+            return rowvec.gram_frame(left) if right is left else rowvec.cross_frame(left, right)
+    if a.meta.fmt == b.meta.fmt == DENSE and x.meta.dtype == DOUBLE and min(a.meta.size, b.meta.size) > matmul.BROADCAST_CELLS:
+        inner = min(a.meta.tile[1], b.meta.tile[0])
+        packed = tiles.pack(a, (a.meta.tile[0], inner)), tiles.pack(b, (inner, b.meta.tile[1]))
+        return tiles.unpack(tiles.multiply(*packed), *x.meta.shape, (a.meta.tile[0], b.meta.tile[1])).cells()
+    return matmul.multiply(of(a), a.meta, of(b), b.meta, x.meta)
+
+
 def _lower(x: Matrix, of) -> DataFrame:
     meta, p = x.meta, x.params
     match x.op:
+        case "rows":
+            return p["df"].select("i", F.posexplode("vec").alias("j", "v")).select("i", F.col("j").cast("bigint").alias("j"), "v")
         case "cells":
             return p["df"]
         case "elementwise":
@@ -51,8 +96,7 @@ def _lower(x: Matrix, of) -> DataFrame:
         case "diag":
             return of(x.operands[0]).select("i", F.col("i").alias("j"), "v").where("v <> 0")
         case "matmul":
-            a, b = x.operands
-            return matmul.multiply(of(a), a.meta, of(b), b.meta, meta)
+            return _product(x, of)
         case "aggregate":
             return aggregate.cells(of(x.operands[0]), x.operands[0].meta, p["funcs"][0], p["keep"], drop_zeros=meta.fmt != DENSE)
         case "window":

@@ -6,6 +6,7 @@ Building an expression runs nothing. ``cells()`` rewrites the graph (``rules``)
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -20,6 +21,16 @@ COUNT, SUM, AVG, MAX, MIN, VAR, STDEV, NORM = AGGREGATES = ("count", "sum", "avg
 LEFT, RIGHT = "left", "right"
 
 
+def drawn(seed: int, *places: str) -> Column:
+    """A number in [0, 1) from a digest of the seed and the places."""
+    digits = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(p).cast("string") for p in places)))
+    return F.conv(F.substring(digits, 1, 13), 16, 10).cast("double") / float(16**13)
+
+
+def _places(spark, rows: int, cols: int) -> DataFrame:
+    return spark.range(rows * cols).select(F.expr(f"id div {max(cols, 1)}").alias("i"), (F.col("id") % max(cols, 1)).alias("j"))
+
+
 @dataclass(eq=False)
 class Matrix:
     """A node: its operator, operands, parameters, and what is known of its result."""
@@ -37,13 +48,24 @@ class Matrix:
         typed = df.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.col("v").cast(SQL_TYPES[dtype]).alias("v"))
         return cls("cells", Meta(rows, cols, fmt, dtype, tile), params={"df": typed})
 
+    @classmethod
+    def from_rows(cls, df: DataFrame, rows: int, cols: int, tile: tuple[int, int] = (1000, 1000)) -> Matrix:
+        """A dense matrix of one vector a row (i, vec), which products of tall and narrow matrices keep as it is."""
+        typed = df.select(F.col("i").cast("bigint").alias("i"), F.col("vec").cast("array<double>").alias("vec"))
+        return cls("rows", Meta(rows, cols, DENSE, DOUBLE, tile), params={"df": typed})
+
+    @classmethod
+    def build(cls, spark, rows: int, cols: int, formula: Callable[[Column, Column], Column], dtype: str = DOUBLE) -> Matrix:
+        """``formula`` of the row and column number in each cell; dense."""
+        return cls.from_cells(_places(spark, rows, cols).withColumn("v", formula(F.col("i"), F.col("j"))), rows, cols, dtype=dtype)
+
     @classmethod
     def full(cls, spark, rows: int, cols: int, value: float, tile: tuple[int, int] = (1000, 1000), density: float = 1.0, seed: int = 0) -> Matrix:
         """One value everywhere; under a density of 1, in that share of the cells of a sparse matrix."""
-        grid = spark.range(rows * cols).select(F.expr(f"id div {max(cols, 1)}").alias("i"), (F.col("id") % max(cols, 1)).alias("j"), F.lit(float(value)).alias("v"))
+        grid = _places(spark, rows, cols)
         if density < 1:
-            return cls.from_cells(grid.where(F.rand(seed) < density).where("v <> 0"), rows, cols, SPARSE, tile=tile)
-        return cls.from_cells(grid, rows, cols, tile=tile)
+            return cls.from_cells(grid.where(drawn(seed, "i", "j") < density).withColumn("v", F.lit(float(value))).where("v <> 0"), rows, cols, SPARSE, tile=tile)
+        return cls.from_cells(grid.withColumn("v", F.lit(float(value))), rows, cols, tile=tile)
 
     @classmethod
     def sequence(cls, spark, start: float, stop: float, step: float = 1.0) -> Matrix:
@@ -54,9 +76,9 @@ class Matrix:
     @classmethod
     def random_triples(cls, spark, rows: int, cols: int, entries: int, seed: int) -> Matrix:
         """A sparse matrix of uniform values at random places, those that meet added up, and its first and last cell set."""
-        drawn = spark.range(entries).select(F.floor(F.rand(seed) * rows).alias("i"), F.floor(F.rand(seed + 1) * cols).alias("j"), F.rand(seed + 2).alias("v"))
+        entry = spark.range(entries).select(F.floor(drawn(seed, "id") * rows).alias("i"), F.floor(drawn(seed + 1, "id") * cols).alias("j"), drawn(seed + 2, "id").alias("v"))
         corners = spark.createDataFrame([(0, 0, 1.0), (rows - 1, cols - 1, 1.0)], "i long, j long, v double")
-        return cls.from_cells(drawn.unionAll(corners).groupBy("i", "j").agg(F.sum("v").alias("v")), rows, cols, SPARSE)
+        return cls.from_cells(entry.unionAll(corners).groupBy("i", "j").agg(F.sum("v").alias("v")), rows, cols, SPARSE)
 
     @classmethod
     def identity(cls, spark, n: int) -> Matrix:
@@ -64,11 +86,15 @@ class Matrix:
 
     @classmethod
     def random(cls, spark, rows: int, cols: int, seed: int, density: float = 1.0, normal: bool = False) -> Matrix:
-        """Uniform in [0, 1), or normal, values; under a density of 1 a sparse matrix with that share of its cells."""
-        grid = cls.full(spark, rows, cols, 0).params["df"]
+        """Uniform in [0, 1), or normal, values; under a density of 1 a sparse matrix with that share of its cells. Each
+        is drawn from the seed and its place, so that neither partitions nor lost executors change it."""
+        grid = _places(spark, rows, cols)
         if density < 1:
-            grid = grid.where(F.rand(seed + 1) < density)
-        return cls.from_cells(grid.withColumn("v", F.randn(seed) if normal else F.rand(seed)), rows, cols, DENSE if density >= 1 else SPARSE)
+            grid = grid.where(drawn(seed + 1, "i", "j") < density)
+        value = drawn(seed, "i", "j")
+        if normal:
+            value = F.sqrt(-2.0 * F.log(1.0 - value)) * F.cos(2 * math.pi * drawn(seed + 2, "i", "j"))
+        return cls.from_cells(grid.withColumn("v", value), rows, cols, DENSE if density >= 1 else SPARSE)
 
     # element by element
 
@@ -151,6 +177,10 @@ class Matrix:
         """Another tile size; cells don't move."""
         return Matrix("retile", self.meta.but(tile=tile), (self,))
 
+    def sample(self, share: float, seed: int = 0) -> DataFrame:
+        """The cells of a share of the rows, drawn by row number; rows keep their numbers."""
+        return self.cells().where(drawn(seed, "i") < share)
+
     def cbind(self, other: Matrix) -> Matrix:
         if self.meta.rows != other.meta.rows:
             raise ValueError("numbers of rows differ")
@@ -228,10 +258,9 @@ class Matrix:
 
     def checkpoint(self) -> Matrix:
         """The result written to the shared folder: cuts the lineage of a loop, and survives lost executors."""
-        from tessera.sources import files
+        from tessera.sources.shared import table
 
-        files.shared_folder(self.cells().sparkSession)
-        return Matrix("cells", self.meta, params={"df": self.cells().checkpoint()})
+        return Matrix("cells", self.meta, params={"df": table(self.cells(), "checkpoint")})
 
     def scalar(self) -> float:
         row = self.cells().first()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.matrix import Matrix
-from tessera.plans.meta import DENSE, DOUBLE, SPARSE
+from tessera.plans.meta import DOUBLE, SPARSE
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +15,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def from_vectors(df: DataFrame, key: str, vector: str, rows: int, cols: int, value=lambda x: x) -> Matrix:
     """A row for each vector, a column for each component; ``value`` of each component, as a double."""
-    cells = df.select(F.col(key).alias("i"), F.posexplode(vector).alias("j", "x")).select("i", "j", value(F.col("x").cast("double")).alias("v"))
-    return Matrix.from_cells(cells, rows, cols)
+    vec = F.transform(vector, lambda x: value(x.cast("double")).cast("double"))
+    return Matrix.from_rows(df.select(F.col(key).alias("i"), vec.alias("vec")), rows, cols)
 
 
 def from_pairs(df: DataFrame, row: str, col: str, value: Column, rows: int, cols: int, dtype: str = DOUBLE) -> Matrix:
@@ -27,8 +27,7 @@ def from_pairs(df: DataFrame, row: str, col: str, value: Column, rows: int, cols
 
 def from_columns(df: DataFrame, key: str, columns: list[str], rows: int) -> Matrix:
     """A dense matrix of numeric columns, a row for each key (unique, from 0)."""
-    cells = df.select(F.col(key).alias("i"), F.posexplode(F.array(*(F.col(c).cast("double") for c in columns))).alias("j", "v"))
-    return Matrix.from_cells(cells, rows, len(columns), DENSE)
+    return Matrix.from_rows(df.select(F.col(key).alias("i"), F.array(*(F.col(c).cast("double") for c in columns)).alias("vec")), rows, len(columns))
 
 
 def from_edges(df: DataFrame, source: str, target: str, nodes: int) -> Matrix:
