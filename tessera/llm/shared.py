@@ -1,52 +1,18 @@
-"""Tables in the folder that all executors share, and text helpers that several operators need."""
+"""Text helpers that several operators need, beside the tables in the folder that all executors share."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import functools
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import forget, scratch, shared_folder, table  # noqa: F401
+
 #: The white space that every operator here splits and joins on, as a class for Java's, RE2's and Python's regular expressions.
 SPACE = r"\x20\x09-\x0D"
-_cleaned: set[str] = set()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (a local session), one of our own is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file:///tmp/checkpoints/tessera"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    app = spark.sparkContext.applicationId
-    if app not in _cleaned:
-        _cleaned.add(app)
-        atexit.register(clean, spark)
-    return f"{shared_folder(spark)}/{app}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage, and survives the loss of any executor."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clean(spark: SparkSession) -> None:
-    """Delete what this application has written with ``table``; runs by itself when Python ends in good order."""
-    with contextlib.suppress(Exception):  # the session may be gone by then
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(text: Column) -> Column:
