@@ -1,6 +1,6 @@
 """A toxicity classifier whose training penalises score changes under swaps of identity terms.
 
-Features are the words of a text and the beginnings of its words, as sets. From the labelled rows (a bounded sample of
+Features are the words of a text, as a set, and which beginnings one, two, or three and more of its words have. From the labelled rows (a bounded sample of
 them, ``max_rows``, by digest of the id; documents without a label aren't read into it) the features that set the
 classes apart by a two-proportion test are kept, and all features of identity terms. A logistic model is fitted to
 balanced classes by Newton steps, with two quadratic penalties: the size of the weights, and the squared change of the
@@ -16,7 +16,9 @@ scores; further columns, and lang, source and id, are never inputs of a score.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -49,7 +51,8 @@ IDENTITY_TERMS = (
 _KIND = {term: kind for kind in IDENTITY_TERMS for term in kind}
 
 _WORD = re.compile(r"[^\W\d_]+")
-_PREFIXES = (4, 5)
+#: Lengths of beginnings, and up to how many words that have one are told apart.
+_PREFIXES, _LEVELS = (4, 5), 3
 _CACHED = 1 << 16
 
 
@@ -57,12 +60,14 @@ def words(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
-def word_features(word: str) -> list[str]:
-    return [word + "$", *(word[:k] for k in _PREFIXES if len(word) >= k)]
+def prefixes(word: str) -> list[str]:
+    return [word[:k] for k in _PREFIXES if len(word) >= k]
 
 
 def features(found: set[str]) -> set[str]:
-    return {f for w in found for f in word_features(w)}
+    """The words, and which beginnings one, two, or three and more of them have."""
+    shared = Counter(p for w in found for p in prefixes(w))
+    return {w + "$" for w in found} | {f"{p}{n}" for p, c in shared.items() for n in range(1, min(c, _LEVELS) + 1)}
 
 
 def counterfactuals(found: set[str]) -> list[set[str]]:
@@ -90,24 +95,29 @@ class Model:
     weights: tuple[tuple[str, float], ...]
 
     def score(self, text: str) -> float:
-        scorer = _scorer(self)
-        hit: set[str] = set()
+        scorer, parts, shared = _scorer(self), [self.bias], {}
         for w in words(text):
             if found := scorer[w]:
-                hit.update(found)
-        logit = self.bias + sum(scorer.weights[f] for f in sorted(hit))
+                parts.append(found[0])
+                for p in found[1]:
+                    shared[p] = shared.get(p, 0) + 1
+        for p, c in shared.items():
+            parts += [scorer.weights.get(f"{p}{n}", 0.0) for n in range(1, min(c, _LEVELS) + 1)]
+        logit = math.fsum(parts)  # exact, so in any order the same
         return float(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
 
 
 class _Scorer(dict):
-    """Weighted features by word."""
+    """By word: its weight, and those of its beginnings that have any; None where there is nothing."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.weights = dict(model.weights)
+        self.starts = {f[:-1] for f in self.weights if f[-1] != "$"}
 
-    def __missing__(self, word: str) -> tuple[str, ...]:
-        found = tuple(f for f in word_features(word) if f in self.weights)
+    def __missing__(self, word: str) -> tuple[float, list[str]] | None:
+        own, starts = self.weights.get(word + "$", 0.0), [p for p in prefixes(word) if p in self.starts]
+        found = (own, starts) if own or starts else None
         if len(self) >= _CACHED:
             self.clear()
         if len(word) <= 64:
@@ -130,20 +140,29 @@ def fit(texts: list[list[str]], toxic: np.ndarray, settings: Settings = Settings
     index_of: dict[str, int] = {}
     coded = [np.fromiter((index_of.setdefault(w, len(index_of)) for w in t), np.int32, len(t)) for t in texts]
     names = list(index_of)
-    by_word = np.full((len(names), 1 + len(_PREFIXES)), -1, np.int32)
-    prefixes: dict[str, int] = {}
+    starts: dict[str, int] = {}
+    by_word = np.full((len(names), len(_PREFIXES)), -1, np.int32)
     for k, w in enumerate(names):
-        starts = word_features(w)[1:]
-        by_word[k, : 1 + len(starts)] = [k, *(prefixes.setdefault(f, len(names) + len(prefixes)) for f in starts)]
-    size = len(names) + len(prefixes)
-    sets = [(u := np.unique(by_word[c]))[u >= 0] for c in coded]
+        found = [starts.setdefault(p, len(starts)) for p in prefixes(w)]
+        by_word[k, : len(found)] = found
+    size = len(names) + _LEVELS * len(starts)
+    start_names = list(starts)
+
+    def numbers(words_: np.ndarray) -> np.ndarray:
+        """The features of a text: its words, then the beginnings by how many words have them."""
+        some, times = np.unique(by_word[words_], return_counts=True)
+        some, times = some[some >= 0], times[some >= 0]
+        return np.concatenate([words_, *(len(names) + _LEVELS * some[times > n] + n for n in range(_LEVELS))])
+
+    def name(k: int) -> str:
+        return names[k] + "$" if k < len(names) else f"{start_names[(k - len(names)) // _LEVELS]}{(k - len(names)) % _LEVELS + 1}"
+
+    sets = [numbers(c) for c in coded]
     seen = np.zeros((2, size), np.int64)
     for s, y in zip(sets, toxic, strict=True):
         seen[int(y), s] += 1
-    names += prefixes
     p1, p0, p = (seen[1] + 0.5) / (n1 + 1), (seen[0] + 0.5) / (n0 + 1), (seen[0] + seen[1] + 1) / (n + 2)
     strength = np.where(seen[0] + seen[1] >= 2, abs(p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)), 0)
-    name = lambda k: names[k] + "$" if k < len(index_of) else names[k]
     ranked = sorted(np.argsort(-strength, kind="stable")[: 4 * settings.max_features].tolist(), key=lambda k: (-strength[k], name(k)))[: settings.max_features]
     kept = [name(k) for k in ranked if strength[k] >= settings.z] or [name(k) for k in ranked[:20]]
     index = {f: k for k, f in enumerate(kept + sorted(features(set(_KIND)) - set(kept)))}
@@ -157,7 +176,11 @@ def fit(texts: list[list[str]], toxic: np.ndarray, settings: Settings = Settings
 
     places = np.full(size, -1)
     for f, k in index.items():
-        number = index_of.get(f[:-1]) if f.endswith("$") else prefixes.get(f)
+        if f[-1] == "$":
+            number = index_of.get(f[:-1])
+        else:
+            number = starts.get(f[:-1])
+            number = None if number is None else len(names) + _LEVELS * number + int(f[-1]) - 1
         if number is not None:
             places[number] = k
     x = np.zeros((n, len(index) + 1))
