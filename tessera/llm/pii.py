@@ -6,8 +6,13 @@ labelled spans are the base spans in a bounded sample of documents (``Settings.s
 written into passages of that sample by a seeded generator, beside numbers that are nothing personal. Texts are cut
 into overlapping windows; every window with a digit or an ``@``, without which no labelled span exists, is decoded.
 Spans of all windows of a document are reconciled together: fragments of a kind that meet are joined, pieces cut by a
-window's edge give way to whole ones, and where spans overlap the surest stays. Base spans stay as they are; an added
-span never overlaps one, nor what has the form of one but failed its check, nor cuts a word, and its kind is ``model_`` and the base kind.
+window's edge give way to whole ones, and where spans overlap the surest stays. Base spans stay as they are. An added span never
+overlaps one, nor what has its own kind's base form but failed the kind's check, nor cuts a word; as a card, its digits
+must pass the check digit. Its kind is ``model_`` and the base kind.
+
+Bounds of the fit, all in ``Settings``: documents (``sample_rows``), passages of a document (``snippets``, drawn by a
+digest from all that hold a digit or an ``@``), base spans of a document that are shown as they stand (``shown``, drawn by
+the seed), and generated windows (``generated``). Decoding has no bounds: it covers whole texts.
 
 Defined results: a null or empty text has no spans; without a digit or ``@`` anywhere in the sample the model is trained
 on the generator's spans alone; repeated rows get equal spans; an empty table gives an empty result; positions are code
@@ -94,14 +99,18 @@ def codes(text: str) -> list[int]:
 
 @dataclass(frozen=True)
 class Settings:
+    """Size of the network, its windows, how it is fitted, and to how much at most (see the module)."""
+
     hidden: int = 14
     window: int = 96
     overlap: int = 48
-    epochs: int = 6
+    epochs: int = 7
     batch: int = 48
     rate: float = 0.02
     sample_rows: int = 300
-    generated: int = 1100
+    snippets: int = 8
+    shown: int = 4
+    generated: int = 1800
     seed: int = 7
 
 
@@ -322,6 +331,8 @@ def plausible(text: str, kind: str) -> bool:
     digits = sum("0" <= c <= "9" for c in text)
     if kind == "email":
         return "@" in text and "." in text and text[-1].isalnum()
+    if kind == "card" and not _luhn([int(c) for c in text if "0" <= c <= "9"]):
+        return False
     return {"ip": 4, "card": 13, "phone": 9}[kind] <= digits <= {"ip": 12, "card": 19, "phone": 15}[kind] and not any(c.isalpha() for c in text)
 
 
@@ -338,9 +349,9 @@ def all_spans(text: str, network: Network, s: Settings) -> list[Span]:
             row[: len(part)] = part
         for a, tags, margin in zip(some, *network.decode(x), strict=True):
             pieces += _tagged(tags, margin, a, len(text) - a)
-    taken = Cover((a, b) for a, b, _ in [*good, *failed])
+    taken = {kind: Cover([(a, b) for a, b, _ in good] + [(a, b) for a, b, k in failed if k == kind]) for kind in KINDS} if pieces else {}
     apart = lambda a, b: not (a and text[a - 1].isalnum()) and not text[b : b + 1].isalnum()  # noqa: E731  not a part of a longer word
-    added = [(a, b, f"model_{k}") for a, b, k in reconcile(pieces) if apart(a, b) and not taken.meets(a, b) and plausible(text[a:b], k)]
+    added = [(a, b, f"model_{k}") for a, b, k in reconcile(pieces) if apart(a, b) and not taken[k].meets(a, b) and plausible(text[a:b], k)]
     order = (*KINDS, *(f"model_{k}" for k in KINDS))
     return sorted([*good, *added], key=lambda p: (p[0], order.index(p[2])))
 
@@ -374,7 +385,10 @@ def _variant(rng: random.Random) -> tuple[str, str | None]:
         case 8:
             return ".".join(str(rng.randint(1, 255)) for _ in range(4)), "ip"
         case 9:
-            return rng.choice([".", "/", "_"]).join(d(4) for _ in range(4)), "card"
+            digits = [int(c) for c in d(15)]
+            odd, even = sum(digits[-2::-2]), sum(2 * c - 9 * (c > 4) for c in digits[::-2])
+            number = "".join(map(str, digits)) + str(-(odd + even) % 10)
+            return rng.choice([".", "/", "_", " / "]).join(number[k : k + 4] for k in range(0, 16, 4)), "card"
         case 10:
             return rng.choice([f"20{d(2)}-0{rng.randint(1, 9)}-1{d(1)}", f"1{d(1)}.0{rng.randint(1, 9)}.19{d(2)}", f"{d(2)}:{d(2)}:{d(2)}"]), None
         case 11:
@@ -391,7 +405,7 @@ def labelled(texts: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     made: list[tuple[str, list[Span]]] = []
     for text in texts:
         good, failed = base_matches(text)
-        for a, b, _ in good[:4]:
+        for a, b, _ in rng.sample(good, min(len(good), s.shown)):
             at = max(0, a - rng.randint(5, 40))
             if b - at <= s.window and not any(x < at + s.window and y > at for x, y, _ in failed):
                 made.append((text[at : at + s.window], [(x - at, y - at, k) for x, y, k in good if x >= at and y <= at + s.window]))
@@ -427,7 +441,8 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Network:  # noqa: B008
     able = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]"))
     chosen = able.select(F.col("doc_id").alias("chosen")).distinct().orderBy(F.md5(F.col("chosen").cast("string"))).limit(s.sample_rows)
     near = F.regexp_extract_all("text", F.lit(r"[^0-9@]{0,100}[0-9@][\s\S]{0,200}"), F.lit(0))
-    found = able.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).select("doc_id", F.array_join(F.slice(near, 1, 6), "\n").alias("text")).toArrow()  # sample_rows rows
+    drawn = F.slice(F.array_sort(F.transform(near, lambda x: F.struct(F.xxhash64(x, F.lit(s.seed)).alias("at"), x.alias("x")))), 1, s.snippets)
+    found = able.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).select("doc_id", F.array_join(F.transform(drawn, lambda d: d["x"]), "\n").alias("text")).toArrow()  # sample_rows rows of snippets
     texts = sorted(set(found.column("text").to_pylist()))
     network = Network.new(s)
     network.fit(*labelled(texts, s), s)
