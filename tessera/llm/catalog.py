@@ -34,6 +34,20 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chats(chat_format.canonical(chats)))
 
 
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as JSON records of three layouts, and two that are none, brought back to canonical turns."""
+    chats = chat_format.canonical(_read(spark, sf_dir, "conversations"))
+    named = F.create_map(*map(F.lit, ("user", "human", "assistant", "gpt")))
+    as_pairs = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+    as_parts = F.transform("turns", lambda t: F.struct(F.coalesce(F.try_element_at(named, t["role"]), t["role"]).alias("from"), t["text"].alias("value")))
+    kind = F.pmod(F.xxhash64("conv_id"), F.lit(3))
+    record = F.when(kind == 0, F.to_json(F.struct(as_pairs.alias("messages")))).when(kind == 1, F.to_json(F.struct(as_parts.alias("conversations"), F.lit("x").alias("more")))).otherwise(F.to_json(F.struct(as_pairs.alias("conversation"))))
+    odd = spark.createDataFrame([(-1, '{"messages": [null]}'), (-2, '{"messages": ')], "conv_id long, record string")
+    found = chat_format.canonical_json(chats.select("conv_id", record.alias("record")).unionByName(odd), "conv_id", "record")
+    read = chat_format.digests(chat_format.format_chats(found)).select("conv_id", "n_turns", "turns_sha256")
+    return read.join(found.select(F.col("conv_id").alias("of"), (F.col("layout") == "malformed").alias("malformed")), F.col("conv_id") == F.col("of")).drop("of")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -73,7 +87,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_chat_format, op4_mixing, op5_licences, op6_pieces, op7_top_k, op8_pii, op9_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_chat_format, chat_layouts, op4_mixing, op5_licences, op6_pieces, op7_top_k, op8_pii, op9_simhash, op10_toxicity)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
@@ -102,6 +116,9 @@ ORACLES = {
                sum(CASE WHEN role = 'assistant' THEN length(x) ELSE 0 END)::BIGINT AS loss_chars,
                sha256(coalesce(string_agg(x, '' ORDER BY turn, role, x) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
         FROM sized GROUP BY conv_id""",
+    "chat_layouts": r"""
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY turn, coalesce(role, ''), coalesce(text, ''))) AS turns_sha256, false AS malformed
+        FROM conversations GROUP BY conv_id UNION ALL VALUES (-1, 0::BIGINT, sha256(''), false), (-2, 0::BIGINT, sha256(''), true)""",
     "op4_mixing": r"""
         WITH sized AS (
           SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS ticket,

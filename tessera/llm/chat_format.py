@@ -2,7 +2,8 @@ r"""Chat formatting: heterogeneous layouts to canonical turns, turns to one trai
 
 A layout is recognised by its schema: the nested field paths are hashed to a fingerprint, which selects a declarative
 mapping (``MAPPINGS``). Where further fields make the fingerprint unknown, the mapping with the most paths that are all
-there is taken. A conversation's turns are gathered by its id; a conversation is one output row by nature.
+there is taken, of several such the first in the table. A conversation's turns are gathered by its id; a conversation is
+one output row by nature, so one with very many turns (all rows with a null id, say) is one task's work.
 
 Template (control strings in upper case brackets or ``<s>``): a user turn is ``[INST] text [/INST]``, an assistant turn
 ``<s>text</s>``, a system turn ``[SYS]text[/SYS]``, any other ``[ROLE]role[/ROLE][TURN]text[/TURN]``. Inside texts, a
@@ -10,6 +11,11 @@ control string gets one backslash after its first character, and one that has ba
 so no text holds a control string, and taking one away restores every text. The loss mask is the spans, in code points
 of the formatted string, of the assistant texts.
 
+Records whose layouts differ from row to row (``canonical_json``) never end a job: ``layout`` names the mapping, or says
+why there are no turns: ``null``, ``malformed`` (no JSON), ``no record`` (JSON, but no object), ``unknown`` and the
+fingerprint (no mapping fits). A list of turns that is null, empty, or holds nothing but nulls is that layout without
+turns; of a list's entries, nulls are no turns, and others that aren't objects are turns without a role.
+
 Defined results: a null text or role counts as empty; turns are ordered by (turn, role, text), null turns first; rows
 with a null conv_id form one conversation; repeated rows are repeated turns; an empty table gives an empty result.
 """
@@ -93,6 +99,10 @@ class Mapping:
     fields: tuple
     roles: tuple[tuple[str, str], ...] = ()
 
+    @property
+    def name(self) -> str:
+        return ",".join(sorted(self.paths))
+
 
 def _list(name: str, role: str, text: str, roles=()) -> Mapping:
     return Mapping("list", frozenset({f"{name}[].{role}", f"{name}[].{text}"}), (name, role, text), roles)
@@ -127,13 +137,17 @@ MAPPINGS = {
 }
 
 
-def select_mapping(paths: set[str]) -> Mapping:
+def find_mapping(paths: set[str]) -> Mapping | None:
     if found := MAPPINGS.get(fingerprint(paths)):
         return found
     fitting = [m for m in MAPPINGS.values() if m.paths <= paths]
-    if not fitting:
+    return max(fitting, key=lambda m: len(m.paths)) if fitting else None
+
+
+def select_mapping(paths: set[str]) -> Mapping:
+    if (found := find_mapping(paths)) is None:
         raise ValueError(f"no mapping for the fields {sorted(paths)}")
-    return max(fitting, key=lambda m: len(m.paths))
+    return found
 
 
 def schema_paths(schema: T.StructType) -> set[str]:
@@ -162,16 +176,41 @@ def _text(value) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
-def record_turns(record: dict) -> list[tuple[str, str]]:
-    """The turns of one parsed record, by the mapping that its own fields select."""
-    m = select_mapping(value_paths(record))
+def _entry(x, role: str, text: str, roles: dict[str, str]) -> tuple[str, str]:
+    if not isinstance(x, dict):
+        return "", _text(x)
+    return roles.get(r := _text(x.get(role)), r), _text(x.get(text))
+
+
+def record_turns(record) -> tuple[list[tuple[str, str]], str]:
+    """The turns of one parsed record, by the mapping that its own fields select, and the name of its layout."""
+    if record is None:
+        return [], "null"
+    if not isinstance(record, dict):
+        return [], "no record"
+    m = find_mapping(value_paths(record))
+    if m is None:  # lists of turns that have no fields to tell them by
+        bare = [m for m in MAPPINGS.values() if m.kind == "list" and m.fields[0] in record and (record[m.fields[0]] is None or isinstance(record[m.fields[0]], list) and not any(isinstance(x, dict) for x in record[m.fields[0]]))]
+        if not bare:
+            return [], f"unknown {fingerprint(value_paths(record))[:16]}"
+        m = bare[0]
     roles = dict(m.roles)
     if m.kind == "list":
         name, role, text = m.fields
-        return [(roles.get(r := _text(x.get(role)), r), _text(x.get(text))) for x in record[name] or []]
-    if m.kind == "rows":
-        return [(_text(record["role"]), _text(record["text"]))]
-    return [(part[0], "\n\n".join(filter(None, (_text(record[f]) for f in part[1:])))) for part in m.fields if part[0] != "system" or _text(record[part[1]])]
+        turns = [_entry(x, role, text, roles) for x in record[name] or [] if x is not None]
+    elif m.kind == "rows":
+        turns = [(_text(record["role"]), _text(record["text"]))]
+    else:
+        turns = [(part[0], "\n\n".join(filter(None, (_text(record[f]) for f in part[1:])))) for part in m.fields if part[0] != "system" or _text(record[part[1]])]
+    return turns, m.name
+
+
+def json_turns(text: str | None) -> tuple[list[tuple[str, str]], str]:
+    """As ``record_turns``, of a record as JSON."""
+    try:
+        return record_turns(None if text is None else json.loads(text))
+    except (ValueError, RecursionError):  # what isn't JSON, or is nested too deeply to be a record
+        return [], "malformed"
 
 
 def canonical(df: DataFrame, id_column: str = "conv_id") -> DataFrame:
@@ -197,16 +236,23 @@ def canonical(df: DataFrame, id_column: str = "conv_id") -> DataFrame:
 
 
 def canonical_json(df: DataFrame, id_column: str, json_column: str) -> DataFrame:
-    """As ``canonical``, of a column of JSON records whose layouts differ from row to row."""
+    """conv_id, turns and layout of a column of JSON records whose layouts differ from row to row."""
 
     @tidy
     def convert(batches):
+        kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
         for batch in batches:
-            turns = [[{"role": r, "text": t} for r, t in record_turns(json.loads(x))] if x else [] for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(turns, pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])))], ["conv_id", "turns"])
+            found = [json_turns(x) for x in batch.column(1).to_pylist()]
+            turns = [[{"role": _whole(r), "text": _whole(t)} for r, t in some] for some, _ in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(turns, kind), pa.array([x for _, x in found], pa.string())], ["conv_id", "turns", "layout"])
 
     kind = df.schema[id_column].dataType.simpleString()
-    return df.select(id_column, json_column).mapInArrow(convert, f"conv_id {kind}, turns {TURNS}")
+    return df.select(df[id_column], df[json_column]).mapInArrow(convert, f"conv_id {kind}, turns {TURNS}, layout string")
+
+
+def _whole(text: str) -> str:
+    """Halves of surrogate pairs, which JSON can hold and UTF-8 can't, as replacement characters."""
+    return text.encode("utf-8", "replace").decode() if any("\ud800" <= c <= "\udfff" for c in text) else text
 
 
 def format_chats(chats: DataFrame) -> DataFrame:
