@@ -10,6 +10,8 @@ No piece of the vocabulary holds a character other than the word mark before a w
 whole text is one unit), so no merge crosses the start of a word: each word is encoded by itself and kept in a bounded
 cache. Characters without a piece become their UTF-8 bytes' pieces and can't be merged with anything.
 
+Models that normalise text, drop white space, mark words elsewhere or hold user-defined pieces are refused on loading.
+
 Defined results: a null or empty text has no ids, and no ids decode to an empty text; other cases have no exceptions;
 repeated rows are encoded each; an empty table gives an empty result; further columns are neither read nor touched.
 """
@@ -52,6 +54,7 @@ class Vocabulary:
     def load(cls, path: str) -> Vocabulary:
         from sentencepiece import SentencePieceProcessor
 
+        _refuse_unsupported(path)
         model = SentencePieceProcessor(model_file=path)
         ids = range(model.get_piece_size())
         byte_ids = [k for k in ids if model.is_byte(k)]
@@ -61,6 +64,46 @@ class Vocabulary:
         return cls(tuple(map(model.id_to_piece, ids)), tuple(map(model.get_score, ids)), tuple(sorted(byte_ids, key=lambda k: int(model.id_to_piece(k)[3:-1], 16))), control, model.unk_id())
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of each field of a protocol buffer message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        n = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            n |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return n
+
+    while at < len(data):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+            continue
+        size = {1: 8, 5: 4}.get(key & 7) or number()
+        yield key >> 3, data[at : at + size]
+        at += size
+
+
+def _refuse_unsupported(path: str) -> None:
+    """Raise unless the model merges by score, takes text as it is but for one leading mark, and has plain pieces alone."""
+    with open(path, "rb") as f:
+        parts = list(_fields(f.read()))
+    # fixed values: field numbers of the public model format, and their defaults
+    trainer, normaliser = (dict(_fields(next((v for k, v in parts if k == n), b""))) for n in (2, 3))
+    wrong = {
+        "not of merge type": trainer.get(3, 1) != 2, "marks after words": bool(trainer.get(24, 0)), "normalises": bool(normaliser.get(2, b"")), "no leading mark": not normaliser.get(3, 1),
+        "removes white space": bool(normaliser.get(4, 1)), "keeps spaces": not normaliser.get(5, 1), "has user-defined pieces": any(dict(_fields(v)).get(3, 1) == 4 for k, v in parts if k == 1),
+        "another sign for the unknown": trainer.get(44, " ⁇ ".encode()) != " ⁇ ".encode(),
+    }
+    if found := [what for what, so in wrong.items() if so]:
+        raise ValueError(f"unsupported model: {', '.join(found)}")
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         import ahocorasick
