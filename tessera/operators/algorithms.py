@@ -339,6 +339,14 @@ def multinomial_newton(x: DataFrame, classes: int, ridge: float = 0.0, turns: in
     return w
 
 
+def library_linear(x: DataFrame, most: int = 100):
+    """Spark's own linear regression."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+
+    return LinearRegression(maxIter=most).fit(x.select(array_to_vector("vec").alias("features"), F.col("y").cast("double").alias("label")))
+
+
 def library_models(x: DataFrame, most: int = 3, k: int = 5) -> dict:
     """Spark's own logistic and linear regression and PCA on the same rows."""
     from pyspark.ml.classification import LogisticRegression

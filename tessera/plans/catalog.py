@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import features, ieee
 from tessera.operators import algorithms, decompose, layout, rowvec, tiles
 from tessera.plans.matrix import AGGREGATES, Matrix
-from tessera.plans.meta import INT, SPARSE
+from tessera.plans.meta import FLOAT, INT, SPARSE
 from tessera.sources import files, tables
 
 QUERIES: dict = {}
@@ -48,13 +48,16 @@ class Tables:
         df = self.read("embeddings")
         return tables.from_vectors(df, "vec_id", "embedding", df.count(), 64, lambda x: F.floor(scale * x))
 
-    def p(self, where: str = "l_returnflag <> 'N'", value: str = "l_quantity", dtype: str = "double") -> Matrix:
-        """Parts by suppliers."""
-        lines, shape = self.read("lineitem").where(where), (self.read("part").count(), self.read("supplier").count())
-        return tables.from_pairs(lines, "l_partkey", "l_suppkey", F.expr(value).cast("bigint"), *shape, dtype)
+    def p(self, dtype: str = "double") -> Matrix:
+        """Parts by suppliers: quantities."""
+        shape = self.read("part").count(), self.read("supplier").count()
+        return tables.from_pairs(self.read("lineitem"), "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint"), *shape, dtype)
 
     def d(self, dtype: str = "double") -> Matrix:
-        return self.p("l_linestatus = 'O'", "round(l_discount * 100)", dtype)
+        """Of the same shape with another pattern: discounts in cents, some suppliers further on."""
+        shape = self.read("part").count(), self.read("supplier").count()
+        lines = self.read("lineitem").withColumn("further", (F.col("l_suppkey") + F.when(F.col("l_linenumber") > 2, F.col("l_linenumber")).otherwise(0)) % shape[1])
+        return tables.from_pairs(lines, "l_partkey", "further", F.expr("round(l_discount * 100)").cast("bigint"), *shape, dtype)
 
     def u(self) -> Matrix:
         """Users by kinds of events, counted; dense."""
@@ -77,8 +80,8 @@ _KINDS = ("click", "error", "purchase", "signup", "view")
 
 _E = "SELECT vec_id AS i, generate_subscripts(embedding, 1) - 1 AS j, floor({n} * unnest(embedding)::DOUBLE) AS v FROM embeddings"
 E = _E.format(n=64)
-P = "SELECT l_partkey AS i, l_suppkey AS j, sum(l_quantity::BIGINT)::DOUBLE AS v FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL HAVING v <> 0"
-D = "SELECT l_partkey AS i, l_suppkey AS j, sum(round(l_discount * 100)::BIGINT)::DOUBLE AS v FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL HAVING v <> 0"
+P = "SELECT l_partkey AS i, l_suppkey AS j, sum(l_quantity::BIGINT)::DOUBLE AS v FROM lineitem GROUP BY ALL HAVING v <> 0"
+D = "SELECT l_partkey AS i, (l_suppkey + CASE WHEN l_linenumber > 2 THEN l_linenumber ELSE 0 END) % (SELECT count(*) FROM supplier) AS j, sum(round(l_discount * 100)::BIGINT)::DOUBLE AS v FROM lineitem GROUP BY ALL HAVING v <> 0"
 _KIND_SQL = " UNION ALL ".join(f"SELECT {k} AS j, '{name}' AS kind" for k, name in enumerate(_KINDS))
 U = f"SELECT u.user_id AS i, k.j::BIGINT AS j, count(e.event_id)::DOUBLE AS v FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN ({_KIND_SQL}) k LEFT JOIN events e ON e.user_id = u.user_id AND e.event_type = k.kind GROUP BY ALL"
 SHAPE = "SELECT (SELECT count(*) FROM part) AS rows, (SELECT count(*) FROM supplier) AS cols"
@@ -98,7 +101,7 @@ def scan_dense_coo(spark, sf_dir):
     return Tables(spark, sf_dir).e().cells()
 
 
-@_query("SELECT l_partkey AS i, l_suppkey AS j, sum(l_quantity::BIGINT)::BIGINT AS v FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL HAVING v <> 0")
+@_query("SELECT l_partkey AS i, l_suppkey AS j, sum(l_quantity::BIGINT)::BIGINT AS v FROM lineitem GROUP BY ALL HAVING v <> 0")
 def scan_sparse_int(spark, sf_dir):
     return Tables(spark, sf_dir).p(dtype=INT).cells()
 
@@ -209,6 +212,11 @@ def permute_3d(spark, sf_dir):
     return layout.permute(_cube(spark, sf_dir), (2, 0, 1))
 
 
+@_query(_sql("SELECT d0 - 5 AS d0, d1, d2 - 6 AS d2, v FROM c WHERE d0 BETWEEN 5 AND 40 AND d2 BETWEEN 6 AND 17", c=_CUBE))
+def subarray_3d(spark, sf_dir):
+    return layout.subarray_nd(_cube(spark, sf_dir), [(5, 40), None, (6, 17)])
+
+
 @_query(_sql("SELECT d2 AS d0, d1, sum(v) AS v FROM c GROUP BY ALL", c=_CUBE))
 def reduce_3d(spark, sf_dir):
     return layout.reduce(_cube(spark, sf_dir), (2, 1))
@@ -248,6 +256,34 @@ def io_matrix_market(spark, sf_dir):
     return files.read_matrix_market(spark, path).cells()
 
 
+@_query(_sql("SELECT i, j, v FROM e", e=E))
+def io_dense_csv(spark, sf_dir):
+    e, path = Tables(spark, sf_dir).e(), files.scratch(spark, "dense")
+    files.write_dense_csv(e, path)
+    return files.read_dense_csv(spark, path, *e.meta.shape).cells()
+
+
+@_query(_sql("SELECT i, j, v FROM p UNION ALL SELECT -1 - i, j, v FROM u", p=P, u=U))
+def io_described(spark, sf_dir):
+    """A sparse and a dense matrix, each with its description beside it."""
+    t, cells = Tables(spark, sf_dir), []
+    for m in (t.p(), t.u()):
+        path = files.scratch(spark, "described")
+        files.write_described(m, path)
+        cells.append(files.read_described(spark, path).cells())
+    return cells[0].unionAll(cells[1].withColumn("i", -1 - F.col("i")))
+
+
+@_query(_sql("SELECT i, j, v, 3 AS files FROM p", p=P))
+def io_compact(spark, sf_dir):
+    """A stored matrix rewritten into three files."""
+    path = files.scratch(spark, "compact")
+    files.write(Tables(spark, sf_dir).p(), path, band=64)
+    files.compact(spark, path, 3)
+    cells = files.read(spark, path).cells()
+    return cells.withColumn("files", F.lit(len(cells.inputFiles())))
+
+
 # cell by cell
 
 _BOTH = "SELECT i, j, coalesce(p.v, 0)::DOUBLE AS a, coalesce(d.v, 0)::DOUBLE AS b FROM p FULL JOIN d USING (i, j)"
@@ -277,13 +313,34 @@ def div_sparse_ieee(spark, sf_dir):
     return (t.p() / t.d()).cells()
 
 
-@_query(_sql("SELECT i, j, p.v::BIGINT // d.v::BIGINT AS v FROM p JOIN d USING (i, j) WHERE p.v >= d.v", p=P, d=D))
+@_query(_sql("SELECT i, j, e.v::BIGINT // (2 * f.v + 1)::BIGINT AS v FROM e JOIN f USING (i, j)", e=E, f=_E.format(n=16)))
 def div_int(spark, sf_dir):
+    """Quotients of both signs, and of 0, cut towards zero; divisors are odd."""
     t = Tables(spark, sf_dir)
-    p, d = t.p(dtype=INT), t.d(INT)
-    both = p.cells().join(d.cells().select("i", "j", F.col("v").alias("w")), ["i", "j"])
-    whole = [Matrix.from_cells(both.select("i", "j", F.col(c).alias("v")), *p.meta.shape, SPARSE, INT) for c in ("v", "w")]
-    return Matrix.from_cells(whole[0].cells(), *p.meta.shape, "dense", INT)._with(Matrix.from_cells(whole[1].cells(), *p.meta.shape, "dense", INT), "div").sparsify().cells()
+    return (t.e().cast(INT) / (2 * t.e(16).cast(INT) + 1)).cells()
+
+
+@_query(_sql("SELECT i, j, trunc(v / 8)::BIGINT AS v FROM e", e=E))
+def cast_int(spark, sf_dir):
+    return (Tables(spark, sf_dir).e() / 8.0).cast(INT).cells()
+
+
+@_query(
+    _sql(
+        """SELECT i, j, e.v / 8 + f.v / 8 AS v, 'float+float' AS pair, 'float' AS kind FROM e JOIN f USING (i, j) UNION ALL SELECT i, j, e.v * f.v / 8, 'int*float', 'double' FROM e JOIN f USING (i, j)
+           UNION ALL SELECT i, j, e.v / 8 - f.v / 16, 'float-double', 'double' FROM e JOIN f USING (i, j) UNION ALL SELECT i, j, e.v - f.v, 'int-int', 'bigint' FROM e JOIN f USING (i, j)""",
+        e=E,
+        f=_E.format(n=32),
+    )
+)
+def type_pairs(spark, sf_dir):
+    """The types of results; the values are whole eighths and sixteenths, which a float holds."""
+    t = Tables(spark, sf_dir)
+    e, f = t.e(), t.e(32)
+    e8, f8 = (e / 8.0).cast(FLOAT), (f / 8.0).cast(FLOAT)
+    pairs = {"float+float": e8 + f8, "int*float": e.cast(INT) * f8, "float-double": e8 - f / 16.0, "int-int": e.cast(INT) - f.cast(INT)}
+    out = [m.cells().select("i", "j", F.col("v").cast("double").alias("v"), F.lit(name).alias("pair"), F.typeof("v").alias("kind")) for name, m in pairs.items()]
+    return out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3])
 
 
 @_query(_sql("SELECT i, j, e.v + f.v AS v FROM e JOIN f USING (i, j)", e=E, f=_E.format(n=32)))
@@ -531,6 +588,18 @@ for _name, _size in (("odd", (3, 5)), ("even", (2, 4)), ("wide", (9, 200))):
     _query(_window_sql(_size), f"window2d_{_name}")(lambda spark, sf_dir, size=_size: _rounded(Tables(spark, sf_dir).e().windows(size)))
 
 
+@_query(
+    _sql(
+        "SELECT i, j, sum(s) OVER (PARTITION BY i ORDER BY j RANGE BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS v FROM a",
+        p=P,
+        g=GRID,
+        a="SELECT i, j, sum(coalesce(v, 0)) OVER (PARTITION BY j ORDER BY i RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s FROM g LEFT JOIN p USING (i, j)",
+    )
+)
+def window_sparse(spark, sf_dir):
+    return Tables(spark, sf_dir).p().window((3, 4), "sum").cells()
+
+
 # algorithms
 
 
@@ -564,10 +633,11 @@ def pagerank_3it(spark, sf_dir):
     return algorithms.pagerank(_graph(spark, sf_dir), 3).withColumn("v", F.round("v", 10))
 
 
-def _lr_sql(turns: int) -> str:
+def _lr_sql(turns: int, rate: float = 1e-7, mean: bool = False) -> str:
     names = {"r": "SELECT row_number() OVER () AS i, [1.0::DOUBLE, l_quantity, round(l_discount * 100), round(l_tax * 100)] AS x, (l_returnflag = 'R')::INTEGER AS y FROM lineitem", "w0": "SELECT [0.0::DOUBLE, 0, 0, 0] AS w"}
     for k in range(turns):
-        g = ", ".join(f"w[{c}] - 1e-7::DOUBLE * sum(x[{c}] * (1 / (1 + exp(-(x[1] * w[1] + x[2] * w[2] + x[3] * w[3] + x[4] * w[4]))) - y))" for c in range(1, 5))
+        step = rate / 2**k if mean else rate
+        g = ", ".join(f"w[{c}] - {step!r}::DOUBLE * {'avg' if mean else 'sum'}(x[{c}] * (1 / (1 + exp(-(x[1] * w[1] + x[2] * w[2] + x[3] * w[3] + x[4] * w[4]))) - y))" for c in range(1, 5))
         names[f"w{k + 1}"] = f"SELECT [{g}] AS w FROM r, w{k} GROUP BY w"
     return _sql(f"SELECT (generate_subscripts(w, 1) - 1)::BIGINT AS k, round(unnest(w), 6) AS v FROM w{turns}", **names)
 
@@ -578,24 +648,28 @@ def lr_2it(spark, sf_dir):
     return _vector(spark, w).withColumn("v", F.round("v", 6))
 
 
-@_query()
+@_query(_lr_sql(3, 0.001, mean=True))
 def logit_mean_3it(spark, sf_dir):
     x = Tables(spark, sf_dir).lines("if(l_returnflag = 'R', 1, 0)")
     return _vector(spark, algorithms.logistic(x, np.zeros(4), rate=0.001, turns=3, average=True)).withColumn("v", F.round("v", 6))
 
 
-@_query(
-    _sql(
-        """SELECT x.j AS i, 0::BIGINT AS j, round(-1e-4::DOUBLE * sum(x.v * (0.5 - coalesce(y.v, 0))), 6) AS v FROM p x LEFT JOIN (SELECT p_partkey AS i, 1.0 AS v FROM part WHERE p_size > 25) y USING (i) GROUP BY x.j""",
-        p=P,
-    )
-)
-def sparse_lr_1it(spark, sf_dir):
+def _sparse_lr_sql(turns: int) -> str:
+    names = {"p": P, "s": SHAPE, "y": "SELECT p_partkey AS i FROM part WHERE p_size > 25", "w0": "SELECT range AS j, (range % 5 - 2) / 1000.0::DOUBLE AS w FROM s, range(cols)"}
+    for k in range(turns):
+        names[f"z{k}"] = f"SELECT p.i, 1 / (1 + exp(-sum(p.v * w.w))) - CASE WHEN i IN (SELECT i FROM y) THEN 1 ELSE 0 END AS z FROM p JOIN w{k} w USING (j) GROUP BY p.i"
+        names[f"w{k + 1}"] = f"SELECT w.j, any_value(w.w) - 1e-4::DOUBLE * coalesce(sum(p.v * z.z), 0) AS w FROM w{k} w LEFT JOIN p ON p.j = w.j LEFT JOIN z{k} z ON z.i = p.i GROUP BY w.j"
+    return _sql(f"SELECT j AS i, 0::BIGINT AS j, round(w, 6) AS v FROM w{turns}", **names)
+
+
+@_query(_sparse_lr_sql(2))
+def sparse_lr_2it(spark, sf_dir):
+    """Two turns from weights that aren't 0."""
     t = Tables(spark, sf_dir)
     p = t.p()
     y = t.read("part").where("p_size > 25").select(F.col("p_partkey").alias("i"), F.lit(0).alias("j"), F.lit(1.0).alias("v"))
-    w = Matrix.from_cells(spark.range(p.meta.cols).select(F.col("id").alias("i"), F.lit(0).alias("j"), F.lit(0.0).alias("v")), p.meta.cols, 1)
-    step = algorithms.sparse_logistic(p, Matrix.from_cells(y, p.meta.rows, 1, SPARSE), w, 1e-4, 1)
+    w = Matrix.build(spark, p.meta.cols, 1, lambda i, j: (i % 5 - 2) / 1000.0)
+    step = algorithms.sparse_logistic(p, Matrix.from_cells(y, p.meta.rows, 1, SPARSE), w, 1e-4, 2)
     return step.cells().withColumn("v", F.round("v", 6))
 
 
@@ -606,32 +680,45 @@ def _nmf(spark, sf_dir, turns: int):
     return algorithms.nmf(x, w, h, turns)
 
 
-_NMF = {
-    "x": f"SELECT i, j, v + 64 AS v FROM ({E})",
-    "w": "SELECT i, r.range AS r, ((i * 7 + r.range * 3) % 10 + 1) / 10.0::DOUBLE AS v FROM (SELECT vec_id AS i FROM embeddings), range(4) r",
-    "h": "SELECT r.range AS r, j.range AS j, ((r.range * 5 + j.range) % 10 + 1) / 10.0::DOUBLE AS v FROM range(4) r, range(64) j",
-    "xh": "SELECT x.i, h.r, sum(x.v * h.v) AS v FROM x JOIN h USING (j) GROUP BY ALL",
-    "hh": "SELECT a.r AS r, b.r AS q, sum(a.v * b.v) AS v FROM h a JOIN h b USING (j) GROUP BY ALL",
-    "whh": "SELECT w.i, hh.q AS r, sum(w.v * hh.v) AS v FROM w JOIN hh ON w.r = hh.r GROUP BY ALL",
-    "w1": "SELECT i, r, w.v * xh.v / whh.v AS v FROM w JOIN xh USING (i, r) JOIN whh USING (i, r)",
-    "wx": "SELECT w1.r, x.j, sum(w1.v * x.v) AS v FROM w1 JOIN x USING (i) GROUP BY ALL",
-    "ww": "SELECT a.r AS r, b.r AS q, sum(a.v * b.v) AS v FROM w1 a JOIN w1 b USING (i) GROUP BY ALL",
-    "wwh": "SELECT ww.r, h.j, sum(ww.v * h.v) AS v FROM ww JOIN h ON ww.q = h.r GROUP BY ALL",
-}
-
-
-@_query(_sql("SELECT i, r AS j, round(v, 6) AS v FROM w1", **_NMF))
+def _nmf_sql(select: str, turns: int) -> str:
+    names = {
+        "x": f"SELECT i, j, v + 64 AS v FROM ({E})",
+        "w0": "SELECT i, r.range AS r, ((i * 7 + r.range * 3) % 10 + 1) / 10.0::DOUBLE AS v FROM (SELECT vec_id AS i FROM embeddings), range(4) r",
+        "h0": "SELECT r.range AS r, j.range AS j, ((r.range * 5 + j.range) % 10 + 1) / 10.0::DOUBLE AS v FROM range(4) r, range(64) j",
+    }
+    for k in range(turns):
+        names |= {
+            f"xh{k}": f"SELECT x.i, h.r, sum(x.v * h.v) AS v FROM x JOIN h{k} h USING (j) GROUP BY ALL",
+            f"hh{k}": f"SELECT a.r AS r, b.r AS q, sum(a.v * b.v) AS v FROM h{k} a JOIN h{k} b USING (j) GROUP BY ALL",
+            f"whh{k}": f"SELECT w.i, hh.q AS r, sum(w.v * hh.v) AS v FROM w{k} w JOIN hh{k} hh ON w.r = hh.r GROUP BY ALL",
+            f"w{k + 1}": f"SELECT i, r, w.v * xh.v / whh.v AS v FROM w{k} w JOIN xh{k} xh USING (i, r) JOIN whh{k} whh USING (i, r)",
+            f"wx{k}": f"SELECT w.r, x.j, sum(w.v * x.v) AS v FROM w{k + 1} w JOIN x USING (i) GROUP BY ALL",
+            f"ww{k}": f"SELECT a.r AS r, b.r AS q, sum(a.v * b.v) AS v FROM w{k + 1} a JOIN w{k + 1} b USING (i) GROUP BY ALL",
+            f"wwh{k}": f"SELECT ww.r, h.j, sum(ww.v * h.v) AS v FROM ww{k} ww JOIN h{k} h ON ww.q = h.r GROUP BY ALL",
+            f"h{k + 1}": f"SELECT r, j, h.v * wx.v / wwh.v AS v FROM h{k} h JOIN wx{k} wx USING (r, j) JOIN wwh{k} wwh USING (r, j)",
+        }
+    return _sql(select, **names)
+
+
+@_query(_nmf_sql("SELECT i, r AS j, round(v, 6) AS v FROM w1", 1))
 def nmf_1it_w(spark, sf_dir):
     w, _ = _nmf(spark, sf_dir, 1)
     return w.select("i", F.posexplode("vec").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), F.round("v", 6).alias("v"))
 
 
-@_query(_sql("SELECT r * 64 + j AS k, round(h.v * wx.v / wwh.v, 6) AS v FROM h JOIN wx USING (r, j) JOIN wwh USING (r, j)", **_NMF))
+@_query(_nmf_sql("SELECT r * 64 + j AS k, round(v, 6) AS v FROM h1", 1))
 def nmf_1it_h(spark, sf_dir):
     _, h = _nmf(spark, sf_dir, 1)
     return _vector(spark, h).withColumn("v", F.round("v", 6))
 
 
+@_query(_nmf_sql("SELECT r * 64 + j AS k, round(v, 5) AS v FROM h6", 6))
+def nmf_6it_h(spark, sf_dir):
+    """More turns than there are between two writings of W."""
+    _, h = _nmf(spark, sf_dir, 6)
+    return _vector(spark, h).withColumn("v", F.round("v", 5))
+
+
 _Z = "SELECT [1.0::DOUBLE, l_quantity, round(l_discount * 100), round(l_tax * 100)] AS x, floor(l_extendedprice) AS y FROM lineitem"
 
 
@@ -657,6 +744,35 @@ def linear_regression_cg(spark, sf_dir):
     return _vector(spark, [*got["w"], got["r2"]]).withColumn("v", F.round("v", 4))
 
 
+_FIT = {
+    "m": "SELECT count(*)::DOUBLE AS n, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, avg(l_extendedprice) AS y, sum(l_extendedprice * l_extendedprice) AS yy, regr_syy(l_extendedprice, l_quantity) AS spread FROM lineitem",
+    "q": "SELECT any_value(n) AS n, any_value(y) AS y, any_value(yy) AS yy, any_value(spread) AS spread, any_value(a) AS a, any_value(b) AS b, sum(pow(l_extendedprice - a - b * l_quantity, 2)) AS ee FROM lineitem, m",
+}
+
+
+@_query(
+    _sql(
+        """SELECT unnest(['intercept', 'slope', 'mean_y', 'deviation_y', 'dispersion', 'r2', 'adjusted_r2', 'r2_vs_0', 'adjusted_r2_vs_0']) AS name,
+                  round(unnest([a, b, y, sqrt(spread / (n - 1)), ee / (n - 2), 1 - ee / spread, 1 - (ee / (n - 2)) / (spread / (n - 1)), 1 - ee / yy, 1 - (ee / (n - 2)) / (yy / n)]), 4) AS v FROM q""",
+        **_FIT,
+    )
+)
+def linear_regression_scaled(spark, sf_dir):
+    """Columns shifted and scaled while it runs, and the statistics of the fit."""
+    got = algorithms.conjugate_gradient(_price_by_quantity(spark, sf_dir, "l_quantity"), intercept=True, scale=True)
+    names = ("mean_y", "deviation_y", "dispersion", "r2", "adjusted_r2", "r2_vs_0", "adjusted_r2_vs_0")
+    rows = [("intercept", float(got["w"][1])), ("slope", float(got["w"][0])), *((n, float(got[n])) for n in names)]
+    return spark.createDataFrame(rows, "name string, v double").withColumn("v", F.round("v", 4))
+
+
+@_query("SELECT unnest([0, 1])::BIGINT AS k, round(unnest([regr_intercept(l_extendedprice, l_quantity), regr_slope(l_extendedprice, l_quantity)]), 3) AS v FROM lineitem")
+def library_linear(spark, sf_dir):
+    """Spark's own linear regression on the same rows."""
+    x = _price_by_quantity(spark, sf_dir, "l_quantity")
+    model = algorithms.library_linear(x)
+    return _vector(spark, [model.intercept, model.coefficients[0]]).withColumn("v", F.round("v", 3))
+
+
 @_query("SELECT 0::BIGINT AS k, round(sum(l_quantity * l_extendedprice) / (sum(l_quantity * l_quantity) + 1e-6::DOUBLE), 4) AS v FROM lineitem")
 def ridge_simple(spark, sf_dir):
     return _vector(spark, algorithms.least_squares(_price_by_quantity(spark, sf_dir, "l_quantity"), 1e-6)).withColumn("v", F.round("v", 4))
@@ -668,12 +784,67 @@ def robust_se_simple(spark, sf_dir):
     return _vector(spark, np.sqrt(np.diag(cov))).withColumn("v", F.round("v", 6))
 
 
-@_query()
+def _inverse_sql(name: str, n: int) -> dict[str, str]:
+    """Steps of elimination on the cells (i, j, v) of ``name`` beside the identity; the last, ``inverse``, has its inverse."""
+    steps = {"a0": f"SELECT i, j, v FROM {name} UNION ALL SELECT a.range, b.range + {n}, (a.range = b.range)::INTEGER::DOUBLE FROM range({n}) a, range({n}) b"}
+    for k in range(n):
+        steps[f"a{k + 1}"] = (
+            f"SELECT a.i, a.j, CASE WHEN a.i = {k} THEN a.v / mid.v ELSE a.v - own.v * top.v / mid.v END AS v FROM a{k} a JOIN a{k} top ON top.i = {k} AND top.j = a.j"
+            f" JOIN a{k} own ON own.i = a.i AND own.j = {k} JOIN a{k} mid ON mid.i = {k} AND mid.j = {k}"
+        )
+    return steps | {"inverse": f"SELECT i, j - {n} AS j, v FROM a{n} WHERE j >= {n}"}
+
+
+_SOLVE = {
+    "z": _Z,
+    "g": "SELECT a.range AS i, b.range AS j, sum(x[a.range + 1] * x[b.range + 1]) AS v FROM z, range(4) a, range(4) b GROUP BY ALL",
+    **_inverse_sql("g", 4),
+    "b": "SELECT a.range AS i, sum(x[a.range + 1] * y) AS v FROM z, range(4) a GROUP BY ALL",
+    "w": "SELECT list(v ORDER BY i) AS w FROM (SELECT inverse.i, sum(inverse.v * b.v) AS v FROM inverse JOIN b ON b.i = inverse.j GROUP BY inverse.i)",
+    "meat": "SELECT a.range AS i, b.range AS j, sum(x[a.range + 1] * x[b.range + 1] * pow(y - x[1] * w[1] - x[2] * w[2] - x[3] * w[3] - x[4] * w[4], 2)) AS v FROM z, w, range(4) a, range(4) b GROUP BY ALL",
+}
+
+
+@_query(_sql("SELECT l.i AS k, round(sqrt(sum(l.v * meat.v * r.v)), 6) AS v FROM inverse l JOIN meat ON meat.i = l.j JOIN inverse r ON r.i = meat.j AND r.j = l.i GROUP BY l.i", **_SOLVE))
 def robust_se(spark, sf_dir):
     _, cov = algorithms.robust_errors(Tables(spark, sf_dir).lines("floor(l_extendedprice)"))
     return _vector(spark, np.sqrt(np.diag(cov))).withColumn("v", F.round("v", 6))
 
 
+def _eigen_sql(matrix: str, k: int, doublings: int = 16) -> dict[str, str]:
+    """The largest k eigenvalues (val1, ...) and their vectors (vec1, ...) of the cells of a symmetric matrix: it is squared
+    again and again, whose columns turn to the first vector, which is then taken off the matrix."""
+    steps, rest = {}, matrix
+    for n in range(1, k + 1):
+        steps |= {
+            f"pow{n}": f"""SELECT 0 AS step, i, j, v / (SELECT sum(v) FROM {rest} WHERE i = j) AS v FROM {rest} UNION ALL
+                SELECT step + 1, i, j, v / sum(v) FILTER (i = j) OVER () FROM (SELECT a.step, a.i, b.j, sum(a.v * b.v) AS v FROM pow{n} a JOIN pow{n} b ON a.j = b.i WHERE a.step < {doublings} GROUP BY ALL)""",
+            f"col{n}": f"SELECT i, v FROM pow{n} WHERE step = {doublings} AND j = (SELECT arg_max(i, v) FROM pow{n} WHERE step = {doublings} AND i = j)",
+            f"vec{n}": f"SELECT i, v * sign((SELECT arg_max(v, abs(v)) FROM col{n})) / sqrt(sum(v * v) OVER ()) AS v FROM col{n}",
+            f"val{n}": f"SELECT sum(x.v * m.v * y.v) AS v FROM {rest} m JOIN vec{n} x ON x.i = m.i JOIN vec{n} y ON y.i = m.j",
+            f"rest{n}": f"SELECT m.i, m.j, m.v - (SELECT v FROM val{n}) * x.v * y.v AS v FROM {rest} m JOIN vec{n} x ON x.i = m.i JOIN vec{n} y ON y.i = m.j",
+        }
+        rest = f"rest{n}"
+    return steps
+
+
+def _recursive(select: str, **named: str) -> str:
+    return "WITH RECURSIVE " + ", ".join(f"{k} AS {'' if k.startswith('pow') else 'MATERIALIZED '}({v})" for k, v in named.items()) + " " + select
+
+
+def _each(k: int, select: str) -> str:
+    return " UNION ALL ".join(select.format(n=n, at=n - 1) for n in range(1, k + 1))
+
+
+_MOMENTS = {"e": E, "g": _PTP.format(a="e")}
+_COVARIANCE = {
+    "e": E,
+    "mean": "SELECT j, avg(v) AS v FROM e GROUP BY j",
+    "c": "SELECT i, j, e.v - mean.v AS v FROM e JOIN mean USING (j)",
+    "g": "SELECT x.j AS i, y.j AS j, sum(x.v * y.v) / (any_value(n) - 1) AS v FROM c x JOIN c y USING (i), (SELECT count(*) AS n FROM embeddings) GROUP BY ALL",
+}
+
+
 @_query(_sql("SELECT 0::BIGINT AS k, sum(v * v) AS v FROM e UNION ALL SELECT 1, sum(v * v) FROM g", e=E, g=_PTP.format(a="e")))
 def svd_moments(spark, sf_dir):
     """Sums of the singular values' squares and fourth powers: the squared norms of X and of XᵀX."""
@@ -681,32 +852,60 @@ def svd_moments(spark, sf_dir):
     return _vector(spark, [(s**2).sum(), (s**4).sum()]).withColumn("v", F.round("v", 0))
 
 
-@_query()
+@_query(_recursive(_each(10, "SELECT e.i, {at} AS j, round(sum(e.v * x.v) / sqrt(any_value(s.v)), 6) AS v FROM e JOIN vec{n} x ON x.i = e.j, val{n} s GROUP BY e.i"), **_MOMENTS, **_eigen_sql("g", 10)))
 def svd_rank10(spark, sf_dir):
     u, _, _ = decompose.svd(Tables(spark, sf_dir).vectors(), 10)
     return u.select("i", F.posexplode("vec").alias("j", "v")).withColumn("v", F.round("v", 6))
 
 
-@_query(_sql("SELECT 0::BIGINT AS k, round(sum(s), 4) AS v FROM (SELECT var_samp(v) AS s FROM e GROUP BY j)", e=E))
+@_query(_recursive(_each(10, "SELECT {at} AS j, x.i, round(x.v, 6) AS v, round(s.v, 3) AS value FROM vec{n} x, val{n} s"), **_MOMENTS, **_eigen_sql("g", 10)))
+def eigen_gram(spark, sf_dir):
+    """The largest eigenvalues of XᵀX and their vectors."""
+    values, vectors = decompose.eigen(decompose.gram(Tables(spark, sf_dir).vectors()), 10)
+    rows = [(n, i, float(vectors[i, n]), float(values[n])) for n in range(10) for i in range(len(vectors))]
+    return spark.createDataFrame(rows, "j int, i long, v double, value double").withColumns({"v": F.round("v", 6), "value": F.round("value", 3)})
+
+
+@_query(_recursive(_each(5, "SELECT {at}::BIGINT AS k, round(v, 4) AS v FROM val{n}"), **_COVARIANCE, **_eigen_sql("g", 5)))
 def pca_variance(spark, sf_dir):
-    """The eigenvalues of the covariance add up to the columns' variances."""
-    _, values, _ = decompose.pca(Tables(spark, sf_dir).vectors(), 64)
-    return _vector(spark, [values.sum()]).withColumn("v", F.round("v", 4))
+    """The largest eigenvalues of the covariance."""
+    _, values, _ = decompose.pca(Tables(spark, sf_dir).vectors(), 5)
+    return _vector(spark, values).withColumn("v", F.round("v", 4))
 
 
-@_query()
+@_query(_recursive(_each(5, "SELECT c.i, {at} AS j, round(sum(c.v * x.v), 5) AS v FROM c JOIN vec{n} x ON x.i = c.j GROUP BY c.i"), **_COVARIANCE, **_eigen_sql("g", 5)))
 def pca_project_5(spark, sf_dir):
     projected, _, _ = decompose.pca(Tables(spark, sf_dir).vectors(), 5)
     return projected.select("i", F.posexplode("vec").alias("j", "v")).withColumn("v", F.round("v", 5))
 
 
-@_query()
+@_query(_sql("SELECT i * 4 + j AS k, round(v, 9) AS v FROM inverse", **_SOLVE))
 def inverse_small(spark, sf_dir):
     g, *_ = algorithms.normal_sums(Tables(spark, sf_dir).lines("0"))
     return _vector(spark, decompose.inv(g)).withColumn("v", F.round("v", 9))
 
 
-@_query()
+def _multinomial_sql(turns: int, ridge: float = 0.01, classes: int = 10) -> str:
+    names = {
+        "x": "SELECT vec_id AS i, generate_subscripts(embedding, 1) - 1 AS j, unnest(embedding)::DOUBLE AS v FROM embeddings",
+        "w0": f"SELECT c.range AS c, j.range AS j, 0::DOUBLE AS w, 0::DOUBLE AS ahead FROM range({classes}) c, range(64) j",
+    }
+    momentum = 1.0
+    for k in range(turns):
+        after = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
+        names |= {
+            f"z{k}": f"SELECT x.i, w.c, sum(x.v * w.ahead) AS z FROM x JOIN w{k} w USING (j) GROUP BY ALL",
+            f"p{k}": f"SELECT i, c, exp(z - max(z) OVER r) AS p FROM z{k} WINDOW r AS (PARTITION BY i)",
+            f"d{k}": f"SELECT i, c, p / sum(p) OVER (PARTITION BY i) - CASE WHEN c = label THEN 1 ELSE 0 END AS d FROM p{k} JOIN embeddings ON vec_id = i",
+            f"g{k}": f"SELECT d.c, x.j, sum(d.d * x.v) / (SELECT count(*) FROM embeddings) AS g FROM d{k} d JOIN x USING (i) GROUP BY ALL",
+            f"n{k}": f"SELECT c, j, w.w, ahead - (g + {ridge!r}::DOUBLE * ahead) AS new FROM w{k} w JOIN g{k} USING (c, j)",
+            f"w{k + 1}": f"SELECT c, j, new AS w, new + {(momentum - 1) / after!r}::DOUBLE * (new - w) AS ahead FROM n{k}",
+        }
+        momentum = after
+    return _recursive(f"SELECT c * 64 + j AS k, round(w, 5) AS v FROM w{turns}", **names)
+
+
+@_query(_multinomial_sql(8))
 def multinomial_logistic(spark, sf_dir):
     df = tables.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("double").alias("y"))
     return _vector(spark, algorithms.multinomial(df, 10, ridge=0.01, turns=8)).withColumn("v", F.round("v", 5))
@@ -757,9 +956,47 @@ def select_rows(spark, sf_dir):
     return e.join(e.groupBy("i").agg(F.sum("v").alias("s")).where("s > 0").select("i"), "i", "left_semi")
 
 
-@_query("SELECT count(*) AS n, round(avg(v), 1) AS mean FROM (SELECT 0.5 AS v FROM range(20000))")
+def _drawn(seed: int, *places: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(places)})), 1, 13))::BIGINT::DOUBLE / {16**13})"
+
+
+_RANGES = "(SELECT r.range AS i, c.range AS j FROM range({rows}) r, range({cols}) c)"
+
+
+@_query(f"SELECT i, j, {_drawn(5, 'i', 'j')} AS v FROM {_RANGES.format(rows=2000, cols=10)}")
 def random_matrix(spark, sf_dir):
-    return Matrix.random(spark, 2000, 10, seed=5).cells().agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 1).alias("mean"))
+    return Matrix.random(spark, 2000, 10, seed=5).cells()
+
+
+@_query(f"SELECT i, j, round(sqrt(-2 * ln(1 - {_drawn(7, 'i', 'j')})) * cos(2 * pi() * {_drawn(9, 'i', 'j')}), 9) AS v FROM {_RANGES.format(rows=900, cols=40)} WHERE {_drawn(8, 'i', 'j')} < 0.05::DOUBLE")
+def random_sparse(spark, sf_dir):
+    """Normal values in a share of the cells."""
+    return Matrix.random(spark, 900, 40, seed=7, density=0.05, normal=True).cells().withColumn("v", F.round("v", 9))
+
+
+@_query(
+    f"""SELECT i, j, round(sum(v), 9) AS v FROM (
+        SELECT floor({_drawn(3, 'range')} * 50)::BIGINT AS i, floor({_drawn(4, 'range')} * 30)::BIGINT AS j, {_drawn(5, 'range')} AS v FROM range(4000) UNION ALL VALUES (0, 0, 1.0), (49, 29, 1.0)) GROUP BY ALL"""
+)
+def random_triples(spark, sf_dir):
+    """The generator of sparse matrices: values at drawn places, those that meet added up."""
+    return Matrix.random_triples(spark, 50, 30, 4000, 3).cells().withColumn("v", F.round("v", 9))
+
+
+@_query(f"SELECT i, j, 2.5::DOUBLE AS v FROM {_RANGES.format(rows=500, cols=30)} WHERE {_drawn(2, 'i', 'j')} < 0.1::DOUBLE")
+def full_sparse(spark, sf_dir):
+    return Matrix.full(spark, 500, 30, 2.5, density=0.1, seed=2).cells()
+
+
+@_query(f"SELECT i, j, round(sqrt(i + 0.5 * j), 9) AS v FROM {_RANGES.format(rows=100, cols=30)}")
+def build(spark, sf_dir):
+    """A matrix by formula."""
+    return Matrix.build(spark, 100, 30, lambda i, j: F.round(F.sqrt(i + 0.5 * j), 9)).cells()
+
+
+@_query(_sql(f"SELECT i, j, v FROM e WHERE {_drawn(11, 'i')} < 0.25::DOUBLE", e=E))
+def sample_rows(spark, sf_dir):
+    return Tables(spark, sf_dir).e().sample(0.25, 11)
 
 
 @_query(_sql(f"SELECT i, j, {_DIV.format(a='(v - 2)', b='v')} AS v FROM e", e=E))

@@ -78,6 +78,9 @@ def _lower(x: Matrix, of) -> DataFrame:
             return elementwise.with_constant(of(x.operands[0]), x.operands[0].meta, p["op"], p["constant"], p["side"], meta)
         case "map":
             return of(x.operands[0]).select("i", "j", p["f"](F.col("v").cast("double")).cast(SQL_TYPES[meta.dtype]).alias("v"))
+        case "cast":
+            cells = of(x.operands[0]).select("i", "j", F.col("v").cast(SQL_TYPES[meta.dtype]).alias("v"))
+            return cells if meta.fmt == DENSE else cells.where("v <> 0")
         case "map_numpy":
             return elementwise.map_numpy(of(x.operands[0]), p["f"])
         case "transpose":

@@ -149,6 +149,10 @@ class Matrix:
         """As ``map``, for what Spark's expressions can't say: ``f`` of NumPy arrays, in Arrow batches; NaN stays NaN."""
         return Matrix("map_numpy", self.meta.but(fmt=DENSE, dtype=DOUBLE), (self.densify(),), {"f": f})
 
+    def cast(self, dtype: str) -> Matrix:
+        """Another value type; to int, cut towards zero."""
+        return Matrix("cast", self.meta.but(dtype=dtype), (self,))
+
     def exp(self) -> Matrix:
         return self.map(F.exp)
 
