@@ -121,7 +121,7 @@ def _product(x: dict, y: dict, turn_x: bool, turn_y: bool) -> np.ndarray:
             entry = np.repeat(np.arange(len(xs)), sizes)
             at = np.arange(met) - np.repeat(np.cumsum(sizes) - sizes, sizes) + y_starts[x_cols][entry]
             place = np.repeat(np.arange(n), np.diff(x_starts))[entry] * m + y_cols[at]
-            return np.bincount(place, weights=xs[entry] * ys[at], minlength=n * m).reshape(n, m)
+            return np.bincount(place, weights=xs[entry] * ys[at], minlength=n * m).astype(float).reshape(n, m)  # whole numbers, if nothing met
     a, b = dense(x), dense(y)
     return (a.T if turn_x else a) @ (b.T if turn_y else b)
 

@@ -40,20 +40,10 @@ def made(spark, data):
     return make(spark, a), make(spark, b, SPARSE), make(spark, c)
 
 
-#: A square matrix of blocks on and off the diagonal; its products are known.
-FIXTURE = np.array(
-    [
-        [100, 0, 101, 102, 0, 200, 0, 0],
-        [0, 103, 0, 0, 201, 0, 202, 203],
-        [0, 0, 104, 105, 204, 205, 0, 0],
-        [0, 0, 0, 106, 206, 207, 0, 0],
-        [300, 0, 0, 0, 0, 0, 0, 400],
-        [0, 301, 0, 0, 0, 0, 401, 0],
-        [0, 0, 302, 0, 0, 402, 0, 0],
-        [0, 0, 0, 303, 403, 0, 0, 0],
-    ],
-    float,
-)
+def square():
+    """A square matrix of several tiles with rows, columns and blocks that are mostly empty."""
+    rng = np.random.default_rng(8)
+    return np.where(rng.random((8, 8)) < 0.45, rng.integers(1, 400, (8, 8)), 0).astype(float)
 
 
 def test_types_and_formats():
@@ -154,15 +144,15 @@ def test_n_dimensions(spark):
 
 
 @pytest.mark.parametrize("form", [DENSE, SPARSE])
-def test_products_of_the_fixture(spark, form):
-    m, a = make(spark, FIXTURE, form), FIXTURE
+def test_products_of_a_square(spark, form):
+    a = square()
+    m = make(spark, a, form)
     same(m @ m, a @ a)
     same(m.T @ m, a.T @ a)
     same(m @ m.T, a @ a.T)
     same(m.T @ m.T, a.T @ a.T)
     same(m @ m + m, a @ a + a)
     same(m.T @ m + m.T, a.T @ a + a.T)
-    assert (m @ m).to_numpy()[0].tolist() == [10000, 60200, 20604, 31617, 41616, 61819, 80200, 0]
 
 
 def test_products(spark, data, made):
@@ -273,6 +263,130 @@ def test_files(spark, tmp_path, data, made):
     assert files.delete(spark, f"{path}/y") and not files.exists(spark, f"{path}/y")
 
 
+def test_text_of_several_files(spark, tmp_path):
+    """Lines are numbered by the files' names, not by the order in which Spark reads them: it packs large files first."""
+    a = np.arange(40.0).reshape(10, 4)
+    for n, (start, end) in enumerate(((0, 2), (2, 5), (5, 9), (9, 10))):
+        (tmp_path / f"part-{n}.csv").write_text("\n".join(",".join(map(str, r)) for r in a[start:end]) + "\n\n")
+    same(files.read_dense_csv(spark, f"file://{tmp_path}", 10, 4), a)
+    folder = tmp_path / "market"
+    folder.mkdir()
+    (folder / "part-0").write_text("%%MatrixMarket matrix array real general\n% note\n3 2\n1\n")
+    (folder / "part-1").write_text("2\n3\n4\n5\n")
+    (folder / "part-2").write_text("6\n")
+    same(files.read_matrix_market(spark, f"file://{folder}"), [[1, 4], [2, 5], [3, 6]])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16b")
+    try:
+        same(files.read_dense_csv(spark, f"file://{tmp_path}/part-2.csv", 4, 4), a[5:9])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_written_text(spark, tmp_path, data, made):
+    (a, b, _), (x, y, _), path = data, made, f"file://{tmp_path}"
+    files.write_dense_csv(x, f"{path}/dense")
+    same(files.read_dense_csv(spark, f"{path}/dense", 7, 5), a)
+    for n, (m, want) in enumerate(((x, a), (y, b))):
+        files.write_described(m, f"{path}/described-{n}")
+        got = files.read_described(spark, f"{path}/described-{n}")
+        assert got.meta.fmt == m.meta.fmt
+        same(got, want)
+    files.write_matrix_market(y, f"{path}/mm")
+    first = sorted(p for p in (tmp_path / "mm").iterdir() if p.name.startswith("part-"))[0].read_text().splitlines()
+    assert first[:2] == ["%%MatrixMarket matrix coordinate real general", f"7 5 {(b != 0).sum()}"]
+    with pytest.raises(ValueError):
+        files.write(files.write(y, f"{path}/own"), f"{path}/own")
+    same(files.write(x, f"{path}/own", overwrite=True), a)
+
+
+def test_npy(spark, tmp_path, monkeypatch):
+    a = np.random.default_rng(2).normal(size=(50, 3))
+    np.save(tmp_path / "a.npy", a)
+    np.save(tmp_path / "b.npy", a.astype(np.float32))
+    monkeypatch.setattr(files, "NPY_BYTES", 200)
+    same(files.read_npy(spark, f"file://{tmp_path}/a.npy"), a)
+    same(files.read_npy(spark, f"{tmp_path}/b.npy"), a.astype(np.float32))
+    np.save(tmp_path / "c.npy", np.zeros(3))
+    with pytest.raises(ValueError):
+        files.read_npy(spark, f"{tmp_path}/c.npy")
+
+
+def test_shared_folder(spark, monkeypatch):
+    """The session's setting comes first, then the folder it has set; a cluster without either is refused."""
+    from types import SimpleNamespace
+
+    from tessera.sources import shared
+
+    assert shared.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    set_ = []
+    session = lambda master, conf, own: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: conf), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: own, setCheckpointDir=set_.append))
+    assert shared.shared_folder(session("spark://x", None, "hdfs://own/")) == "hdfs://own" and not set_
+    with pytest.raises(ValueError):
+        shared.shared_folder(session("spark://x", None, None))
+    assert shared.shared_folder(session("local[2]", None, None)) == shared.LOCAL_FOLDER == set_[0]
+    kept = shared.table(spark.range(3), "three")
+    assert kept.count() == 3
+    shared.forget(kept)
+    assert not files.exists(spark, kept._shared_path)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_encodings_of_products(spark, data, made, monkeypatch):
+    """Tall matrices held as rows need no join with themselves; large dense ones go through tiles; all agree."""
+    from tessera.operators import matmul
+
+    a, x = data[0], rowvec.to_matrix(rowvec.from_matrix(make(spark, data[0])), 7, 5)
+    gram = (x.T @ x).cells()
+    assert "Join" not in plan(gram) and "MapInArrow" in plan(gram)
+    same(x.T @ x, a.T @ a)
+    scaled = (x * 2.0 - 1.0).map(lambda v: v * v)
+    assert "Join" not in plan((scaled.T @ scaled).cells())
+    same(scaled.T @ scaled, ((2 * a - 1) ** 2).T @ (2 * a - 1) ** 2)
+    same((x * 2.0).T @ x, 2 * a.T @ a)
+    same(x.subarray((1, 6), (1, 3)).T @ x.subarray((1, 6), (0, 4)), a[1:, 1:4].T @ a[1:])
+    same(x, a)
+    monkeypatch.setattr(matmul, "BROADCAST_CELLS", 10)
+    big, c = make(spark, a), make(spark, data[2])
+    assert "PythonUDF" in plan((big @ c).cells()) or "MapInArrow" in plan((big @ c).cells())
+    same(big @ c, a @ data[2])
+    same(big.T @ big, a.T @ a)
+    with pytest.raises(Exception, match="wider"):
+        rowvec.sums(spark.range(1), lambda b: {"s": np.zeros((1, rowvec.MOST_COLUMNS + 1))})
+
+
+def test_products_of_sparse_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    a, b = (np.where(rng.random((30, 24)) < 0.08, rng.integers(1, 9, (30, 24)), 0).astype(float) for _ in range(2))
+    monkeypatch.setattr(tiles, "ENTRY_COST", 1)
+    x, y = (tiles.pack(make(spark, m, SPARSE), (10, 8)) for m in (a, b))
+    same(tiles.unpack(tiles.multiply(x, y, transpose_a=True), 24, 24, (8, 8)), a.T @ b)
+    same(tiles.unpack(tiles.multiply(x, y, transpose_b=True), 30, 30, (10, 10)), a @ b.T)
+
+
+def shuffled(spark, run):
+    """Rows that a run writes to shuffles."""
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def count():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = count()
+    run()
+    return count() - before
+
+
+def test_nmf_shuffles_its_rows_once(spark):
+    x = spark.range(300).select(F.col("id").alias("i"), F.array(*(((F.col("id") * 7 + k) % 10 + 1.0) for k in range(6))).alias("vec"))
+    w = x.select("i", F.slice("vec", 1, 2).alias("vec"))
+    h = np.arange(12.0).reshape(2, 6) + 1
+    counts = {n: shuffled(spark, lambda n=n: algorithms.nmf(x, w, h, n)) for n in (1, 3, 9)}
+    assert counts[9] - counts[3] < 300 and counts[3] - counts[1] < 300
+
+
 @pytest.fixture(scope="module")
 def xy(spark, data):
     x = rowvec.from_matrix(make(spark, data[0]))
@@ -290,6 +404,13 @@ def test_closed_forms(xy):
     wide = np.hstack([a, np.ones((7, 1))])
     np.testing.assert_allclose(got["w"], np.linalg.lstsq(wide, y, rcond=None)[0], atol=1e-6)
     np.testing.assert_allclose(decompose.inv(a.T @ a), bread)
+    scaled = algorithms.conjugate_gradient(x, intercept=True, scale=True)
+    np.testing.assert_allclose(scaled["w"], got["w"], atol=1e-6)
+    e = y - wide @ got["w"]
+    assert got["r2"] == pytest.approx(1 - e @ e / ((y - y.mean()) ** 2).sum()) and got["dispersion"] == pytest.approx(e @ e) and got["r2_vs_0"] == pytest.approx(1 - e @ e / (y @ y))
+    assert got["adjusted_r2"] == pytest.approx(1 - (e @ e) / (((y - y.mean()) ** 2).sum() / 6))
+    with pytest.raises(ValueError):
+        algorithms.conjugate_gradient(x, scale=True)
     with pytest.raises(ValueError):
         decompose.inv(a)
 
@@ -350,6 +471,12 @@ def test_multinomial_and_library(spark):
     df = spark.createDataFrame(rows, "i long, vec array<double>, y double")
     w = algorithms.multinomial(df, 3, turns=20, rate=0.3)
     assert all((w @ np.array(v)).argmax() == y for _, v, y in rows)
+    smooth = algorithms.multinomial_newton(df, 3, ridge=0.05)
+    r, y = np.array([v for _, v, _ in rows]), np.array([int(t) for *_, t in rows])
+    p = np.exp(r @ smooth.T)
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(90), y] -= 1
+    assert abs(p.T @ r / 90 + 0.05 * smooth).max() < 1e-6  # nothing is left to descend
     models = algorithms.library_models(df.where("y < 2"), k=2)
     assert models["logistic"].numClasses == 2 and models["pca"].pc.numCols == 2 and len(models["linear"].coefficients) == 3
 
