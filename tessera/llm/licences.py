@@ -64,7 +64,32 @@ SENTENCES = {
     "cc0": "This work is marked with CC0 1.0 Universal.",
     "cc0-named": "Licensed under CC0 1.0.",
     "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-obtain": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "bsd-as-is": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "bsd-no-liability": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "isc-as-is": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-no-liability": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl-see": "See the GNU Lesser General Public License for more details.",
+    "agpl-see": "See the GNU Affero General Public License for more details.",
+    "gpl-copy": "You should have received a copy of the GNU General Public License along with this program.",
+    "lgpl-copy": "You should have received a copy of the GNU Lesser General Public License along with this library.",
+    "agpl-copy": "You should have received a copy of the GNU Affero General Public License along with this program.",
+    "unlicense-grant": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "ofl": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "cc0-waived": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
+#: Names by which short notices call a licence.
+_NAMES = {
+    "MIT": ("MIT license", "MIT License (MIT)"), "Apache-2.0": ("Apache License 2.0", "Apache 2.0 license", "Apache-2.0 license"), "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License", "3-clause BSD license"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License", "2-clause BSD license"), "ISC": ("ISC License",), "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, version 2.0"),
+    "GPL-2.0-only": ("GNU General Public License v2.0", "GNU General Public License, version 2", "GPLv2"), "GPL-3.0-only": ("GNU General Public License v3.0", "GNU General Public License, version 3", "GPLv3"),
+    "LGPL-2.1-only": ("GNU Lesser General Public License v2.1", "LGPLv2.1"), "LGPL-3.0-only": ("GNU Lesser General Public License v3.0", "LGPLv3"), "AGPL-3.0-only": ("GNU Affero General Public License v3.0", "AGPLv3"),
+    "EPL-2.0": ("Eclipse Public License 2.0",), "BSL-1.0": ("Boost Software License 1.0",), "Zlib": ("zlib License",), "Unlicense": ("Unlicense",), "OFL-1.1": ("SIL Open Font License 1.1",),
+}
+_NOTICES = ("Licensed under the {}.", "Released under the {}.", "Distributed under the {}.", "This project is licensed under the {}.", "This software is licensed under the {}.", "This work is licensed under the {}.")
 
 #: Creative Commons licences by the name of their clauses; version 4.0 is International, 3.0 is Unported.
 _COMMONS = {
@@ -74,7 +99,7 @@ _COMMONS = {
 #: Licences whose SPDX tag is a sentence.
 _TAGS = (
     "MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
-    "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "EPL-1.0", "EPL-2.0", "BSL-1.0", "CC0-1.0", "Unlicense",
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "EPL-1.0", "EPL-2.0", "BSL-1.0", "CC0-1.0", "Unlicense", "Zlib", "OFL-1.1",
     *(f"CC-{clauses}-{version}" for version in ("3.0", "4.0") for clauses in _COMMONS),
 )
 
@@ -84,6 +109,16 @@ for _clauses, _name in _COMMONS.items():
         for _form, _text in (("work", f"This work is licensed under a Creative Commons {_name} {_version} {_kind} License."), ("short", f"Licensed under CC {_clauses} {_version}.")):
             if _text not in _known:
                 SENTENCES[f"cc-{_clauses}-{_version}-{_form}".lower()] = _text
+_taken = {" ".join(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", text.lower())) for text in SENTENCES.values()}
+_NAMED: dict[str, str] = {}
+for _licence, _titles in _NAMES.items():
+    for _n, _title in enumerate(_titles):
+        for _m, _notice in enumerate(_NOTICES):
+            _words = " ".join(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", (_text := _notice.format(_title)).lower()))
+            if _words not in _taken:
+                _taken.add(_words)
+                SENTENCES[_key := f"named-{_licence}-{_n}-{_m}".lower()] = _text
+                _NAMED[_key] = _licence
 SENTENCES |= {f"spdx-{tag}".lower(): f"SPDX-License-Identifier: {tag}" for tag in _TAGS}
 
 #: In order: licence, and the identifiers that make it.
@@ -95,24 +130,38 @@ RULES = (
     ("Apache-2.0", ("apache-header", "apache-compliance", "apache-obtain", "apache-as-is", "apache-see")),
     ("Apache-2.0", ("apache-header", "apache-compliance")),
     ("Apache-2.0", ("apache-named",)),
+    ("GPL-3.0-or-later", ("gpl3-free", "gpl-hope", "gpl-see", "gpl-copy")),
     ("GPL-3.0-or-later", ("gpl3-free", "gpl-hope", "gpl-see")),
     ("GPL-3.0-or-later", ("gpl3-free",)),
+    ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope", "gpl-see", "gpl-copy")),
     ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope", "gpl-see")),
     ("GPL-2.0-or-later", ("gpl2-free",)),
     ("GPL-3.0-only", ("gpl3-work",)),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is", "bsd-no-liability")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-no-liability")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("ISC", ("isc-grant", "isc-as-is")),
     ("ISC", ("isc-grant",)),
+    ("Zlib", ("zlib-as-is", "zlib-no-liability", "zlib-grant")),
     ("CC-BY-4.0", ("cc-by",)),
     ("CC-BY-4.0", ("cc-by-short",)),
     ("CC-BY-SA-4.0", ("cc-by-sa",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-short",)),
     ("CC-BY-NC-4.0", ("cc-by-nc",)),
+    ("MPL-2.0", ("mpl", "mpl-obtain")),
     ("MPL-2.0", ("mpl",)),
+    ("LGPL-2.1-or-later", ("lgpl21-free", "lgpl-hope", "lgpl-see", "lgpl-copy")),
+    ("LGPL-2.1-or-later", ("lgpl21-free", "lgpl-hope", "lgpl-see")),
     ("LGPL-2.1-or-later", ("lgpl21-free",)),
     ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("AGPL-3.0-or-later", ("agpl3-free", "gpl-hope", "agpl-see", "agpl-copy")),
+    ("AGPL-3.0-or-later", ("agpl3-free", "gpl-hope", "agpl-see")),
     ("AGPL-3.0-or-later", ("agpl3-free",)),
+    ("Unlicense", ("unlicense", "unlicense-grant")),
     ("Unlicense", ("unlicense",)),
+    ("OFL-1.1", ("ofl",)),
+    ("CC0-1.0", ("cc0-waived",)),
     ("BSL-1.0", ("bsl-grant",)),
     ("BSL-1.0", ("bsl-named",)),
     ("EPL-1.0", ("epl1",)),
@@ -120,6 +169,7 @@ RULES = (
     ("CC0-1.0", ("cc0",)),
     ("CC0-1.0", ("cc0-named",)),
     *((f"CC-{c}-{v}", (key,)) for c in _COMMONS for v in ("3.0", "4.0") for form in ("work", "short") if (key := f"cc-{c}-{v}-{form}".lower()) in SENTENCES),
+    *((licence, (key,)) for key, licence in _NAMED.items()),
     *((tag, (f"spdx-{tag}".lower(),)) for tag in _TAGS),
     ("LicenseRef-All-Rights-Reserved", ("reserved",)),
 )
