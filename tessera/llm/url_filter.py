@@ -1,7 +1,7 @@
 """URL rules by hashed expressions.
 
-Each URL is expanded into host suffixes (one for each number of labels that any rule host has) times path prefixes (one
-for each length that any rule path has). An expression's digest is cut to a short prefix, equi-joined with the rules'
+Each URL is expanded into host suffixes (one for each number of labels that any rule host has), which meet the rules'
+hosts, and these times path prefixes (one for each length that a rule path of that host has). An expression's digest is cut to a short prefix, equi-joined with the rules'
 prefixes, and only then confirmed on the full digest; of the confirmed rules the longest decides. Work is done once for
 each distinct (host, start of the path), so a host that holds a third of all rows costs what it has of distinct starts.
 Rules are a DataFrame of any size: Spark broadcasts it only where its size is known to be small.
@@ -33,38 +33,36 @@ def _digest(expression: Column) -> Column:
     return F.sha2(expression, 256)
 
 
-def _expressions(host: Column, start: Column, labels: list[int], lengths: list[int]) -> Column:
-    def whole(kinds: list[int]) -> Column:
-        return F.array(*map(F.lit, kinds)).cast("array<int>")
-
-    suffixes = F.filter(whole(labels), lambda n: n <= F.size(F.split(host, r"\.")))
-    prefixes = F.filter(whole(lengths), lambda n: n <= F.length(start))
-    return F.flatten(
-        F.transform(
-            suffixes,
-            lambda n: F.transform(prefixes, lambda m: F.concat(F.call_function("substring_index", host, F.lit("."), -n), F.call_function("substring", start, F.lit(1), m))),
-        )
-    )
+def _suffixes(host: Column, labels: list[int]) -> Column:
+    """The last so many labels of a host, for each number of labels that it has."""
+    fitting = F.filter(F.array(*map(F.lit, labels)).cast("array<int>"), lambda n: n <= F.size(F.split(host, r"\.")))
+    return F.transform(fitting, lambda n: F.call_function("substring_index", host, F.lit("."), -n))
 
 
 def judge(pages: DataFrame, rules: DataFrame, *, default: str = "allow", prefix_chars: int = 8) -> DataFrame:
     """page_id, host, path, rule, verdict. ``rules``: host, path, verdict (allow or block). ``prefix_chars``: hex digits of the short hash."""
     rules = rules.select("host", "path", "verdict").dropna().groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    shape = rules.select(F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("length")).distinct().collect()
-    labels, lengths = sorted({r["labels"] for r in shape}), sorted({r["length"] for r in shape})
+    shape = rules.agg(F.collect_set(F.size(F.split("host", r"\."))).alias("labels"), F.max(F.length("path")).alias("longest")).first()
+    labels, longest = sorted(shape["labels"]), shape["longest"] or 0
 
     host, path = host_and_path(pages["url"])
     judged = pages.select(pages["page_id"].alias("page_id"), host.alias("host"), path.alias("path"))
-    judged = judged.withColumn("start", F.substring("path", 1, max(lengths, default=0)))
+    judged = judged.withColumn("start", F.substring("path", 1, longest))
 
     full = _digest(F.concat("host", "path"))
     stored = rules.select(
         F.substring(full, 1, prefix_chars).alias("short"), full.alias("digest"), F.concat("host", "path").alias("rule"), "verdict",
         F.struct(F.length("host") + F.length("path"), F.length("host")).alias("rank"),
     )
-    starts = judged.select("host", "start").distinct()
-    asked = starts.select("host", "start", F.explode(_expressions(F.col("host"), F.col("start"), labels, lengths)).alias("expression")).select(
-        "host", "start", _digest(F.col("expression")).alias("asked")
+    # of each host, the suffixes that rules have, and only the lengths of those rules' paths
+    by_host = rules.groupBy(F.col("host").alias("rule_host")).agg(F.collect_set(F.length("path")).alias("lengths")).withColumn("host_digest", _digest(F.col("rule_host")))
+    by_host = by_host.select("lengths", "host_digest", F.substring("host_digest", 1, prefix_chars).alias("host_short"))
+    suffixes = judged.select("host").distinct().select("host", F.explode(_suffixes(F.col("host"), labels)).alias("suffix")).withColumn("suffix_digest", _digest(F.col("suffix")))
+    known = suffixes.withColumn("host_short", F.substring("suffix_digest", 1, prefix_chars)).join(by_host, "host_short").where("suffix_digest = host_digest")
+    starts = judged.select("host", "start").distinct().join(known.select("host", "suffix", "lengths"), "host")
+    prefixes = F.filter("lengths", lambda n: n <= F.length("start"))
+    asked = starts.select("host", "start", "suffix", F.explode(prefixes).alias("length")).select(
+        "host", "start", _digest(F.concat("suffix", F.call_function("substring", F.col("start"), F.lit(1), F.col("length")))).alias("asked")
     )
     fits = asked.withColumn("short", F.substring("asked", 1, prefix_chars)).join(stored, "short").where("asked = digest")
     # as a table of its own, so that both sides of the last join are dealt anew and a frequent start can be split
