@@ -30,12 +30,14 @@ def label(edges: DataFrame) -> DataFrame:
         steps.append(chosen)
         first = edges.join(chosen.withColumnRenamed("node", "a"), "a").select(F.col("next").alias("a"), "b")
         both = first.join(chosen.withColumnRenamed("node", "b"), "b").select("a", F.col("next").alias("b"))
-        edges = shared.table(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"edges-{turn}")
+        before, edges = edges, shared.table(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"edges-{turn}")
+        shared.forget(before)
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     # from the last round back: where a round's choices lead in the end
     ends_at = steps[-1].withColumnRenamed("next", "root")
     for chosen in reversed(steps[:-1]):
         later = ends_at.withColumnRenamed("node", "next")
-        ends_at = shared.table(chosen.join(later, "next", "left").select("node", F.coalesce("root", "next").alias("root")), "roots")
+        before, ends_at = ends_at, shared.table(chosen.join(later, "next", "left").select("node", F.coalesce("root", "next").alias("root")), "roots")
+        shared.forget(chosen, before)
     return ends_at

@@ -5,26 +5,27 @@ its shingles' hashes have it. Two fingerprints link at ``distance`` or fewer dif
 segments; of a pair that links, one segment differs in 2 bits at most (5 bits over 2 segments, 11 over 4), so it is
 enough to look up each segment's Hamming ball: the ball of radius 2 is met from both sides, each fingerprint being filed
 in, and looked up in, the ball of radius 1 around its segment. All that a table cell holds is verified on the complete
-distance. A rule may have a second, wider fingerprint of longer shingles, which must then be near as well.
+distance.
 
 ``NEAR`` is the rule for a Jaccard similarity of 0.8 of the sets of five-word shingles. Such pairs lie too far apart in
 a fingerprint of 64 bits for any index of it, so bands of minima of the hashed shingles propose them: a pair at
 similarity s shares one of 30 bands of 5 with probability 1 - (1 - s^5)^30, wherever its differences stand; at 0.8 that
 misses 7 in a million. Nothing links but on the similarity of its real sets. Of each band's members, the first by hash
-is compared with all others; then all those are compared that share a band and are not yet connected. No
-comparison that could connect anything is left out; a family whose members are mostly below the similarity costs one for
-each pair.
+is compared with all others; then, in bands that this hasn't connected, those that belong to different components are
+compared, each with each. Both are worked off in cells of bounded size, as above: a large band is dealt into squares, a
+cell counts shared shingles by postings, and hands on only links that connect what wasn't connected. No pair of sets
+leaves a cell, and no comparison that could connect anything is left out.
 
 Only distinct fingerprints go into the tables, so copies cost one row. A cell is worked off as a stream, by one task and
 without emitting pairs: a search takes one fingerprint after another, finds all that it links to among those not yet
 reached, and emits for each group one link to its smallest member. A dense group of any size is reached in few steps.
 What the cells emit goes through distributed connected components; no link is lost, and nothing is capped.
 
-Defined results: a null text counts as empty; documents without words have fingerprint 0 and link like any other; fewer
-words than a shingle has are one shingle; a null doc_id is larger than every other; under a rule with a second
-fingerprint, documents of which no copy has an id link with nothing but copies; under a similarity, documents without
-words link with each other alone; rows without an id all stay where only rows are dropped, if one of them must; repeated
-rows are copies of each other; an empty table gives an empty result; further columns are neither read nor touched.
+Defined results: a null text counts as empty; documents without words have fingerprint 0 and link like any other (under
+a similarity: with each other alone); fewer words than a shingle has are one shingle; a null doc_id is larger than every
+other; of a group, the documents that stay have the smallest doc_id and, of several texts with it, the smallest
+fingerprint, so rows that repeat an id and a text stay or go together; repeated rows are copies of each other; an empty
+table gives an empty result; further columns are neither read nor touched.
 """
 
 from __future__ import annotations
@@ -34,31 +35,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import components, shared
 from .shared import tidy
 
-SEED, WIDE = 42, 4
+SEED = 42
 _CAPITALS = bytes(range(65, 91))
 _TO_SMALL = bytes.maketrans(_CAPITALS, _CAPITALS.lower())
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Shingles whose bits are counted at a time, documents of an output batch, and members of a cell that are compared at once.
 _BLOCK, _ROWS, _AT_ONCE = 255 * 64, 2000, 512
+#: Members on one side of a cell of sets.
+_SIDE = 2048
 #: Shingles of an output batch of sets.
 _SHINGLES = 1 << 20
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Shingle length, differing bits and segments; if ``check_words``, the same of the second fingerprint."""
+    """Shingle length, differing bits and segments."""
 
     words: int
     distance: int
     segments: int
-    check_words: int = 0
-    check_distance: int = 0
 
     def __post_init__(self):
         if self.segments not in (1, 2, 4) or not 0 <= self.distance < 3 * self.segments:
@@ -80,8 +81,8 @@ NEAR = Similar(5, 80, 30, 5)
 
 
 def _set_bits(hashes: np.ndarray) -> np.ndarray:
-    """How many of the rows have each bit, from the highest of the first column on."""
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(len(hashes), -1), axis=1)
+    """How many of the hashes have each bit, from the highest on."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(len(hashes), 8), axis=1)
     even = len(bits) // 255 * 255  # sums of 255 bits fit a byte
     return bits[:even].reshape(-1, 255, bits.shape[1]).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[even:].sum(0, dtype=np.uint8)
 
@@ -110,110 +111,84 @@ class Words:
         spans = zip(self.starts[:n].tolist(), self.ends[self.n - n :].tolist(), strict=True)
         return np.unique(np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, n))
 
-    def fingerprint(self, words: int, wide: int = 1) -> np.ndarray:
-        """``wide`` unsigned 64-bit numbers."""
+    def fingerprint(self, words: int) -> int:
         from xxhash import xxh64_intdigest
 
         if not self.n:
-            return np.zeros(wide, np.uint64)
+            return 0
         n, joined = max(1, self.n - words + 1), self.joined
         last = self.ends[self.n - n :]
-        counts = np.zeros(64 * wide, np.int64)
+        counts = np.zeros(64, np.int64)
         for at in range(0, n, _BLOCK):
             spans = zip(self.starts[at : min(n, at + _BLOCK)].tolist(), last[at : at + _BLOCK].tolist(), strict=True)
-            columns = [np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64)]
-            for _ in range(wide - 1):
-                columns.append(_stirred(columns[-1]))
-            counts += _set_bits(np.stack(columns, axis=1))
-        return np.packbits(2 * counts > n).view(">u8").astype(np.uint64)
+            counts += _set_bits(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64))
+        return int.from_bytes(np.packbits(2 * counts > n).tobytes())
 
 
 def fingerprint(text: str, words: int = LINKS.words) -> int:
-    return int(Words(text).fingerprint(words)[0])
+    return Words(text).fingerprint(words)
+
+
+def _read(docs: DataFrame) -> DataFrame:
+    """The id, the text, and a hash of the text that tells rows with one id apart."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), text_key(docs["text"]).alias("text_key"))
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def signatures(docs: DataFrame, rule: Rule = LINKS) -> DataFrame:
-    """doc_id, fp (as a signed long) and, if the rule has one, check (the second fingerprint, as signed longs)."""
+    """doc_id, text_key, fp (as a signed long)."""
 
     @tidy
     def convert(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(at, _ROWS)
-                columns, prints, checks = [part.column(0)], [], []
-                for text in part.column(1):
-                    w = Words(text.as_py() or "")
-                    prints.append(w.fingerprint(rule.words))
-                    if rule.check_words:
-                        checks.append(w.fingerprint(rule.check_words, WIDE))
-                columns.append(pa.array(np.concatenate(prints).view(np.int64)))
-                if rule.check_words:
-                    offsets = np.arange(0, WIDE * part.num_rows + 1, WIDE, dtype=np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(checks).view(np.int64))))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "check"][: len(columns)])
-
-    kind = "doc_id long, fp long" + ", check array<long>" * bool(rule.check_words)
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(convert, kind)
-
-
-@dataclass
-class Members:
-    """Rows of cells: the node that is linked, its fingerprint, and its second one, if any, as rows of numbers."""
-
-    nodes: np.ndarray
-    prints: np.ndarray
-    checks: np.ndarray | None
-
-    def take(self, which) -> Members:
-        return Members(self.nodes[which], self.prints[which], None if self.checks is None else self.checks[which])
-
-    def close(self, a, b, rule: Rule) -> np.ndarray:
-        """Whether the members at the places a and b link; b may be many."""
-        near = np.bitwise_count(self.prints[a] ^ self.prints[b]) <= rule.distance
-        if self.checks is not None and (at := np.flatnonzero(near)).size:
-            one = self.checks[a] if np.ndim(a) == 0 else self.checks[a[at]]
-            near[at] = np.bitwise_count(one ^ self.checks[b[at]]).sum(-1) <= rule.check_distance
-        return near
-
-    def roots(self, rule: Rule) -> np.ndarray:
-        """For each member, the place of the first one that it is connected with."""
-        n = len(self.nodes)
-        if n <= _AT_ONCE:
-            near = np.bitwise_count(self.prints[:, None] ^ self.prints) <= rule.distance
-            if np.count_nonzero(near) == n:
-                return np.arange(n)
-        root, waiting = np.empty(n, np.int64), np.arange(n)
-        while len(waiting):
-            first, waiting = waiting[0], waiting[1:]
-            root[first], frontier = first, [first]
-            while frontier and len(waiting):
-                near = self.close(frontier.pop(), waiting, rule)
-                if near.any():
-                    root[waiting[near]] = first
-                    frontier += waiting[near].tolist()
-                    waiting = waiting[~near]
-        return root
-
-
-def _cell_links(cells: np.ndarray, members: Members, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside each run of equal cells, by node."""
+            prints = [Words(text.as_py() or "").fingerprint(rule.words) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(prints, np.uint64).view(np.int64))], ["doc_id", "text_key", "fp"])
+
+    return _read(docs).mapInArrow(convert, "doc_id long, text_key long, fp long")
+
+
+def _roots(prints: np.ndarray, rule: Rule) -> np.ndarray:
+    """For each of the fingerprints, the place of the first one that it is connected with."""
+    n = len(prints)
+    if n <= _AT_ONCE:
+        near = np.bitwise_count(prints[:, None] ^ prints) <= rule.distance
+        if np.count_nonzero(near) == n:
+            return np.arange(n)
+    root, waiting = np.empty(n, np.int64), np.arange(n)
+    while len(waiting):
+        first, waiting = waiting[0], waiting[1:]
+        root[first], frontier = first, [first]
+        while frontier and len(waiting):
+            near = np.bitwise_count(prints[frontier.pop()] ^ prints[waiting]) <= rule.distance
+            if near.any():
+                root[waiting[near]] = first
+                frontier += waiting[near].tolist()
+                waiting = waiting[~near]
+    return root
+
+
+def _cell_links(cells: np.ndarray, prints: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside each run of equal cells."""
     starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
     sizes = np.diff(np.append(starts, len(cells)))
     two = starts[sizes == 2]
-    two = two[members.close(two, two + 1, rule)]
-    left, right = [members.nodes[two]], [members.nodes[two + 1]]
+    two = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= rule.distance]
+    left, right = [prints[two]], [prints[two + 1]]
     for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-        run = members.take(slice(start, start + size))
-        root = run.roots(rule)
+        run = prints[start : start + size]
+        root = _roots(run, rule)
         other = np.flatnonzero(root != np.arange(size))
         if len(other):
-            left.append(run.nodes[root[other]])
-            right.append(run.nodes[other])
+            left.append(run[root[other]])
+            right.append(run[other])
     return np.concatenate(left), np.concatenate(right)
 
 
 def links(distinct: DataFrame, rule: Rule = LINKS) -> DataFrame:
-    """a, b: links by node that connect exactly what the rule's links among the distinct (node, fp, check) connect."""
+    """a, b: links by fingerprint that connect exactly what the rule's links among the distinct fingerprints (fp) connect."""
     width = 64 // rule.segments
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(width)))
     tables = []
@@ -223,19 +198,11 @@ def links(distinct: DataFrame, rule: Rule = LINKS) -> DataFrame:
             part = part.bitwiseAND(F.lit((1 << width) - 1).cast("long"))
         number = F.lit(s << width if width < 64 else 0).cast("long")
         tables.append(_filed(flips, part, number))
-    columns = ["node", "fp"] + ["check"] * bool(rule.check_words)
-    filed = distinct.select(F.explode(F.concat(*tables)).alias("cell"), *columns).repartition("cell").sortWithinPartitions("cell")
+    filed = distinct.select(F.explode(F.concat(*tables)).alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell")
 
-    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        found = [batch.column(k).to_numpy() for k in range(3)]
-        if rule.check_words:
-            found.append(batch.column(3).flatten().to_numpy().reshape(-1, WIDE).view(np.uint64))
-        return tuple(found)
-
-    def emit(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        cells, nodes, prints, *checks = columns
-        a, b = _cell_links(cells, Members(nodes, prints.view(np.uint64), checks[0] if checks else None), rule)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def emit(cells: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+        a, b = _cell_links(cells, prints.view(np.uint64), rule)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     @tidy
     def search(batches):
@@ -243,16 +210,16 @@ def links(distinct: DataFrame, rule: Rule = LINKS) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            waiting.append(read(batch))
+            waiting.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
             if waiting[-1][0][0] == waiting[-1][0][-1]:
                 continue  # one cell may fill many batches
             rest = [np.concatenate(x) for x in zip(*waiting, strict=True)]
             cut = int(np.searchsorted(rest[0], rest[0][-1]))
             if cut:
-                yield emit(tuple(x[:cut] for x in rest))
+                yield emit(*(x[:cut] for x in rest))
             waiting = [tuple(x[cut:] for x in rest)]
         if waiting:
-            yield emit(tuple(np.concatenate(x) for x in zip(*waiting, strict=True)))
+            yield emit(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
 
     return filed.mapInArrow(search, "a long, b long")
 
@@ -262,102 +229,206 @@ def _filed(flips, part, number):
     return F.transform(flips, lambda flip: part.bitwiseXOR(flip).bitwiseOR(number))
 
 
-def _bands(shingles: np.ndarray, rule: Similar) -> list[int]:
-    """A hash of each band's minima, as signed longs; none for an empty set."""
-    from xxhash import xxh64_intdigest
-
-    if not len(shingles):
-        return []
+def _minima(shingles: np.ndarray, rule: Similar) -> np.ndarray:
+    """The least of the hashed shingles under each of the rule's functions."""
     n = rule.bands * rule.minima
     masks, factors = _stirred(np.arange(1, 2 * n + 1, dtype=np.uint64)).reshape(2, n)
     least = np.full(n, np.iinfo(np.uint64).max)
     for at in range(0, len(shingles), _AT_ONCE):
         np.minimum(least, ((shingles[at : at + _AT_ONCE, None] ^ masks) * (factors | np.uint64(1))).min(0), out=least)
+    return least
+
+
+def _bands(least: np.ndarray, rule: Similar) -> list[int]:
+    """A hash of each band's minima, as signed longs."""
+    from xxhash import xxh64_intdigest
+
     bands = [xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(rule.bands, -1))]
     return np.array(bands, np.uint64).view(np.int64).tolist()
 
 
 def shingle_sets(docs: DataFrame, rule: Similar = NEAR) -> DataFrame:
-    """doc_id, fp (a hash of the set, as a signed long), shingles (the set itself, as signed longs) and bands."""
+    """doc_id, text_key, fp (a hash of the set, as a signed long), shingles (the set itself, as signed longs) and bands."""
 
-    def batch_of(ids, sets, bands):
+    def batch_of(ids, keys, sets):
         from xxhash import xxh64_intdigest
 
         prints = np.array([xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
         offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
         values = pa.array(np.concatenate(sets).view(np.int64))
-        columns = [pa.array(ids, pa.int64()), pa.array(prints), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(bands, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "shingles", "bands"])
+        bands = pa.array([_bands(_minima(x, rule), rule) if len(x) else [] for x in sets], pa.list_(pa.int64()))
+        columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(prints), pa.ListArray.from_arrays(pa.array(offsets), values), bands]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "fp", "shingles", "bands"])
 
     @tidy
     def convert(batches):
         for batch in batches:
-            ids, sets, bands, held = [], [], [], 0
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            ids, keys, sets, held = [], [], [], 0
+            for doc_id, text, key in zip(*(batch.column(k) for k in range(3)), strict=True):
                 ids.append(doc_id.as_py())
+                keys.append(key.as_py())
                 sets.append(Words(text.as_py() or "").shingles(rule.words))
-                bands.append(_bands(sets[-1], rule))
                 held += len(sets[-1])
                 if held >= _SHINGLES or len(sets) >= _ROWS:
-                    yield batch_of(ids, sets, bands)
-                    ids, sets, bands, held = [], [], [], 0
+                    yield batch_of(ids, keys, sets)
+                    ids, keys, sets, held = [], [], [], 0
             if sets:
-                yield batch_of(ids, sets, bands)
-
-    kind = "doc_id long, fp long, shingles array<long>, bands array<long>"
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(convert, kind)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, rule: Similar) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough: with n shared shingles, n / (|A| + |B| - n) >= percent / 100."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    sets = shared.table(sets.groupBy("fp").agg(F.first("shingles").alias("shingles")).join(wanted, "fp", "left_semi"), "candidates")
-    both = pairs.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("right")), "b").join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("left")), "a")
-    alike = (100 + rule.percent) * F.size(F.array_intersect("left", "right")) >= rule.percent * (F.size("left") + F.size("right"))
-    return shared.table(both.where(alike).select("a", "b"), "similar")
-
+                yield batch_of(ids, keys, sets)
+
+    kind = "doc_id long, text_key long, fp long, shingles array<long>, bands array<long>"
+    return _read(docs).mapInArrow(convert, kind)
+
+
+class _Cell:
+    """Sets of shingles, of which those on the left are to be compared with those on the right; ``roots``: what is known
+    to be connected. A link is handed on only where it connects what wasn't."""
+
+    def __init__(self, prints: np.ndarray, roots: np.ndarray, left: np.ndarray, right: np.ndarray, sets: list[np.ndarray]):
+        self.prints, self.left, self.right, self.sets = prints, np.flatnonzero(left), np.flatnonzero(right), sets
+        _, self.group = np.unique(roots, return_inverse=True)
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+
+    def links(self, percent: int) -> tuple[list[int], list[int]]:
+        """Pairs of places."""
+        if not len(self.left) or not len(self.right):
+            return [], []
+        owner = np.repeat(self.right, self.sizes[self.right])
+        shingles = np.concatenate([self.sets[k] for k in self.right])
+        order = np.argsort(shingles, kind="stable")
+        shingles, owner = shingles[order], owner[order]
+        a, b = [], []
+        for k in self.left.tolist():
+            starts = np.searchsorted(shingles, self.sets[k], "left")
+            counts = np.searchsorted(shingles, self.sets[k], "right") - starts
+            at = np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            both = np.bincount(owner[at], minlength=len(self.sets))
+            alike = (100 + percent) * both >= percent * (self.sizes[k] + self.sizes)
+            for other in np.flatnonzero(alike & (both > 0) & (self.group != self.group[k])).tolist():
+                if self.group[other] != self.group[k]:
+                    self.group[self.group == self.group[other]] = self.group[k]
+                    a.append(k)
+                    b.append(other)
+        return a, b
+
+
+def _compared(cells: DataFrame, rule: Similar) -> DataFrame:
+    """a, b: links by fp between the left and the right rows of each cell (c, d; of bounded size), of different roots."""
+
+    def emit(cell: list[tuple]) -> pa.RecordBatch:
+        prints, roots, left, right = (np.concatenate([part[k] for part in cell]) for k in range(4))
+        a, b = _Cell(prints, roots, left, right, [x for part in cell for x in part[4]]).links(rule.percent)
+        return pa.RecordBatch.from_arrays([pa.array(prints[a], pa.int64()), pa.array(prints[b], pa.int64())], ["a", "b"])
 
-def similar_links(prints: DataFrame, rule: Similar = NEAR) -> DataFrame:
-    """a, b: links by fp that connect exactly what is similar enough among the sets that share a band."""
-
-    def fits(x, y):
-        return F.least(x, y) * 100 >= F.greatest(x, y) * rule.percent  # else even a subset isn't similar enough
-
-    filed = shared.table(prints.select(F.explode("bands").alias("band"), "fp", F.size("shingles").cast("long").alias("n")).distinct(), "filed")
-    first = filed.groupBy("band").agg(F.min(F.struct(F.xxhash64("fp").alias("at"), "fp", "n")).alias("hub"), F.count("*").alias("members"))
-    met = shared.table(first.where("members > 1").select("band", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("hub_n")), "bands")
-    cells = shared.table(filed.join(met, "band").where("fp <> hub"), "cells")
-    star = shared.table(cells.where(fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct(), "star")
-    found = _verified(star, prints, rule)
+    @tidy
+    def search(batches):
+        now, cell = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            plain = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(2, 6)]
+            ends, values = batch.column(6).offsets.to_numpy(), batch.column(6).values.to_numpy()
+            borders = [0, *(np.flatnonzero((c[1:] != c[:-1]) | (d[1:] != d[:-1])) + 1).tolist(), len(c)]
+            for start, end in zip(borders[:-1], borders[1:], strict=True):
+                if (c[start], d[start]) != now:
+                    if cell:
+                        yield emit(cell)
+                    now, cell = (c[start], d[start]), []
+                cell.append((*(x[start:end] for x in plain), [values[ends[k] : ends[k + 1]].copy() for k in range(start, end)]))
+        if cell:
+            yield emit(cell)
+
+    dealt = cells.select("c", "d", "fp", "root", "left", "right", "shingles").repartition("c", "d").sortWithinPartitions("c", "d")
+    return shared.table(dealt.mapInArrow(search, "a long, b long").distinct(), "similar")
+
+
+def _sides(df: DataFrame, key: str) -> DataFrame:
+    """For each key, into how many parts its rows are dealt, so that a part has a bounded number of rows and shingles."""
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(_SIDE)), F.ceil(F.sum("n") / F.lit(_SHINGLES)))
+    return df.groupBy(key).agg(parts.cast("int").alias("sides"))
+
+
+def similar_links(distinct: DataFrame, prints: DataFrame, rule: Similar = NEAR) -> DataFrame:
+    """a, b: links by fp that connect exactly what is similar enough among the sets that share a band.
+
+    ``distinct``: fp, n (shingles), bands, and rep, the (doc_id, text_key) of a row of ``prints`` that has the set.
+    """
+
+    def side() -> Column:
+        return F.pmod(F.xxhash64("fp"), F.col("sides")).cast("int")
+
+    def every() -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
+
+    def compared(rows: DataFrame) -> DataFrame:
+        """Cells of rows c, d, fp, root, left, right. They are written down, so that Spark knows whether they are small
+        enough to go to where the sets are; if not, both are dealt by fp."""
+        narrow = shared.table(rows, "cells")
+        found = _compared(narrow.join(sets, "fp"), rule)
+        shared.forget(narrow)
+        return found
+
+    filed = distinct.select(F.explode("bands").alias("band"), "fp", "n", "rep")
+    # the first of a band is that with the least fp, which is a hash
+    bands = filed.groupBy("band").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("members"))
+    met = shared.table(bands.where("members > 1").select("band", "hub"), "bands")
+    members = shared.table(filed.join(met, "band"), "members")
+    shared.forget(met)
+    wanted = shared.table(members.select(F.col("fp").alias("at"), F.col("rep.doc_id").alias("id"), F.col("rep.text_key").alias("key")).distinct(), "wanted")
+    one = (F.col("fp") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))
+    sets = prints.join(wanted, one, "left_semi").select("fp", "shingles")
+
+    # the first of each band against all others
+    star = shared.table(members.where("fp <> hub").select("hub", "fp", "n").distinct(), "star")
+    dealt = _sides(star, "hub")
+    others = star.join(dealt, "hub").select(F.col("hub").alias("c"), side().alias("d"), "fp", F.lit(False).alias("left"))
+    hubs = dealt.select(F.col("hub").alias("c"), every().alias("d"), F.col("hub").alias("fp"), F.lit(True).alias("left"))
+    found = compared(others.unionByName(hubs).select("c", "d", "fp", F.col("fp").alias("root"), "left", (~F.col("left")).alias("right")))
     roots = components.label(found)
-    # members beside the first that are not connected yet: only pairs of different roots are made
-    rest = shared.table(cells.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", "n", F.coalesce("root", "fp").alias("root")), "rest")
-    kinds = rest.select("band", "root").distinct()
-    apart = kinds.withColumnRenamed("root", "ra").join(kinds.withColumnRenamed("root", "rb"), "band").where("ra < rb")
-    left = rest.select("band", F.col("root").alias("ra"), F.col("fp").alias("a"), F.col("n").alias("na"))
-    right = rest.select("band", F.col("root").alias("rb"), F.col("fp").alias("b"), F.col("n").alias("nb"))
-    cross = apart.join(left, ["band", "ra"]).join(right, ["band", "rb"]).where(fits(F.col("na"), F.col("nb")))
-    ordered = shared.table(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross")
-    return found.unionByName(_verified(ordered, prints, rule))
-
-
-def near_groups(docs: DataFrame, rule: Rule | Similar = LINKS) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id that can be reached) for each row."""
+    shared.forget(star)
+
+    # of bands that this hasn't connected, all members of different components, in squares
+    rest = shared.table(members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", "n", F.coalesce("root", "fp").alias("root")), "rest")
+    shared.forget(members, roots)
+    apart = rest.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high and members > 2").select("band")
+    open_ = shared.table(rest.join(apart, "band", "left_semi"), "open")
+    own = open_.join(_sides(open_, "band"), "band").withColumn("side", side()).withColumn("other", every())
+    square = F.least("side", "other") * F.col("sides") + F.greatest("side", "other")
+    more = compared(own.select(F.col("band").alias("c"), square.alias("d"), "fp", "root", (F.col("side") <= F.col("other")).alias("left"), (F.col("side") >= F.col("other")).alias("right")))
+    shared.forget(rest, open_, wanted)
+    return found.unionByName(more)
+
+
+def _groups(docs: DataFrame, rule: Rule | Similar) -> tuple[DataFrame, list[DataFrame]]:
+    """As ``near_groups``, and the tables that it reads."""
     alike = isinstance(rule, Similar)
     prints = shared.table(shingle_sets(docs, rule) if alike else signatures(docs, rule), "fingerprints")
-    checked = not alike and bool(rule.check_words)
-    keys = ["fp"] + ["check"] * checked
-    node = F.col("least" if checked else "fp")
-    distinct = shared.table(prints.groupBy(*keys).agg(F.min("doc_id").alias("least")).withColumn("node", node), "distinct-fingerprints")
-    roots = components.label(similar_links(prints, rule) if alike else links(distinct.where("node is not null"), rule))
-    rooted = shared.table(distinct.join(roots, "node", "left").select(*keys, "least", F.coalesce("root", "node").alias("root")), "rooted")
+    once = [F.max("bands").alias("bands"), F.max(F.size("shingles").cast("long")).alias("n"), F.min(F.struct("doc_id", "text_key")).alias("rep")] if alike else []
+    distinct = shared.table(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), *once), "distinct-fingerprints")
+    roots = components.label(similar_links(distinct, prints, rule) if alike else links(distinct.select("fp"), rule))
+    rooted = shared.table(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     # as a table of its own, so that both sides of the next join are dealt anew and a large group can be split
-    named = shared.table(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
-    grouped = rooted.join(named, "root", "left").select(*keys, "component_id")
-    return prints.join(grouped, keys).select("doc_id", "fp", "component_id")
+    first = F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "fp")).alias("first")
+    named = shared.table(rooted.groupBy("root").agg(first).select("root", F.col("first.least").alias("component_id"), F.col("first.fp").alias("first_fp")), "named")
+    grouped = shared.table(rooted.join(named, "root", "left").select("fp", "component_id", "first_fp"), "grouped")
+    shared.forget(distinct, roots, rooted, named)
+    stays = (F.col("fp") == F.col("first_fp")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return prints.select("doc_id", "text_key", "fp").join(grouped, "fp").select("doc_id", "text_key", "fp", "component_id", stays.alias("stays")), [prints, grouped]
+
+
+def near_groups(docs: DataFrame, rule: Rule | Similar = LINKS) -> DataFrame:
+    """doc_id, text_key, fp, component_id (the smallest doc_id that can be reached) and stays for each row.
+
+    One document of each group stays: of those with the smallest doc_id, the one with the smallest fp, and its repeats.
+    """
+    return _groups(docs, rule)[0]
 
 
 def drop_near_copies(docs: DataFrame, rule: Rule | Similar = NEAR) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that have the smallest doc_id of their group."""
-    keepers = near_groups(docs, rule).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keepers, docs["doc_id"].eqNullSafe(keepers["kept_id"]), "left_semi")
+    """The rows of ``docs``, with all their columns, that stay of their groups."""
+    groups, tables = _groups(docs, rule)
+    # written down, so that its size is known where the join with the texts is chosen
+    gone = shared.table(groups.where(~F.col("stays")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "near-copies")
+    shared.forget(*tables)
+    met = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (text_key(docs["text"]) == gone["gone_key"])
+    return docs.join(gone, met, "left_anti")

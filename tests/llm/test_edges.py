@@ -61,7 +61,7 @@ def least(ids):
     return min((i for i in ids if i is not None), default=None)
 
 
-@pytest.mark.parametrize("options", [{}, {"capacity": 1, "max_depth": 6}, {"hash_bits": 1, "capacity": 1, "max_depth": 3}])
+@pytest.mark.parametrize("options", [{}, {"capacity": 1, "max_depth": 6}, {"hash_bits": 1, "capacity": 1, "max_depth": 3}, {"hot_rows": 1}, {"hot_rows": 1, "hash_bits": 1, "max_depth": 3}])
 def test_exact_groups(odd, options):
     groups = defaultdict(list)
     for i, t, _ in ODD:
@@ -72,11 +72,38 @@ def test_exact_groups(odd, options):
 
 
 def test_collisions_are_chained(odd):
-    index = exact_dedup.build_index(odd, hash_bits=1).collect()
-    by_hash = defaultdict(list)
-    for r in index:
-        by_hash[r["h"]].append(r["link"])
-    assert len(by_hash) <= 2 and all(sorted(x) == list(range(1, len(x) + 1)) for x in by_hash.values())
+    index, directory = exact_dedup.build_index(odd, hash_bits=1)
+    links = defaultdict(dict)
+    for r in index.collect():
+        assert links[r["h"]].setdefault(r["link"], r["text_sha256"]) == r["text_sha256"]  # a link is one text
+    assert len(links) <= 2 and all(sorted(x) == list(range(1, len(x) + 1)) and len(set(x.values())) == len(x) for x in links.values())
+    assert directory.depth == 0
+
+
+def test_directory_routes_rows(spark):
+    """At default settings: the directory splits, its buckets hold no more than they may, and a look-up reads by it."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    index, directory = exact_dedup.build_index(table)
+    rows = index.collect()
+    keys = defaultdict(set)
+    for r in rows:
+        assert r["bucket"] == directory.slots[(r["h"] % (1 << 64)) >> (64 - directory.depth)]
+        keys[r["bucket"]].add(r["h"])
+    assert directory.depth >= 2 and len(keys) >= 4 and len(keys) == len(directory.local_depth)
+    assert max(map(len, keys.values())) <= exact_dedup.CAPACITY
+    copied = next(r for r in rows if r["group_size"] > 1 and not r["kept"])
+    text = table.where(F.col("doc_id") == copied["doc_id"]).first()["text"]
+    assert exact_dedup.look_up(spark, index, directory, text) == sorted(r["doc_id"] for r in rows if r["keep_id"] == copied["keep_id"])
+    assert exact_dedup.look_up(spark, index, directory, "not there") == []
+
+
+def test_owners_have_contiguous_ranges():
+    cells = {0: (10, 5 << 20), 1: (1, 1 << 20), 2: (1, 1 << 20), 7: (900, 300 << 20), 9: (1, 10)}
+    routes = exact_dedup.plan_routes(cells, 4, 256, 8)
+    first = [r[2] for r in routes.rows]
+    assert [r[0] for r in routes.rows] == sorted(cells) and first == sorted(first)
+    assert routes.rows[3][3] > 1 and routes.owners == max(r[2] + r[3] for r in routes.rows)
+    assert exact_dedup.plan_routes({}, 4, 256, 8).owners == 1
 
 
 def test_directory_doubles_until_nothing_is_overfull():
@@ -95,6 +122,14 @@ def test_drop_copies_keeps_columns(odd, none):
     assert kept.columns == odd.columns
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [1, 3, 5, 6, 7, 8]
     assert exact_dedup.exact_groups(none).count() == 0 and exact_dedup.drop_copies(none).count() == 0
+    assert sorted(map(str, exact_dedup.drop_copies(odd, hot_rows=1).collect())) == sorted(map(str, kept.collect()))
+
+
+def test_one_id_on_two_texts(spark):
+    """Rows are dropped by text, not by id alone."""
+    rows = [(1, "b x", "s"), (5, "a x", "s"), (5, "b  x", "s")]
+    for options in ({}, {"hot_rows": 1}):
+        assert sorted((r["doc_id"], r["text"]) for r in exact_dedup.drop_copies(docs(spark, rows), **options).collect()) == [(1, "b x"), (5, "a x")]
 
 
 # URL rules
@@ -152,10 +187,36 @@ def test_chat_layouts(spark):
 # mixing
 
 
-def test_water_fill():
-    assert mixing.water_fill([10, 10, 10], [3, 1, 2], 45, 2) == [20.0, 25 / 3, 50 / 3]
-    assert mixing.water_fill([10, 0], [1, 1], 100, 2) == [20.0, 0.0]
-    assert mixing.water_fill([], [], 0, 2) == []
+def filled(spark, sizes, policy):
+    df = spark.createDataFrame([(str(k), n, 1) for k, n in enumerate(sizes)], "source string, source_size long, n long")
+    frame, budget = mixing.targets(df, policy)
+    rows = sorted(frame.collect(), key=lambda r: r["source"])
+    assert [r["source_ix"] for r in rows] == list(range(len(sizes)))
+    return [r["target"] for r in rows], budget
+
+
+def test_targets(spark):
+    assert filled(spark, [10, 10, 10], mixing.Policy()) == ([20.0, 25 / 3, 50 / 3], 45.0)
+    assert filled(spark, [10, 0], mixing.Policy((1, 1), 10)) == ([20.0, 0.0], 20.0)
+    assert filled(spark, [], mixing.Policy()) == ([], 0.0)
+
+
+def test_targets_equal_rounds(spark):
+    """What is above twice a source's size is shared anew until nothing is."""
+    rng = np.random.default_rng(1)
+    for n in (1, 4, 9):
+        sizes = [int(x) for x in rng.integers(0, 50, n)]
+        got, _ = filled(spark, sizes, mixing.Policy())
+        share, full = [0.0] * n, set()
+        while True:
+            left, open_ = 1.5 * sum(sizes) - sum(2 * sizes[k] for k in full), [k for k in range(n) if k not in full]
+            for k in range(n):
+                share[k] = 2.0 * sizes[k] if k in full else left * (3, 1, 2)[k % 3] / sum((3, 1, 2)[j % 3] for j in open_)
+            over = {k for k in open_ if share[k] > 2 * sizes[k]}
+            if not over:
+                break
+            full |= over
+        assert got == pytest.approx(share)
 
 
 def test_mix(spark, odd, none):
@@ -182,6 +243,17 @@ def test_mix(spark, odd, none):
     assert mixing.mix_rows(df).columns == df.columns
 
 
+def test_mix_of_repeated_ids(spark):
+    """The rows that come out hold no more words than the plan takes, and rows of one id are served each as planned."""
+    words = "w " * 10
+    rows = [(k % 10 if k < 10 else 1, words + f"t{k}", "a") for k in range(15)] + [(3, "same text", "a")] * 7 + [(None, "no id", "b")] * 5
+    df = docs(spark, rows)
+    planned, out = mixing.mix(df).collect(), mixing.mix_rows(df).collect()
+    assert sum(r["taken"] for r in planned) == sum(len(r["text"].split()) for r in out)
+    served = lambda rows, n: Counter({k: c for k, c in sum((Counter({(r["doc_id"], r["size"]): r["servings"]}) for r in rows), Counter()).items() if c}) if n else None
+    assert served(planned, 1) == Counter((r["doc_id"], len(r["text"].split())) for r in out)
+
+
 # licences
 
 
@@ -252,7 +324,8 @@ def best(rows, k):
 @pytest.mark.parametrize("block", [1 << 15, 3])
 def test_top_k(spark, monkeypatch, block):
     monkeypatch.setattr(top_k, "QUERY_BLOCK", block)
-    monkeypatch.setattr(top_k, "SHARD_ROWS", 16)
+    monkeypatch.setattr(top_k, "SHARD_ROWS", 70)
+    monkeypatch.setattr(top_k, "BATCH_ROWS", 16)
     rng = np.random.default_rng(0)
     rows = [(k, [float(x) for x in rng.normal(0, 0.3, 24)]) for k in range(150)]
     rows += [(k, [0.25] * 24) for k in range(150, 190)]  # ties
@@ -263,6 +336,19 @@ def test_top_k(spark, monkeypatch, block):
     assert top_k.search(df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Scores are exact where sums of floating-point numbers, or 64-bit sums of bounds, wouldn't be."""
+    rows = [(0, [2.0**25, 1.0]), (1, [2.0**25, 0.0]), (2, [2.0**23, 5.0]), (3, [-(2.0**25), 3.0]), (20, [1.5, 2.0**60]), (21, [2.0**51 + 0.5, -0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    floors = {i: [int(np.floor(64 * x)) if abs(x) < 2**52 else 64 * int(x) for x in v] for i, v in rows}
+    exact = lambda q, i: sum(a * b for a, b in zip(floors[q], floors[i], strict=True))
+    some = df.where("vec_id <> 20")
+    got = [(r["vec_id"], r["score"]) for r in top_k.search(some.where("vec_id < 20")).orderBy("rank").collect()]
+    assert got == sorted(((i, exact(0, i)) for i in (1, 2, 3)), key=lambda x: -x[1]) and got[0][1] == 4611686018427387904
+    with pytest.raises(Exception, match="64 bits"):
+        top_k.search(df).collect()
+
+
 # personal data
 
 
@@ -445,6 +531,31 @@ def test_near_rule(spark):
         simhash.Rule(4, 6, 2)
 
 
+def test_near_copies_of_one_id(spark):
+    """Two unrelated texts share an id: what one's copy does leaves the other alone."""
+    w, u = " ".join(f"w{k}" for k in range(60)), " ".join(f"u{k}" for k in range(60))
+    rows = [(3, w + " more", "a"), (7, w, "a"), (7, u, "a"), (8, u + " more", "a"), (7, u, "a"), (None, w + " end", "a")]
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.drop_near_copies(docs(spark, rows)).collect()) == [(3, w + " more"), (7, u), (7, u)]
+
+
+def test_near_squares(spark, monkeypatch):
+    """Families that are dealt into many cells link as in one."""
+    from test_near_similarity import brute_groups as brute
+
+    monkeypatch.setattr(simhash, "_SIDE", 7)
+    monkeypatch.setattr(simhash, "_SHINGLES", 2000)
+    rng, rows = random.Random(12), []
+    for family in range(3):
+        base = [f"w{family}x{k}" for k in range(100)]
+        for k in range(40):
+            words = list(base)
+            for _ in range(rng.randint(0, 5)):
+                words[rng.randrange(100)] = f"v{rng.randrange(30)}"
+            rows.append((100 * family + k, " ".join(words), "a"))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs(spark, rows), simhash.NEAR).collect()}
+    assert got == brute([(i, t) for i, t, _ in rows])
+
+
 # toxicity
 
 

@@ -9,7 +9,9 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from tessera.llm import mixing, simhash, toxicity
+from tessera.llm import toxicity
+
+from test_near_similarity import brute_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,25 +21,6 @@ def rows(spark):
     return [r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
 
 
-def plain_near(rows):
-    """The smallest doc_id of each group of linked signatures."""
-    rule = simhash.NEAR
-    signed = [(r["doc_id"], int(w.fingerprint(rule.words)[0]), w.fingerprint(rule.check_words, simhash.WIDE)) for r in rows for w in [simhash.Words(r["text"] or "")]]
-    root = {d: d for d, _, _ in signed}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for k, (a, fa, ca) in enumerate(signed):
-        for b, fb, cb in signed[:k]:
-            if (fa ^ fb).bit_count() <= rule.distance and sum(int(x).bit_count() for x in ca ^ cb) <= rule.check_distance:
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return {d for d in root if find(d) == d}
-
-
 def plain_mix(rows):
     """How often each document is served."""
     size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in rows}
@@ -70,7 +53,7 @@ def plain_mix(rows):
         words += n
         if words > budget:
             break
-        times[d] += 1
+        times[d] += n > 0
     return times
 
 
@@ -82,7 +65,7 @@ def test_each_stage(spark, rows):
     plain = [
         lambda x: [r for r in x if model.score(r["text"] or "") < 0.7],
         lambda x: [r for r in x if r["doc_id"] == min(o["doc_id"] for o in x if norm(o) == norm(r))],
-        lambda x: (lambda near: [r for r in x if r["doc_id"] in near])(plain_near(x)),
+        lambda x: (lambda groups: [r for r in x if r["doc_id"] == groups[r["doc_id"]]])(brute_groups([(r["doc_id"], r["text"]) for r in x])),
         lambda x: (lambda times: [r for r in x for _ in range(times[r["doc_id"]])])(plain_mix(x)),
     ]
 
@@ -121,13 +104,26 @@ def test_planted_cases(spark, tmp_path, rows):
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
 
 
-def test_water_fill_equals_rounds():
-    rng = np.random.default_rng(1)
-    for _ in range(200):
-        n = int(rng.integers(1, 9))
-        sizes = [int(x) for x in rng.integers(0, 50, n)]
-        weights = [(3, 1, 2)[k % 3] for k in range(n)]
-        got = mixing.water_fill(sizes, weights, 1.5 * sum(sizes), 2)
-        assert sum(got) == pytest.approx(1.5 * sum(sizes)) and all(t <= 2 * s + 1e-9 for t, s in zip(got, sizes, strict=True))
-        free = [t / w for t, s, w in zip(got, sizes, weights, strict=True) if t < 2 * s - 1e-9]
-        assert all(f == pytest.approx(free[0]) for f in free)
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    """Null, repeated and missing ids, null and very long texts, clashing columns, and an empty table."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, h long, row string, body string, gone_id long, mixed_id string, size int, band string, label int"
+    prose = " ".join(f"word{k}" for k in range(40))
+    texts = [(1, prose), (2, prose.replace(" ", "\t")), (2, prose.replace(" ", "\t")), (None, prose), (None, "no id here"), (None, None), (3, None), (4, ""), (5, prose + " and more"), (6, "long " * 200_000), (7, "a b"), (7, "c d"), (8, prose[::-1])]
+    docs = spark.createDataFrame([(d, t, "en", "s" if n % 3 else None, None, n, "r", "b", n, "m", 1, "x", 0) for n, (d, t) in enumerate(texts)], schema)
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([(1, 0, 0), (7, 1, 1)], "doc_id long, quality int, toxic int").where("toxic = 0").write.parquet(f"{folder}/labels.parquet")
+    want = [
+        None,
+        Counter({1: 1, None: 1, 3: 1, 5: 1, 6: 1, 7: 2, 8: 1}),
+        Counter({1: 1, None: 1, 3: 1, 6: 1, 7: 2, 8: 1}),
+        None,
+    ]
+    for (name, stage), ids in zip(corpus_pipeline.STAGES[:-1], want, strict=True):
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        if ids is not None:
+            assert Counter(r["doc_id"] for r in rows) == ids, name
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+        docs = spark.createDataFrame(rows, out.schema)
+    assert corpus_pipeline.stage_pieces(spark, docs, folder).count() == len(rows) and corpus_pipeline.stage_pieces(spark, docs.limit(0), folder).count() == 0
