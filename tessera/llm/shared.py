@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,15 +27,23 @@ def single_spaced(text: Column) -> Column:
     return F.regexp_replace(text_or_empty(text), f"[{SPACE}]+", " ")
 
 
-def tidy(convert: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """A function for ``mapInArrow`` that gives Arrow's spare memory back when its task ends: worker processes live on
-    between tasks, and would hold it through stages that need no Python."""
+def _give_back() -> None:
+    """What Arrow and the C library hold for later goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than GNU's
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(convert: Callable[[Iterator], Iterator]):
+    """A function over batches that gives spare memory back when its task ends: worker processes live on between tasks,
+    and would hold it through stages that need no Python."""
 
     @functools.wraps(convert)
     def run(batches):
         try:
             yield from convert(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            _give_back()
 
     return run

@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -95,16 +96,7 @@ class Model:
     weights: tuple[tuple[str, float], ...]
 
     def score(self, text: str) -> float:
-        scorer, parts, shared = _scorer(self), [self.bias], {}
-        for w in words(text):
-            if found := scorer[w]:
-                parts.append(found[0])
-                for p in found[1]:
-                    shared[p] = shared.get(p, 0) + 1
-        for p, c in shared.items():
-            parts += [scorer.weights.get(f"{p}{n}", 0.0) for n in range(1, min(c, _LEVELS) + 1)]
-        logit = math.fsum(parts)  # exact, so in any order the same
-        return float(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
+        return _scorer(self).score(text)
 
 
 class _Scorer(dict):
@@ -112,9 +104,21 @@ class _Scorer(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.weights = dict(model.weights)
+        self.bias, self.weights = model.bias, dict(model.weights)
         self.starts = {f[:-1] for f in self.weights if f[-1] != "$"}
 
+    def score(self, text: str) -> float:
+        parts, shared = [self.bias], {}
+        for w in words(text):
+            if found := self[w]:
+                parts.append(found[0])
+                for p in found[1]:
+                    shared[p] = shared.get(p, 0) + 1
+        for p, c in shared.items():
+            parts += [self.weights.get(f"{p}{n}", 0.0) for n in range(1, min(c, _LEVELS) + 1)]
+        logit = math.fsum(parts)  # exact, so in any order the same
+        return float(1 / (1 + math.exp(-max(-500.0, min(500.0, logit)))))
+
     def __missing__(self, word: str) -> tuple[float, list[str]] | None:
         own, starts = self.weights.get(word + "$", 0.0), [p for p in prefixes(word) if p in self.starts]
         found = (own, starts) if own or starts else None
@@ -232,11 +236,13 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
 
 def score(text: Column, model: Model) -> Column:
-    @F.pandas_udf("double")
-    def scores(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t or "") for t in texts], dtype=float)
+    @tidy
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = _scorer(model)
+        for texts in batches:
+            yield pd.Series([scorer.score(t or "") for t in texts], dtype=float)
 
-    return scores(text)
+    return F.pandas_udf(scores, "double")(text)
 
 
 def judge(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
