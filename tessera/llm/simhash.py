@@ -10,11 +10,12 @@ distance.
 ``NEAR`` is the rule for a Jaccard similarity of 0.8 of the sets of five-word shingles. Such pairs lie too far apart in
 a fingerprint of 64 bits for any index of it, so bands of minima of the hashed shingles propose them: a pair at
 similarity s shares one of 30 bands of 5 with probability 1 - (1 - s^5)^30, wherever its differences stand; at 0.8 that
-misses 7 in a million. Nothing links but on the similarity of its real sets. Of each band's members, the first by hash
-is compared with all others; then, in bands that this hasn't connected, those that belong to different components are
-compared, each with each. Both are worked off in cells of bounded size, as above: a large band is dealt into squares, a
-cell counts shared shingles by postings, and hands on only links that connect what wasn't connected. No pair of sets
-leaves a cell, and no comparison that could connect anything is left out.
+misses 7 in a million. Nothing links but on the similarity of its real sets. What bands connect, through however many
+steps, is a family. In a family each is compared with each, in cells of bounded size: a cell counts shared shingles by
+postings, and hands on only links that connect what wasn't connected, so no pair of sets leaves it; a family of up to
+eight times a cell's side is dealt into squares. Larger families, which grow where passages are common, are compared by
+band: the first of each band with all others, then, in bands that this hasn't connected, each with each, in squares. No
+comparison that could connect anything is left out. Sets are made again from the texts of candidates, never written.
 
 Only distinct fingerprints go into the tables, so copies cost one row. A cell is worked off as a stream, by one task and
 without emitting pairs: a search takes one fingerprint after another, finds all that it links to among those not yet
@@ -47,8 +48,8 @@ _TO_SMALL = bytes.maketrans(_CAPITALS, _CAPITALS.lower())
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Shingles whose bits are counted at a time, documents of an output batch, and members of a cell that are compared at once.
 _BLOCK, _ROWS, _AT_ONCE = 255 * 64, 2000, 512
-#: Members on one side of a cell of sets.
-_SIDE = 2048
+#: Members on one side of a cell of sets; sides of a family that is compared as a whole.
+_SIDE, _FEW = 2048, 8
 #: Shingles of an output batch of sets.
 _SHINGLES = 1 << 20
 
@@ -247,36 +248,54 @@ def _bands(least: np.ndarray, rule: Similar) -> list[int]:
     return np.array(bands, np.uint64).view(np.int64).tolist()
 
 
-def shingle_sets(docs: DataFrame, rule: Similar = NEAR) -> DataFrame:
-    """doc_id, text_key, fp (a hash of the set, as a signed long), shingles (the set itself, as signed longs) and bands."""
+def band_rows(docs: DataFrame, rule: Similar = NEAR) -> DataFrame:
+    """doc_id, text_key, fp (a hash of the set of shingles, as a signed long), n (shingles) and bands."""
 
-    def batch_of(ids, keys, sets):
+    @tidy
+    def convert(batches):
         from xxhash import xxh64_intdigest
 
-        prints = np.array([xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+        for batch in batches:
+            prints, sizes, bands = [], [], []
+            for text in batch.column(1):
+                x = Words(text.as_py() or "").shingles(rule.words)
+                prints.append(xxh64_intdigest(x.tobytes(), SEED))
+                sizes.append(len(x))
+                bands.append(_bands(_minima(x, rule), rule) if len(x) else [])
+            columns = [batch.column(0), batch.column(2), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "fp", "n", "bands"])
+
+    return _read(docs).mapInArrow(convert, "doc_id long, text_key long, fp long, n long, bands array<long>")
+
+
+_PLACES = "array<struct<c:long,d:int,root:long,left:boolean,right:boolean>>"
+
+
+def _with_sets(rows: DataFrame, rule: Similar) -> DataFrame:
+    """fp, places and shingles (the set itself, as signed longs) of fp, text and places."""
+    kind = pa.list_(pa.struct([("c", pa.int64()), ("d", pa.int32()), ("root", pa.int64()), ("left", pa.bool_()), ("right", pa.bool_())]))
+
+    def batch_of(prints, places, sets):
         offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
         values = pa.array(np.concatenate(sets).view(np.int64))
-        bands = pa.array([_bands(_minima(x, rule), rule) if len(x) else [] for x in sets], pa.list_(pa.int64()))
-        columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(prints), pa.ListArray.from_arrays(pa.array(offsets), values), bands]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "fp", "shingles", "bands"])
+        return pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(places, kind), pa.ListArray.from_arrays(pa.array(offsets), values)], ["fp", "places", "shingles"])
 
     @tidy
     def convert(batches):
         for batch in batches:
-            ids, keys, sets, held = [], [], [], 0
-            for doc_id, text, key in zip(*(batch.column(k) for k in range(3)), strict=True):
-                ids.append(doc_id.as_py())
-                keys.append(key.as_py())
+            prints, places, sets, held = [], [], [], 0
+            for fp, text, own in zip(*(batch.column(k) for k in range(3)), strict=True):
+                prints.append(fp.as_py())
+                places.append(own.as_py())
                 sets.append(Words(text.as_py() or "").shingles(rule.words))
                 held += len(sets[-1])
                 if held >= _SHINGLES or len(sets) >= _ROWS:
-                    yield batch_of(ids, keys, sets)
-                    ids, keys, sets, held = [], [], [], 0
+                    yield batch_of(prints, places, sets)
+                    prints, places, sets, held = [], [], [], 0
             if sets:
-                yield batch_of(ids, keys, sets)
+                yield batch_of(prints, places, sets)
 
-    kind = "doc_id long, text_key long, fp long, shingles array<long>, bands array<long>"
-    return _read(docs).mapInArrow(convert, kind)
+    return rows.select("fp", "text", "places").mapInArrow(convert, f"fp long, places {_PLACES}, shingles array<long>")
 
 
 class _Cell:
@@ -348,10 +367,10 @@ def _sides(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(parts.cast("int").alias("sides"))
 
 
-def similar_links(distinct: DataFrame, prints: DataFrame, rule: Similar = NEAR) -> DataFrame:
+def similar_links(distinct: DataFrame, docs: DataFrame, rule: Similar = NEAR) -> DataFrame:
     """a, b: links by fp that connect exactly what is similar enough among the sets that share a band.
 
-    ``distinct``: fp, n (shingles), bands, and rep, the (doc_id, text_key) of a row of ``prints`` that has the set.
+    ``distinct``: fp, n (shingles), bands, and rep, the (doc_id, text_key) of a row of ``docs`` that has the set.
     """
 
     def side() -> Column:
@@ -360,52 +379,69 @@ def similar_links(distinct: DataFrame, prints: DataFrame, rule: Similar = NEAR)
     def every() -> Column:
         return F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
 
-    def compared(rows: DataFrame) -> DataFrame:
-        """Cells of rows c, d, fp, root, left, right. They are written down, so that Spark knows whether they are small
-        enough to go to where the sets are; if not, both are dealt by fp."""
-        narrow = shared.table(rows, "cells")
-        found = _compared(narrow.join(sets, "fp"), rule)
-        shared.forget(narrow)
-        return found
+    def squares(df: DataFrame, key: str) -> DataFrame:
+        """Of rows with a key, the number of its sides, fp and root: the cells in which each with each of a key meets once."""
+        own = df.withColumn("side", side()).withColumn("other", every())
+        square = F.least("side", "other") * F.col("sides") + F.greatest("side", "other")
+        return own.select(F.col(key).alias("c"), square.alias("d"), "fp", "root", (F.col("side") <= F.col("other")).alias("left"), (F.col("side") >= F.col("other")).alias("right"))
 
-    filed = distinct.select(F.explode("bands").alias("band"), "fp", "n", "rep")
+    def compared(rows: DataFrame) -> DataFrame:
+        """The links inside cells of rows c, d, fp, root, left, right. Each text meets its cells once, by id and text; its
+        set is made there and then dealt to the cells, so sets are never written, and only those of candidates move."""
+        places = rows.groupBy("fp").agg(F.collect_list(F.struct(*(F.col(k) for k in ("c", "d", "root", "left", "right")))).cast(_PLACES).alias("places"))
+        asked = places.join(reps, "fp").select("fp", "id", "key", "places")
+        met = texts.join(asked, texts["doc_id"].eqNullSafe(asked["id"]) & (texts["text_key"] == asked["key"]))
+        # rows that repeat an id and a text come once; they are in one task already
+        once = met.groupBy("doc_id", "text_key", "fp").agg(F.any_value("text").alias("text"), F.any_value("places").alias("places"))
+        cells = _with_sets(once, rule).select("fp", F.explode("places").alias("at"), "shingles")
+        return _compared(cells.select("at.*", "fp", "shingles"), rule)
+
+    texts = _read(docs)
+    filed = distinct.select(F.explode("bands").alias("band"), "fp", "n")
     # the first of a band is that with the least fp, which is a hash
     bands = filed.groupBy("band").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("members"))
     met = shared.table(bands.where("members > 1").select("band", "hub"), "bands")
     members = shared.table(filed.join(met, "band"), "members")
+    star = shared.table(members.where("fp <> hub").select("hub", "fp", "n").distinct(), "star")
     shared.forget(met)
-    wanted = shared.table(members.select(F.col("fp").alias("at"), F.col("rep.doc_id").alias("id"), F.col("rep.text_key").alias("key")).distinct(), "wanted")
-    one = (F.col("fp") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))
-    sets = prints.join(wanted, one, "left_semi").select("fp", "shingles")
+    # families: what bands connect, through however many steps
+    family = components.label(star.select(F.col("hub").alias("a"), F.col("fp").alias("b")))
+    sized = shared.table(family.select(F.col("node").alias("fp"), F.col("root").alias("family")).join(distinct.select("fp", "n", "rep"), "fp"), "families")
+    reps = sized.select("fp", F.col("rep.doc_id").alias("id"), F.col("rep.text_key").alias("key"))
+    shared.forget(family)
+    dealt = shared.table(_sides(sized, "family"), "sides")
+    own = sized.join(dealt, "family").withColumn("root", F.col("fp"))
+    found = compared(squares(own.where(F.col("sides") <= _FEW), "family"))
+    large = shared.table(dealt.where(F.col("sides") > _FEW).select("family"), "large")
+    if large.isEmpty():
+        shared.forget(members, star, sized, dealt)
+        return found
 
-    # the first of each band against all others
-    star = shared.table(members.where("fp <> hub").select("hub", "fp", "n").distinct(), "star")
-    dealt = _sides(star, "hub")
-    others = star.join(dealt, "hub").select(F.col("hub").alias("c"), side().alias("d"), "fp", F.lit(False).alias("left"))
-    hubs = dealt.select(F.col("hub").alias("c"), every().alias("d"), F.col("hub").alias("fp"), F.lit(True).alias("left"))
-    found = compared(others.unionByName(hubs).select("c", "d", "fp", F.col("fp").alias("root"), "left", (~F.col("left")).alias("right")))
-    roots = components.label(found)
-    shared.forget(star)
-
-    # of bands that this hasn't connected, all members of different components, in squares
-    rest = shared.table(members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", "n", F.coalesce("root", "fp").alias("root")), "rest")
-    shared.forget(members, roots)
+    # in families too large for that: the first of each band against all others
+    within = sized.join(large, "family", "left_semi").select("fp")
+    star = star.join(within, "fp", "left_semi")
+    hubs = _sides(star, "hub")
+    others = star.join(hubs, "hub").select(F.col("hub").alias("c"), side().alias("d"), "fp", F.lit(False).alias("left"))
+    firsts = hubs.select(F.col("hub").alias("c"), every().alias("d"), F.col("hub").alias("fp"), F.lit(True).alias("left"))
+    again = compared(others.unionByName(firsts).select("c", "d", "fp", F.col("fp").alias("root"), "left", (~F.col("left")).alias("right")))
+    roots = components.label(again)
+    # and of bands that this hasn't connected, all members of different components
+    rest = members.join(within, "fp", "left_semi").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    rest = shared.table(rest.select("band", "fp", "n", F.coalesce("root", "fp").alias("root")), "rest")
     apart = rest.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high and members > 2").select("band")
     open_ = shared.table(rest.join(apart, "band", "left_semi"), "open")
-    own = open_.join(_sides(open_, "band"), "band").withColumn("side", side()).withColumn("other", every())
-    square = F.least("side", "other") * F.col("sides") + F.greatest("side", "other")
-    more = compared(own.select(F.col("band").alias("c"), square.alias("d"), "fp", "root", (F.col("side") <= F.col("other")).alias("left"), (F.col("side") >= F.col("other")).alias("right")))
-    shared.forget(rest, open_, wanted)
-    return found.unionByName(more)
+    more = compared(squares(open_.join(_sides(open_, "band"), "band"), "band"))
+    shared.forget(members, sized, dealt, roots, rest, open_)
+    return found.unionByName(again).unionByName(more)
 
 
 def _groups(docs: DataFrame, rule: Rule | Similar) -> tuple[DataFrame, list[DataFrame]]:
     """As ``near_groups``, and the tables that it reads."""
     alike = isinstance(rule, Similar)
-    prints = shared.table(shingle_sets(docs, rule) if alike else signatures(docs, rule), "fingerprints")
-    once = [F.max("bands").alias("bands"), F.max(F.size("shingles").cast("long")).alias("n"), F.min(F.struct("doc_id", "text_key")).alias("rep")] if alike else []
+    prints = shared.table(band_rows(docs, rule) if alike else signatures(docs, rule), "fingerprints")
+    once = [F.max("bands").alias("bands"), F.max("n").alias("n"), F.min(F.struct("doc_id", "text_key")).alias("rep")] if alike else []
     distinct = shared.table(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), *once), "distinct-fingerprints")
-    roots = components.label(similar_links(distinct, prints, rule) if alike else links(distinct.select("fp"), rule))
+    roots = components.label(similar_links(distinct, docs, rule) if alike else links(distinct.select("fp"), rule))
     rooted = shared.table(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     # as a table of its own, so that both sides of the next join are dealt anew and a large group can be split
     first = F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "fp")).alias("first")

@@ -538,12 +538,14 @@ def test_near_copies_of_one_id(spark):
     assert sorted((r["doc_id"], r["text"]) for r in simhash.drop_near_copies(docs(spark, rows)).collect()) == [(3, w + " more"), (7, u), (7, u)]
 
 
-def test_near_squares(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 3, 100])
+def test_near_squares(spark, monkeypatch, few):
     """Families that are dealt into many cells link as in one."""
     from test_near_similarity import brute_groups as brute
 
     monkeypatch.setattr(simhash, "_SIDE", 7)
     monkeypatch.setattr(simhash, "_SHINGLES", 2000)
+    monkeypatch.setattr(simhash, "_FEW", few)
     rng, rows = random.Random(12), []
     for family in range(3):
         base = [f"w{family}x{k}" for k in range(100)]
