@@ -7,6 +7,7 @@ import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Of a local session that names no folder.
 LOCAL_FOLDER = "file:///tmp/checkpoints/tessera"
@@ -45,6 +46,14 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def small(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """A table that ``table`` has made, marked for broadcast if its files hold ``most`` bytes at most; else as it is, for a
+    shuffled join."""
+    p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(getattr(df, _PATH))
+    size = p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return F.broadcast(df) if size <= most else df
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete the files of tables that nothing reads any more."""
     for df in tables:
