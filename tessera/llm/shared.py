@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import forget, scratch, shared_folder, table  # noqa: F401
+from tessera.sources.shared import forget, scratch, shared_folder, small, table  # noqa: F401
 
 #: The white space that every operator here splits and joins on, as a class for Java's, RE2's and Python's regular expressions.
 SPACE = r"\x20\x09-\x0D"

@@ -463,8 +463,8 @@ def near_groups(docs: DataFrame, rule: Rule | Similar = LINKS) -> DataFrame:
 def drop_near_copies(docs: DataFrame, rule: Rule | Similar = NEAR) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay of their groups."""
     groups, tables = _groups(docs, rule)
-    # written down, so that its size is known where the join with the texts is chosen
+    # written down, so that its size is known: texts are shuffled only where it is too large to go to all of them
     gone = shared.table(groups.where(~F.col("stays")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "near-copies")
     shared.forget(*tables)
     met = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (text_key(docs["text"]) == gone["gone_key"])
-    return docs.join(gone, met, "left_anti")
+    return docs.join(shared.small(gone), met, "left_anti")
