@@ -542,3 +542,20 @@ def test_row_vectors(spark, data):
     same(Matrix.from_cells(rowvec.gram_frame(x), 5, 5), a.T @ a)
     same(Matrix.from_cells(rowvec.times_vector(x, [1, 2, 3, 4, 5]), 7, 1), (a @ np.arange(1, 6))[:, None])
     assert rowvec.gram_frame(x.limit(0)).count() == 0
+
+
+def few(spark, seed):
+    """A sparse matrix of mostly gaps, among them whole rows, as an array too."""
+    a = np.zeros((40, 300))
+    a[np.random.default_rng(seed).integers(0, 30, 50), np.random.default_rng(seed + 1).integers(0, 300, 50)] = np.arange(1, 51) * (-1.0) ** np.arange(50)
+    a[39, 299], a[0, 0] = seed, -1
+    return a, make(spark, a, SPARSE)
+
+
+def test_densify_shuffles_no_gaps(spark, monkeypatch):
+    a, x = few(spark, 1)
+    assert shuffled(spark, lambda: same(x.densify(), a)) < 500
+    monkeypatch.setattr(layout, "FILL_WIDTH", 64)
+    assert shuffled(spark, lambda: same(x.densify(), a)) < 500 and x.densify().cells().count() == a.size
+    for shape in ((0, 3), (3, 0), (2, 2)):
+        same(make(spark, np.zeros(shape), SPARSE).densify(), np.zeros(shape))
