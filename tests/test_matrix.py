@@ -559,3 +559,11 @@ def test_densify_shuffles_no_gaps(spark, monkeypatch):
     assert shuffled(spark, lambda: same(x.densify(), a)) < 500 and x.densify().cells().count() == a.size
     for shape in ((0, 3), (3, 0), (2, 2)):
         same(make(spark, np.zeros(shape), SPARSE).densify(), np.zeros(shape))
+
+
+def test_constants_shuffle_no_gaps(spark):
+    a, x = few(spark, 2)
+    assert shuffled(spark, lambda: same((2.0 * (x + 1.0)) - 3.0, 2 * (a + 1) - 3)) < 500
+    with np.errstate(all="ignore"):
+        same(1.0 / x, 1 / a)
+    same(make(spark, a, SPARSE, INT) + 1, a + 1)
