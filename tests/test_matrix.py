@@ -567,3 +567,8 @@ def test_constants_shuffle_no_gaps(spark):
     with np.errstate(all="ignore"):
         same(1.0 / x, 1 / a)
     same(make(spark, a, SPARSE, INT) + 1, a + 1)
+
+
+def test_functions_shuffle_no_gaps(spark):
+    a, x = few(spark, 3)
+    assert shuffled(spark, lambda: same((x / 4.0).sigmoid().map(lambda v: v * 2), 2 / (1 + np.exp(-a / 4)))) < 500
