@@ -572,3 +572,16 @@ def test_constants_shuffle_no_gaps(spark):
 def test_functions_shuffle_no_gaps(spark):
     a, x = few(spark, 3)
     assert shuffled(spark, lambda: same((x / 4.0).sigmoid().map(lambda v: v * 2), 2 / (1 + np.exp(-a / 4)))) < 500
+
+
+@pytest.mark.parametrize("op", ["add", "mul", "div"])
+def test_mixed_operands_shuffle_no_gaps(spark, op):
+    (a, x), (b, y) = few(spark, 4), few(spark, 6)
+    got, want = {"add": ((x + 1.0) + y, a + 1 + b), "mul": ((x + 2.0) * y, (a + 2) * b), "div": (y / (x + 2.5), b / (a + 2.5))}[op]
+    assert shuffled(spark, lambda: same(got, want)) < 500
+
+
+def test_differences_shuffle_no_gaps(spark):
+    (a, x), (b, y) = few(spark, 4), few(spark, 6)
+    assert shuffled(spark, lambda: same(y - (x + 1.0), b - a - 1)) < 500
+    same((x + 1.0).T - y.T.densify(), (a + 1 - b).T)
