@@ -585,3 +585,29 @@ def test_differences_shuffle_no_gaps(spark):
     (a, x), (b, y) = few(spark, 4), few(spark, 6)
     assert shuffled(spark, lambda: same(y - (x + 1.0), b - a - 1)) < 500
     same((x + 1.0).T - y.T.densify(), (a + 1 - b).T)
+
+
+@pytest.mark.parametrize("form", [DENSE, SPARSE])
+def test_narrow_products_shuffle_no_sums(spark, form):
+    a = np.random.default_rng(5).integers(-2, 3, (60, 4)).astype(float)
+    a[7] = 0
+    x = make(spark, a, form)
+    assert shuffled(spark, lambda: same(x @ x.sparsify().T, a @ a.T)) < 1000
+    got = {(r["i"], r["j"]): r["v"] for r in (x @ x.sparsify().T).cells().collect()}
+    # an absent cell meets nothing: cells of a dense result are there where one of theirs is
+    assert set(got) == {(i, j) for i in range(60) for j in range(60) if (j != 7 if form == DENSE else (a @ a.T)[i, j])}
+    special = np.array([[INF, 0.0], [0.0, NAN]])
+    y = make(spark, special, SPARSE)
+    assert {(r["i"], r["j"]): str(r["v"]) for r in (y @ y).cells().collect()} == {(0, 0): "inf", (1, 1): "nan"}
+    same(make(spark, a, form, INT) @ make(spark, a.T, form, INT), a @ a.T)
+
+
+def test_narrow_products_of_two_large_matrices(spark, monkeypatch):
+    from tessera.operators import matmul
+
+    monkeypatch.setattr(matmul, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(matmul, "CELLS_A_TASK", 500)
+    a = np.arange(120.0).reshape(40, 3)
+    same(make(spark, a, SPARSE) @ make(spark, a, SPARSE).T, a @ a.T)
+    monkeypatch.setattr(matmul, "BROADCAST_CELLS", 1000)
+    same(make(spark, a, SPARSE) @ make(spark, a, SPARSE).T, a @ a.T)
