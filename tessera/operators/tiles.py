@@ -18,6 +18,9 @@ from tessera.plans.matrix import Matrix
 from tessera.plans.meta import DENSE, SPARSE
 
 SCHEMA = "bi int, bj int, nr int, nc int, fmt string, data array<double>, indptr array<int>, indices array<int>"
+NAMES = ["bi", "bj", "nr", "nc", "fmt", "data", "indptr", "indices"]
+#: Cells that a task holds before it cuts tiles from them; stored cells and row starts of an output batch.
+HELD_ROWS, BATCH_CELLS = 200_000, 2_000_000
 #: A tile with at least this share of its cells is kept dense.
 DENSITY = 0.3
 #: Partial output tiles that a task adds up before it hands them on, in cells.
@@ -49,25 +52,67 @@ def _at(structs: pa.StructArray, n: int) -> dict:
     return tile
 
 
+def _rows(bi: np.ndarray, bj: np.ndarray, nr: np.ndarray, nc: np.ndarray, full: np.ndarray, counts: np.ndarray, r: np.ndarray, c: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of many tiles at once: each has ``counts`` cells, in the order of tiles and, but for full (dense) ones, of rows
+    and columns."""
+    area = nr.astype(np.int64) * nc
+    stored, starts = np.where(full, area, counts), np.where(full, 0, nr + 1)
+    ends = np.cumsum(counts)
+    group = np.cumsum(stored + starts) // BATCH_CELLS
+    borders = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(bi)]
+    for a, b in zip(borders[:-1], borders[1:], strict=True):
+        first, last = int(ends[a] - counts[a]), int(ends[b - 1])
+        tile = np.repeat(np.arange(a, b), counts[a:b])
+        rows, cols, dense_cell = r[first:last], c[first:last], full[tile]
+        at, starts_at = np.concatenate([[0], np.cumsum(stored[a:b])]), np.concatenate([[0], np.cumsum(starts[a:b])])
+        data = np.zeros(at[-1])
+        place = np.arange(first, last) - (ends - counts)[tile]
+        data[at[tile - a] + np.where(dense_cell, rows.astype(np.int64) * nc[tile] + cols, place)] = v[first:last]
+        sparse_cell = ~dense_cell
+        upto = np.cumsum(np.bincount(starts_at[tile - a][sparse_cell] + rows[sparse_cell] + 1, minlength=starts_at[-1] + 1)[: starts_at[-1]])
+        before = np.concatenate([[0], np.cumsum(np.where(full[a:b], 0, counts[a:b]))])[:-1]
+        indptr = upto - np.repeat(before, starts[a:b])
+        list_of = lambda values, sizes, null: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values), mask=None if null is None else pa.array(null))
+        columns = [pa.array(x[a:b], pa.int32()) for x in (bi, bj, nr, nc)]
+        arrays = [list_of(data, stored[a:b], None), list_of(indptr.astype(np.int32), starts[a:b], full[a:b]), list_of(cols[sparse_cell].astype(np.int32), np.where(full, 0, counts)[a:b], full[a:b])]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.where(full[a:b], "dense", "csr").tolist(), pa.string()), *arrays], NAMES)
+
+
 def pack(matrix: Matrix, tile: tuple[int, int] | None = None) -> DataFrame:
-    """Cells gathered into tiles by one shuffle on the tile's place; a tile without cells is absent."""
+    """Cells gathered into tiles by one shuffle on the tile's place; a tile without cells is absent. Tiles are cut from the
+    sorted cells of a task many at a time, however small they are."""
     (tr, tc), (rows, cols) = tile or matrix.meta.tile, matrix.meta.shape
     fmt = matrix.meta.fmt
     cells = matrix.cells().select(F.expr(f"cast(i div {tr} as int)").alias("bi"), F.expr(f"cast(j div {tc} as int)").alias("bj"), F.expr(f"cast(i % {tr} as int)").alias("r"), F.expr(f"cast(j % {tc} as int)").alias("c"), F.col("v").cast("double").alias("v"))
 
-    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        bi, bj = int(key[0]), int(key[1])
-        nr, nc = min(tr, rows - bi * tr), min(tc, cols - bj * tc)
-        r, c, v = pdf["r"].to_numpy(), pdf["c"].to_numpy(), pdf["v"].to_numpy()
-        if fmt == DENSE or len(v) >= DENSITY * nr * nc:
-            full = np.zeros((nr, nc))
-            full[r, c] = v
-            row = ("dense", full.ravel(), None, None)
-        else:
-            row = ("csr", *_csr(r, c, v, nr))
-        return pd.DataFrame({"bi": [bi], "bj": [bj], "nr": [nr], "nc": [nc], "fmt": [row[0]], "data": [row[1]], "indptr": [row[2]], "indices": [row[3]]})
+    def cut(bi, bj, r, c, v) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.concatenate([[True], (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]))
+        counts = np.diff(np.append(starts, len(bi)))
+        ti, tj = bi[starts], bj[starts]
+        nr, nc = (np.minimum(size, n - t.astype(np.int64) * size).astype(np.int32) for size, n, t in ((tr, rows, ti), (tc, cols, tj)))
+        full = np.ones(len(ti), bool) if fmt == DENSE else counts >= DENSITY * nr * nc
+        yield from _rows(ti, tj, nr, nc, full, counts, r, c, v)
 
-    return cells.groupBy("bi", "bj").applyInPandas(build, SCHEMA)
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, held, enough = [], 0, HELD_ROWS
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append([x.to_numpy(zero_copy_only=False) for x in batch.columns])
+                held += batch.num_rows
+            if held < enough:
+                continue
+            whole = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+            same = (whole[0] == whole[0][-1]) & (whole[1] == whole[1][-1])
+            begun = int(np.argmax(same))  # the last tile may go on in the next batch
+            if begun:
+                yield from cut(*(x[:begun] for x in whole))
+            waiting = [[x[begun:] for x in whole]]
+            held -= begun
+            enough = max(HELD_ROWS, 2 * held)
+        if held:
+            yield from cut(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+
+    return cells.repartition("bi", "bj").sortWithinPartitions("bi", "bj", "r", "c").mapInArrow(build, SCHEMA)
 
 
 def unpack(tiles: DataFrame, rows: int, cols: int, tile: tuple[int, int], fmt: str = DENSE) -> Matrix:
@@ -88,19 +133,32 @@ def unpack(tiles: DataFrame, rows: int, cols: int, tile: tuple[int, int], fmt: s
 def transpose(tiles: DataFrame) -> DataFrame:
     """Tiles swapped and turned, without a shuffle."""
 
-    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for t in pdf.to_dict("records"):
-                if t["fmt"] == "dense":
-                    data, indptr, indices = dense(t).T.ravel(), None, None
-                else:
-                    rows = np.repeat(np.arange(t["nr"]), np.diff(t["indptr"]))
-                    data, indptr, indices = _csr(np.asarray(t["indices"], int), rows, np.asarray(t["data"], float), t["nc"])
-                out.append({"bi": t["bj"], "bj": t["bi"], "nr": t["nc"], "nc": t["nr"], "fmt": t["fmt"], "data": data, "indptr": indptr, "indices": indices})
-            yield pd.DataFrame(out, columns=["bi", "bj", "nr", "nc", "fmt", "data", "indptr", "indices"])
-
-    return tiles.mapInPandas(turn, SCHEMA)
+    def turned(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        bi, bj, nr, nc = (batch.column(k).to_numpy() for k in range(4))
+        full = batch.column(4).to_numpy(zero_copy_only=False) == "dense"
+        counts = batch.column(5).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        v, starts, cols = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (5, 6, 7))
+        tile = np.repeat(np.arange(len(bi)), counts)
+        dense_cell, r, c = full[tile], np.empty(len(v), np.int64), np.empty(len(v), np.int64)
+        place = np.arange(len(v)) - np.repeat(np.cumsum(counts) - counts, counts)
+        r[dense_cell], c[dense_cell] = np.divmod(place[dense_cell], nc[tile][dense_cell])
+        sizes = np.diff(starts, append=0)[np.diff(np.repeat(np.arange(len(bi)), np.where(full, 0, nr + 1)), append=-1) == 0]
+        r[~dense_cell] = np.repeat(np.concatenate([np.arange(n) for n in nr[~full]] or [np.zeros(0, int)]), sizes)
+        c[~dense_cell] = cols
+        # cells are sorted by row, and stay so inside a column
+        order = np.argsort(tile * (int(nc.max()) + 1) + np.where(dense_cell, 0, c), kind="stable")
+        yield from _rows(bj, bi, nc, nr, full, counts, c[order], r[order], v[order])
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = np.cumsum(batch.column(5).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)) // BATCH_CELLS
+            borders = [0, *(np.flatnonzero(sizes[1:] != sizes[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(borders[:-1], borders[1:], strict=True):
+                yield from turned(batch.slice(a, b - a))
+
+    return tiles.select(*NAMES).mapInArrow(turn, SCHEMA)
 
 
 def _by_row(tile: dict, turned: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -611,3 +611,23 @@ def test_narrow_products_of_two_large_matrices(spark, monkeypatch):
     same(make(spark, a, SPARSE) @ make(spark, a, SPARSE).T, a @ a.T)
     monkeypatch.setattr(matmul, "BROADCAST_CELLS", 1000)
     same(make(spark, a, SPARSE) @ make(spark, a, SPARSE).T, a @ a.T)
+
+
+@pytest.mark.parametrize("held", [1, 200_000])
+def test_tiles_are_cut_many_at_a_time(spark, monkeypatch, held):
+    monkeypatch.setattr(tiles, "HELD_ROWS", held)
+    monkeypatch.setattr(tiles, "BATCH_CELLS", 50)
+    a, x = few(spark, 8)
+    a[20:28, 40:47] = np.arange(1, 57).reshape(8, 7)  # some full tiles
+    x = make(spark, a, SPARSE)
+    packed = tiles.pack(x, (8, 7))
+    kinds = {(r["bi"], r["bj"]): r for r in packed.collect()}
+    for (i, j), r in kinds.items():
+        part = a[8 * i : 8 * i + 8, 7 * j : 7 * j + 7]
+        assert (r["nr"], r["nc"]) == part.shape and r["fmt"] == ("dense" if np.count_nonzero(part) >= 0.3 * part.size else "csr")
+        assert (tiles.dense(r.asDict()) == part).all() and (r["indptr"] is None) == (r["fmt"] == "dense")
+    assert {(i // 8, j // 7) for i, j in zip(*np.nonzero(a), strict=True)} == set(kinds) and {r["fmt"] for r in kinds.values()} == {"dense", "csr"}
+    same(tiles.unpack(tiles.transpose(packed), 300, 40, (7, 8), SPARSE), a.T)
+    for plan in (packed, tiles.transpose(packed)):
+        assert "FlatMapGroups" not in (text := plan._jdf.queryExecution().executedPlan().toString()) and "MapInPandas" not in text
+    assert tiles.transpose(tiles.pack(make(spark, 0 * a, SPARSE), (8, 7))).count() == 0
