@@ -631,3 +631,21 @@ def test_tiles_are_cut_many_at_a_time(spark, monkeypatch, held):
     for plan in (packed, tiles.transpose(packed)):
         assert "FlatMapGroups" not in (text := plan._jdf.queryExecution().executedPlan().toString()) and "MapInPandas" not in text
     assert tiles.transpose(tiles.pack(make(spark, 0 * a, SPARSE), (8, 7))).count() == 0
+
+
+@pytest.mark.parametrize("size", [(3, 4), (2, 1), (1, 1), (8, 8)])
+def test_windows_of_sparse_matrices_shuffle_no_gaps(spark, monkeypatch, size):
+    from tessera.operators import window
+
+    a, x = few(spark, 9)
+    monkeypatch.setattr(window, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(window, "BLOCK_COLS", 50)
+    want = {f: np.empty(a.shape) for f in AGGREGATES}
+    of = {"count": np.size, "sum": np.sum, "avg": np.mean, "max": np.max, "min": np.min, "var": np.var, "stdev": np.std, "norm": np.linalg.norm}
+    for i, j in np.ndindex(a.shape):
+        part = a[max(i - size[0] // 2, 0) : i - size[0] // 2 + size[0], max(j - size[1] // 2, 0) : j - size[1] // 2 + size[1]]
+        for f in AGGREGATES:
+            want[f][i, j] = of[f](part)
+    assert shuffled(spark, lambda: same(x.window(size, "sum"), want["sum"])) < 50 * size[0] * size[1] + 500
+    for f in AGGREGATES if size == (3, 4) else ("max",):
+        same(x.window(size, f), want[f], atol=1e-9)
