@@ -649,3 +649,11 @@ def test_windows_of_sparse_matrices_shuffle_no_gaps(spark, monkeypatch, size):
     assert shuffled(spark, lambda: same(x.window(size, "sum"), want["sum"])) < 50 * size[0] * size[1] + 500
     for f in AGGREGATES if size == (3, 4) else ("max",):
         same(x.window(size, f), want[f], atol=1e-9)
+
+
+def test_tiles_meet_with_their_neighbours(spark):
+    a, x = few(spark, 3)
+    packed = tiles.pack(x, (4, 50))
+    product = tiles.multiply(packed, packed, transpose_a=True, together=3)
+    same(tiles.unpack(product, 300, 300, (50, 50), SPARSE), a.T @ a)
+    assert "hashpartitioning(near" in product._jdf.queryExecution().executedPlan().toString()
