@@ -7,8 +7,9 @@ enough to look up each segment's Hamming ball: the ball of radius 2 is met from
 in, and looked up in, the ball of radius 1 around its segment. All that a table cell holds is verified on the complete
 distance.
 
-``NEAR`` is the rule for a Jaccard similarity of 0.8 of the sets of five-word shingles. Such pairs lie too far apart in
-a fingerprint of 64 bits for any index of it, so bands of minima of the hashed shingles propose them: a pair at
+``NEAR`` is the rule for a Jaccard similarity of 0.8 of the sets of five-word shingles. The fingerprints of ``LINKS`` and
+their multi-index propose what is near in them. Other such pairs lie too far apart in a fingerprint of 64 bits for any
+index of it, so bands of minima of the hashed shingles propose them too: a pair at
 similarity s shares one of 30 bands of 5 with probability 1 - (1 - s^5)^30, wherever its differences stand; at 0.8 that
 misses 7 in a million. Nothing links but on the similarity of its real sets. What bands connect, through however many
 steps, is a family. In a family each is compared with each, in cells of bounded size: a cell counts shared shingles by
@@ -249,23 +250,26 @@ def _bands(least: np.ndarray, rule: Similar) -> list[int]:
 
 
 def band_rows(docs: DataFrame, rule: Similar = NEAR) -> DataFrame:
-    """doc_id, text_key, fp (a hash of the set of shingles, as a signed long), n (shingles) and bands."""
+    """doc_id, text_key, fp (a hash of the set of shingles, as a signed long), n (shingles), bands, and mark (the SimHash
+    fingerprint of ``LINKS``)."""
 
     @tidy
     def convert(batches):
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            prints, sizes, bands = [], [], []
+            prints, sizes, bands, marks = [], [], [], []
             for text in batch.column(1):
-                x = Words(text.as_py() or "").shingles(rule.words)
+                words = Words(text.as_py() or "")
+                x = words.shingles(rule.words)
+                marks.append(words.fingerprint(LINKS.words))
                 prints.append(xxh64_intdigest(x.tobytes(), SEED))
                 sizes.append(len(x))
                 bands.append(_bands(_minima(x, rule), rule) if len(x) else [])
-            columns = [batch.column(0), batch.column(2), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "fp", "n", "bands"])
+            columns = [batch.column(0), batch.column(2), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(np.array(marks, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "fp", "n", "bands", "mark"])
 
-    return _read(docs).mapInArrow(convert, "doc_id long, text_key long, fp long, n long, bands array<long>")
+    return _read(docs).mapInArrow(convert, "doc_id long, text_key long, fp long, n long, bands array<long>, mark long")
 
 
 _PLACES = "array<struct<c:long,d:int,root:long,left:boolean,right:boolean>>"
@@ -368,9 +372,10 @@ def _sides(df: DataFrame, key: str) -> DataFrame:
 
 
 def similar_links(distinct: DataFrame, docs: DataFrame, rule: Similar = NEAR) -> DataFrame:
-    """a, b: links by fp that connect exactly what is similar enough among the sets that share a band.
+    """a, b: links by fp that connect exactly what is similar enough among the sets that share a band, or
+    whose fingerprints multi-index hashing connects.
 
-    ``distinct``: fp, n (shingles), bands, and rep, the (doc_id, text_key) of a row of ``docs`` that has the set.
+    ``distinct``: fp, n (shingles), bands, mark, and rep, the (doc_id, text_key) of a row of ``docs`` that has the set.
     """
 
     def side() -> Column:
@@ -397,13 +402,17 @@ def similar_links(distinct: DataFrame, docs: DataFrame, rule: Similar = NEAR) ->
         return _compared(cells.select("at.*", "fp", "shingles"), rule)
 
     texts = _read(docs)
-    filed = distinct.select(F.explode("bands").alias("band"), "fp", "n")
+    # what multi-index hashing of the fingerprints connects is a band more; a fingerprint without neighbours is its own
+    marks = components.label(links(distinct.where("n > 0").select(F.col("mark").alias("fp")).distinct()))
+    near = distinct.where("n > 0").join(marks.withColumnRenamed("node", "mark"), "mark", "left")
+    proposed = near.select(F.xxhash64(F.lit("mark"), F.coalesce("root", "mark")).alias("band"), "fp", "n")
+    filed = distinct.select(F.explode("bands").alias("band"), "fp", "n").unionByName(proposed)
     # the first of a band is that with the least fp, which is a hash
     bands = filed.groupBy("band").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("members"))
     met = shared.table(bands.where("members > 1").select("band", "hub"), "bands")
     members = shared.table(filed.join(met, "band"), "members")
     star = shared.table(members.where("fp <> hub").select("hub", "fp", "n").distinct(), "star")
-    shared.forget(met)
+    shared.forget(met, marks)
     # families: what bands connect, through however many steps
     family = components.label(star.select(F.col("hub").alias("a"), F.col("fp").alias("b")))
     sized = shared.table(family.select(F.col("node").alias("fp"), F.col("root").alias("family")).join(distinct.select("fp", "n", "rep"), "fp"), "families")
@@ -439,7 +448,7 @@ def _groups(docs: DataFrame, rule: Rule | Similar) -> tuple[DataFrame, list[Data
     """As ``near_groups``, and the tables that it reads."""
     alike = isinstance(rule, Similar)
     prints = shared.table(band_rows(docs, rule) if alike else signatures(docs, rule), "fingerprints")
-    once = [F.max("bands").alias("bands"), F.max("n").alias("n"), F.min(F.struct("doc_id", "text_key")).alias("rep")] if alike else []
+    once = [F.max("bands").alias("bands"), F.max("n").alias("n"), F.min("mark").alias("mark"), F.min(F.struct("doc_id", "text_key")).alias("rep")] if alike else []
     distinct = shared.table(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), *once), "distinct-fingerprints")
     roots = components.label(similar_links(distinct, docs, rule) if alike else links(distinct.select("fp"), rule))
     rooted = shared.table(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")

@@ -92,3 +92,19 @@ def test_stage_equals_brute_force(spark):
     left = corpus_pipeline.stage_near_dedup(spark, docs.withColumn("more", F.lit(1)), SF)
     assert left.columns == [*docs.columns, "more"]
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(d for d, c in want.items() if d == c)
+
+
+def test_multi_index_hashing_proposes_pairs(spark):
+    """With bands that propose nothing, near copies still meet by their SimHash fingerprints, and the similarity decides."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(500)]
+    text = [rng.choice(words) for _ in range(3000)]
+    other = text.copy()
+    other[1500] = "changed"
+    rows = [(3, " ".join(text)), (1, " ".join(other)), (2, " ".join(rng.choice(words) for _ in range(3000)))]
+    assert (simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[1][1])).bit_count() <= simhash.LINKS.distance
+    rule = simhash.Similar(5, 80, 1, 4000)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_groups(df, rule).collect()} == {1: 1, 2: 2, 3: 1}
+    strict = simhash.Similar(5, 100, 1, 4000)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_groups(df, strict).collect()} == {1: 1, 2: 2, 3: 3}
