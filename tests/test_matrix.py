@@ -657,3 +657,31 @@ def test_tiles_meet_with_their_neighbours(spark):
     product = tiles.multiply(packed, packed, transpose_a=True, together=3)
     same(tiles.unpack(product, 300, 300, (50, 50), SPARSE), a.T @ a)
     assert "hashpartitioning(near" in product._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("shape", [(3, 11), (11, 3), (1, 1), (9, 10), (8, 20)])
+def test_filled_tile_by_tile(spark, monkeypatch, shape):
+    for name, value in (("FILL_WIDTH", 5), ("FILL_ROWS", 4), ("FILL_TASKS", 3)):
+        monkeypatch.setattr(layout, name, value)
+    rng = np.random.default_rng(5)
+    a = np.where(rng.random(shape) < 0.3, rng.integers(1, 9, shape), 0).astype(float)
+    for form in (a, 0 * a, 0 * a + 1):
+        x = make(spark, form, SPARSE)
+        same(x + 1.0, form + 1)
+        assert x.densify().cells().select("i", "j").distinct().count() == x.densify().cells().count() == a.size
+
+
+def written(df, path):
+    """Bytes a row of a table's columns in Parquet."""
+    import pyarrow.parquet as pq
+
+    df.write.parquet(str(path))
+    footers = [pq.ParquetFile(f).metadata for f in path.glob("*.parquet")]
+    groups = [m.row_group(g) for m in footers for g in range(m.num_row_groups)]
+    return sum(g.column(c).total_compressed_size for g in groups for c in range(g.num_columns)) / sum(g.num_rows for g in groups)
+
+
+def test_filled_cells_take_little_space(spark, tmp_path):
+    x = Matrix.random(spark, 200, 20_000, 1, 0.001)
+    for k, y in enumerate((x.densify(), x + 1.0, x.sigmoid(), x.window((3, 4), "sum"), (x + 1.0) * x)):
+        assert written(y.cells(), tmp_path / str(k)) < 0.6
